@@ -1,0 +1 @@
+"""Operators of the detection and protection library."""

@@ -1,0 +1 @@
+"""Plans of the detection and protection library."""

@@ -1,0 +1 @@
+"""Sources of the detection and protection library."""

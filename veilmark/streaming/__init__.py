@@ -1,0 +1 @@
+"""Streaming of the detection and protection library."""
