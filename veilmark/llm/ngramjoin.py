@@ -7,6 +7,10 @@ is a T-occurrence problem with T = l, solved as DivideSkip does: a document's li
 T - 1 longest are merged, which yields each possible partner with a count, and the long ones are only probed, by binary
 search in the partner's sorted leads.  Partners that reach T are verified on the whole sets.
 
+Long lists that must be merged all the same (of documents that have little but shared passages) are merged in blocks: a task
+holds two blocks of a list with their whole sets, counts all overlaps at once and returns a spanning forest of the links it
+finds, so its result has no more rows than the blocks.
+
 Large groups: a first pass links each class with the smallest classes of its lists, and the classes so connected count as
 one in the lists' lengths.  Lists within one component need no merging, so a group of thousands of near copies costs rows in
 proportion to its size; and lists of shared passages are long, thus probed.  No pair of different components is skipped.
@@ -29,8 +33,9 @@ from pyspark.sql import functions as F
 from veilmark.llm.components import components
 from veilmark.llm.stages import cut
 from veilmark.llm.textblocks import blocks, shingle_sets
+from veilmark.llm.vecdedup import forest
 
-PIVOTS, FILTER_BITS = 2, 1 << 23
+PIVOTS, FILTER_BITS, LONG_LIST, LIST_BLOCK, DENSE_CELLS = 2, 1 << 23, 48, 1024, 16_000_000
 
 
 def lead_size(n: int, percent: int) -> tuple[int, int]:
@@ -73,9 +78,8 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of `pairs` (a, b), those whose whole sets overlap enough."""
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _whole_sets(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, whole) of the documents `asked` (id) for."""
     held = docs.sparkSession.sparkContext.broadcast(_wanted(asked))  # FILTER_BITS / 8 bytes
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +93,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(packed, pa.binary())], ["id", "whole"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(FILTER_BITS)).alias("bit"))
-    made = rows.mapInArrow(sets, "id bigint, whole binary")
-    whole = cut(made.join(asked, "id", "left_semi"))
+    return rows.mapInArrow(sets, "id bigint, whole binary").join(asked, "id", "left_semi")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of `pairs` (a, b), those whose whole sets overlap enough."""
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    whole = cut(_whole_sets(asked, docs, k))
     both = pairs.join(whole.withColumnsRenamed({"id": "a", "whole": "left"}), "a").join(whole.withColumnsRenamed({"id": "b", "whole": "right"}), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +181,49 @@ def _cross_links(lists: DataFrame, first: DataFrame, reps: DataFrame, docs: Data
     # all but the T - 1 longest lists of a document are merged; T is that of its smallest possible partner
     merged = placed.withColumns({"place": place, "held": held}).where(F.col("place") <= F.col("held") - _depth(smallest, percent) + 1)
     merged = cut(merged.select("h", "id", "n", "component"))
+    size = merged.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    in_blocks = _block_links(merged.join(size.where(F.col("size") > LONG_LIST), "h"), docs, k, percent)
+    merged = merged.join(size.where(F.col("size") <= LONG_LIST), "h").drop("size")
     other = merged.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     met = merged.join(other, "h").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & _similar_sizes(F.col("n"), F.col("m"), percent))
     pairs = met.groupBy(F.col("id").alias("a"), "b").agg(F.least(F.first("n"), F.first("m")).alias("m"), F.count(F.lit(1)).alias("merged"))
     pairs = cut(pairs.select("a", "b", _depth(F.col("m"), percent).alias("need"), "merged"))
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     leads = reps.join(asked, "id", "left_semi").select("id", "lead")
-    return cut(_verified(cut(_probed(pairs, leads)), docs, k, percent))
+    return cut(_verified(cut(_probed(pairs, leads)), docs, k, percent)).unionByName(in_blocks)
+
+
+def _block_links(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of `rows` (h, id, n, component, size), the rows of long lists: edges that connect all that link across components."""
+    many = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", "h"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    dealt = cut(dealt.select("h", "id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    whole = _whole_sets(dealt.select("id").distinct(), docs, k)
+
+    def link(table: pa.Table) -> pa.Table:
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        ids, own = table["id"].to_numpy(), table["own"].to_numpy()
+        _, component = np.unique(table["component"].to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["whole"]]
+        sizes = np.array([len(x) for x in sets])
+        words, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        holder = np.repeat(np.arange(len(sets)), sizes)
+        shared = seen[at] > 1
+        column = (np.cumsum(seen > 1) - 1)[at[shared]]
+        holder = holder[shared]
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+        step = max(64, DENSE_CELLS // max(1, len(sets)))
+        for first in range(0, int((seen > 1).sum()), step):
+            part = (column >= first) & (column < first + step)
+            has = np.zeros((len(sets), step), dtype=np.float32)
+            has[holder[part], column[part] - first] = 1
+            overlap += has[left] @ has[right].T
+        total = sizes[left][:, None] + sizes[right][None, :]
+        linked = (100 * overlap >= percent * (total - overlap)) & (component[left][:, None] != component[right][None, :])
+        x, y = np.nonzero(linked)
+        root = forest(len(ids), [(left[x], right[y])])
+        hung = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[hung], pa.int64()), "b": pa.array(ids[root[hung]], pa.int64())})
+
+    return cut(dealt.join(whole, "id").groupBy("h", "low", "high").applyInArrow(link, "a bigint, b bigint").distinct())
