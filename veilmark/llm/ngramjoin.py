@@ -35,7 +35,8 @@ from veilmark.llm.stages import cut
 from veilmark.llm.textblocks import blocks, shingle_sets
 from veilmark.llm.vecdedup import forest
 
-PIVOTS, FILTER_BITS, LONG_LIST, LIST_BLOCK, DENSE_CELLS = 2, 1 << 23, 48, 1024, 16_000_000
+PIVOTS, FILTER_BITS, LONG_LIST = 2, 1 << 23, 48
+LIST_BLOCK, BLOCK_SHINGLES, DENSE_CELLS = 512, 400_000, 4_000_000  # of a block of a long list: rows, shingles; cells counted at once
 
 
 def lead_size(n: int, percent: int) -> tuple[int, int]:
@@ -181,9 +182,9 @@ def _cross_links(lists: DataFrame, first: DataFrame, reps: DataFrame, docs: Data
     # all but the T - 1 longest lists of a document are merged; T is that of its smallest possible partner
     merged = placed.withColumns({"place": place, "held": held}).where(F.col("place") <= F.col("held") - _depth(smallest, percent) + 1)
     merged = cut(merged.select("h", "id", "n", "component"))
-    size = merged.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    size = merged.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
     in_blocks = _block_links(merged.join(size.where(F.col("size") > LONG_LIST), "h"), docs, k, percent)
-    merged = merged.join(size.where(F.col("size") <= LONG_LIST), "h").drop("size")
+    merged = merged.join(size.where(F.col("size") <= LONG_LIST), "h").drop("size", "shingles")
     other = merged.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
     met = merged.join(other, "h").where((F.col("id") < F.col("b")) & (F.col("component") != F.col("other")) & _similar_sizes(F.col("n"), F.col("m"), percent))
     pairs = met.groupBy(F.col("id").alias("a"), "b").agg(F.least(F.first("n"), F.first("m")).alias("m"), F.count(F.lit(1)).alias("merged"))
@@ -194,8 +195,8 @@ def _cross_links(lists: DataFrame, first: DataFrame, reps: DataFrame, docs: Data
 
 
 def _block_links(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of `rows` (h, id, n, component, size), the rows of long lists: edges that connect all that link across components."""
-    many = F.ceil(F.col("size") / LIST_BLOCK).cast("int")
+    """Of `rows` (h, id, n, component, size, shingles), the rows of long lists: edges that connect all that link across components."""
+    many = F.ceil(F.greatest(F.col("size") / LIST_BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("id", "h"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
     dealt = cut(dealt.select("h", "id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
     whole = _whole_sets(dealt.select("id").distinct(), docs, k)
@@ -218,7 +219,7 @@ def _block_links(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
             part = (column >= first) & (column < first + step)
             has = np.zeros((len(sets), step), dtype=np.float32)
             has[holder[part], column[part] - first] = 1
-            overlap += has[left] @ has[right].T
+            overlap += has @ has.T if low == high else has[left] @ has[right].T
         total = sizes[left][:, None] + sizes[right][None, :]
         linked = (100 * overlap >= percent * (total - overlap)) & (component[left][:, None] != component[right][None, :])
         x, y = np.nonzero(linked)
