@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.llm.stages import cut
+
 KEY_BUCKETS = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,7 +68,7 @@ def mix_sources(
 
     `sized` may hand in (doc_id, source, size, weight, u) already worked out.
     """
-    rows = sized if sized is not None else sized_rows(docs)
+    rows = sized if sized is not None else cut(sized_rows(docs))  # texts are read once
     rows = rows.withColumn("key", -F.log("u") / F.col("weight"))
     # keys are about exponential: 1 - exp(-key) spreads them over the buckets
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * KEY_BUCKETS).cast("int"))
