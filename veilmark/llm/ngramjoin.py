@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmark.llm.components import components
-from veilmark.llm.stages import cut
+from veilmark.llm.stages import cut, small_batches
 from veilmark.llm.textblocks import blocks, shingle_sets
 from veilmark.llm.vecdedup import forest
 
@@ -56,7 +56,7 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             for first, last, raws in blocks(texts):
                 sets = shingle_sets(raws, k)
                 leads = [s[: lead_size(len(s), percent)[0]].view(np.int64) for s in sets]
@@ -88,7 +88,7 @@ def _whole_sets(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             bit = batch.column(2).to_numpy()
             rows = np.flatnonzero((held.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1)
             batch = batch.take(pa.array(rows))
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(1)
             for first, last, raws in blocks(texts):
                 packed = [s.tobytes() for s in shingle_sets(raws, k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(packed, pa.binary())], ["id", "whole"])
@@ -144,7 +144,7 @@ def _similar_sizes(n: Column, m: Column, percent: int) -> Column:
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """Of `docs` (doc_id, text): doc_id, n_shingles, component_id, one row for each row."""
-    sets = cut(_sets(docs, k, percent))
+    sets = cut(_sets(small_batches(docs), k, percent))
     filled = sets.where("digest is not null and doc_id is not null")
     class_of = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     copies = filled.select("doc_id", "digest").join(class_of, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()

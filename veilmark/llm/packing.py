@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.stages import cut
+from veilmark.llm.stages import cut, small_batches
 from veilmark.llm.tokens import default_path, word_tokens
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 2, 8192
@@ -74,7 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: i
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(cut_up, schema)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(cut_up, schema)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from veilmark.llm.stages import small_batches
 from veilmark.llm.textblocks import WordBlock, blocks, mix64
 from veilmark.llm.weaklabel import LabelModel, LinearScorer, train_scorer
 
@@ -109,12 +110,12 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.zeros(1 << len(SIGNS), dtype=np.int64)
-            for _, _, raws in blocks(batch.column(0).to_pylist()):
+            for _, _, raws in blocks(batch.column(0)):
                 counts += np.bincount(patterns(text_signs(raws)[0]), minlength=len(counts))
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], ["pattern", "n"])
 
-    seen = docs.select("text").mapInArrow(vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 2**voters rows at most
+    seen = small_batches(docs).select("text").mapInArrow(vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 2**voters rows at most
     every = np.arange(1 << len(SIGNS))
     counts = np.zeros(len(every))
     for r in seen:
@@ -124,7 +125,7 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, raws in blocks(batch.column(0).to_pylist()):
+            for _, _, raws in blocks(batch.column(0)):
                 signs, block = text_signs(raws)
                 got, offsets = shape_features(signs, block)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))
@@ -143,13 +144,13 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
 def score_quality_rows(docs: DataFrame, model: QualityModel) -> DataFrame:
     """`docs`, all their columns kept, with score; an own column of that name gives way."""
     scorer = docs.sparkSession.sparkContext.broadcast(model.scorer)  # 8 bytes a bucket
-    rows = docs.drop("score")
+    rows = small_batches(docs).drop("score")
     place = rows.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, _, raws in blocks(batch.column(place).to_pylist()):
+            for _, _, raws in blocks(batch.column(place)):
                 signs, block = text_signs(raws)
                 junk = scorer.value.scores(*shape_features(signs, block))
                 found.append(np.where(signs[:, -1] > 0, 0.0, 1 - junk))

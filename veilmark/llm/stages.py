@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+BATCH_ROWS = 1000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder that the session names and go on from there, so lost executors cost little.
@@ -18,3 +20,12 @@ def cut(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`; from now on its session hands Python BATCH_ROWS rows at most at once, as texts and sets of shingles are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df

@@ -7,8 +7,9 @@ Texts are lower-cased on A-Z only and split on the six ASCII white-space bytes,
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES, READ_ROWS = 1_000_000, 100
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,10 +45,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def blocks(texts: list[str | None]):
+def blocks(texts: pa.Array):
     """Yield (first, last, bytes of each text) so that a block has about BLOCK_BYTES; a longer text is a block alone."""
     first, size, held = 0, 0, []
-    for i, text in enumerate(texts):
+    each = (text for at in range(0, len(texts), READ_ROWS) for text in texts.slice(at, READ_ROWS).to_pylist())
+    for i, text in enumerate(each):
         raw = (text or "").encode("utf-8", "surrogatepass")
         if held and size + len(raw) > BLOCK_BYTES:
             yield first, i, held

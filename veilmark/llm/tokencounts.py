@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.llm.stages import small_batches
 from veilmark.llm.tokens import default_path, word_tokens
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -35,7 +36,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFram
             subwords = [len(encoder.encode(t)) // 4 for t in texts]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(words, pa.int64()), pa.array(subwords, pa.int64())], ["doc_id", "source", "lang", "words", "subwords"])
 
-    rows = docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), "text")
+    rows = small_batches(docs).select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), "text")
     return rows.mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, lang string, words bigint, subwords bigint")
 
 

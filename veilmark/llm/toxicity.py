@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from veilmark.llm.stages import small_batches
 from veilmark.llm.textblocks import WordBlock, blocks
 from veilmark.llm.weaklabel import LabelModel, LinearScorer, train_scorer
 
@@ -110,7 +111,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, texts = batch.column(0), batch.column(1).to_pylist()
+            label, texts = batch.column(0), batch.column(1)
             for first, last, raws in blocks(texts):
                 got, offsets, words = text_features(raws)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))
@@ -148,7 +149,7 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from all `docs` (doc_id, text) and the training rows of `labels` (doc_id, toxic)."""
-    indices, offsets, words, toxic, weight = _sample(docs, labels)
+    indices, offsets, words, toxic, weight = _sample(small_batches(docs), labels)
     mined = mine(indices, offsets, toxic, weight)
     voters = Voters.of(mined)
     shared = docs.sparkSession.sparkContext.broadcast(voters)  # BUCKETS bytes
@@ -156,7 +157,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = np.zeros(1 << len(VOTERS), dtype=np.int64)
-            for _, _, raws in blocks(batch.column(0).to_pylist()):
+            for _, _, raws in blocks(batch.column(0)):
                 counts += np.bincount(shared.value.patterns(*text_features(raws)), minlength=len(counts))
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], ["pattern", "n"])
@@ -182,13 +183,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 def score_toxicity_rows(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """`docs`, all their columns kept, with score; an own column of that name gives way."""
     scorer = docs.sparkSession.sparkContext.broadcast(model.scorer)  # 8 bytes a bucket
-    rows = docs.drop("score")
+    rows = small_batches(docs).drop("score")
     place = rows.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, _, raws in blocks(batch.column(place).to_pylist()):
+            for _, _, raws in blocks(batch.column(place)):
                 found.append(scorer.value.scores(*text_features(raws)[:2]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], [*batch.schema.names, "score"])
 
