@@ -4,6 +4,7 @@ Rows are ordered by a 62-bit key: the CRC-32 of the text, then 30 bits of a hash
 to each other, and a group of copies is divided only where a boundary falls into it.  Each round counts the exact bytes
 below candidate boundaries in all partitions at once (a grouped sum with partial sums), keeps for each boundary the one cell
 in which it lies, and divides that cell into finer candidates until all lie within the tolerance; then rows move once.
+The first round has 4096 candidates, each later one 256 for each boundary still open, so a round's counts stay small.
 
 Nulls: a null text has no bytes and counts 1.  Rows with the same id and text can't be told apart and stay together.  An
 empty table gives an empty result.
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.stages import cut
 
-KEY_BITS, ROUND_BITS = 62, 12
+KEY_BITS, FIRST_BITS, ROUND_BITS = 62, 12, 8
 
 
 def shard_key(crc: Column, identity: Column) -> Column:
@@ -29,30 +30,32 @@ def splitters(keyed: DataFrame, parts: int, tolerance: float) -> list[int]:
     total = keyed.agg(F.sum("size").alias("bytes")).first()["bytes"] or 0
     goals = [total * (i + 1) / parts for i in range(parts - 1)]
     allowed = tolerance * total / parts
-    cells = {0: 0}  # cell, in units of the current width -> bytes below it
     state = [(0, 0) for _ in goals]  # of each goal: its cell's first key, the bytes below that
     shift = KEY_BITS
     found: list[int | None] = [None] * len(goals)
     while shift > 0 and any(x is None for x in found):
-        width = min(ROUND_BITS, shift)
+        width = min(FIRST_BITS if shift == KEY_BITS else ROUND_BITS, shift)
         open_cells = sorted({state[i][0] >> shift for i in range(len(goals)) if found[i] is None})
         rows = keyed if shift == KEY_BITS else keyed.where(F.shiftright("key", shift).isin(open_cells))
         shift -= width
         counted = rows.groupBy(F.shiftright("key", shift).alias("cell")).agg(F.sum("size").alias("bytes")).collect()  # at most parts * 2**ROUND_BITS rows
-        sums = sorted((r["cell"], r["bytes"]) for r in counted)
+        sums = {r["cell"]: r["bytes"] for r in counted}
+        inside: dict[int, list[int]] = {}
+        for cell in sorted(sums):
+            inside.setdefault(cell >> width, []).append(cell)
         for i, goal in enumerate(goals):
             if found[i] is not None:
                 continue
             parent, below = state[i][0] >> (shift + width), state[i][1]
             first = state[i][0]
-            for cell, size in (x for x in sums if x[0] >> width == parent):
-                if below + size > goal:
+            for cell in inside.get(parent, []):
+                if below + sums[cell] > goal:
                     first = cell << shift
                     break
-                below += size
+                below += sums[cell]
                 first = (cell + 1) << shift
             state[i] = (first, below)
-            size = next((b for c, b in sums if c == first >> shift), 0)
+            size = sums.get(first >> shift, 0)
             if goal - below <= allowed:
                 found[i] = first
             elif below + size - goal <= allowed:
