@@ -38,10 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    taken = docs.join(copies, docs["doc_id"] == copies["taken_id"])
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Each document as often as the mix takes it; rows that share an id as often as any of them; rows without an id once."""
+    named = docs.where("doc_id is not null")
+    copies = mix_sources(named).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
+    taken = named.join(copies, named["doc_id"] == copies["_mix_id"])
+    repeated = taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(docs.columns)
+    return repeated.unionByName(docs.where("doc_id is null"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,3 +17,24 @@ def test_stages(spark, tmp_path):
             assert after.count() == after.select("doc_id").distinct().count() < before.count()
         before = after
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == before.where("text is not null").select("doc_id").distinct().count()
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, an empty text, repeated rows and extra columns with names that the stages use."""
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "a"), (1, words, "a"), (2, words, None), (3, None, "b"), (4, "", "b"), (None, "a text without an id", "b"), (None, None, None), (5, "other words here for a short text", "c")]
+    schema = "doc_id bigint, text string, source string, lang string, copies int, n bigint, component_id bigint"
+    odd = spark.createDataFrame([(i, t, s, "en", 7, 8, 9) for i, t, s in rows], schema)
+    stage = dict(corpus_pipeline.STAGES)
+    kept = stage["near_duplicates"](spark, odd, SF)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5]
+    taken = stage["mixing"](spark, odd, SF)
+    assert taken.columns == odd.columns
+    got = [r["doc_id"] for r in taken.collect()]
+    assert got.count(None) == 2 and got.count(1) <= 4 and got.count(2) <= 2
+    assert stage["packing"](spark, odd, SF).agg({"length": "sum"}).first()[0] > 0
+    for name in ("toxicity", "quality", "near_duplicates", "mixing"):
+        assert stage[name](spark, odd.limit(0), SF).count() == 0, name
+    for name in ("toxicity", "quality"):
+        assert stage[name](spark, odd, SF).columns == odd.columns
