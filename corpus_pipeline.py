@@ -16,6 +16,7 @@ from veilmark.llm.mixing import mix_sources
 from veilmark.llm.ngramjoin import jaccard_components
 from veilmark.llm.packing import pack_documents
 from veilmark.llm.quality import fit_quality, score_quality_rows
+from veilmark.llm.stages import keyed
 from veilmark.llm.toxicity import fit_toxicity, score_toxicity_rows
 
 
@@ -31,10 +32,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are 80 % alike, the one with the smallest id stays; rows without an id all stay."""
-    member = jaccard_components(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(member, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """Of rows whose five-word shingles are 80 % alike, the one with the smallest id stays, one with an id before one without.
+
+    Rows are compared as rows, whatever their ids: different texts of one id all stay, copies without an id go.  Ties of ids
+    go by a hash of the whole row.  A text without words is like no other.
+    """
+    rows = keyed(docs.withColumn("_near_order", F.xxhash64(*docs.columns)), "_near_key")
+    alike = jaccard_components(rows.select(F.col("_near_key").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("_near_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_near_order", "_near_key")
+    first = rows.select("doc_id", "_near_order", "_near_key").join(alike, "_near_key").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first._near_key"), "_near_key", "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,24 @@ def test_odd_rows(spark, tmp_path):
         assert stage[name](spark, odd.limit(0), SF).count() == 0, name
     for name in ("toxicity", "quality"):
         assert stage[name](spark, odd, SF).columns == odd.columns
+
+
+def test_near_duplicates_by_row(spark):
+    """One row of each group of like texts stays, with repeated ids and without any, as brute force has it."""
+    words = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(7, words(f"t{i}")) for i in range(20)] + [(3, words("t4") + " end"), (9, words("t5")), (None, words("t6"))]
+    rows += [(None, words("copied"))] * 30 + [(None, words("alone")), (None, ""), (None, None), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, source string").repartition(5)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF)
+    assert got.columns == docs.columns
+    sets = [frozenset(tuple((t or "").split()[j : j + 5]) for j in range(max(0, len((t or "").split()) - 4))) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    best = {}
+    for g, (i, t) in zip(group, rows):
+        own = (i is None, i or 0, t or "")
+        best[g] = min(best.get(g, own), own)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted(best.values())

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
 
@@ -22,6 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """`df` with a number of its own for each row as `key`, written once as compressed Parquet, so that numbers and rows stay together."""
+    spark = df.sparkSession
+    home = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyed-")).rstrip("/")
+    path = f"{home}/keyed-{uuid.uuid4().hex}"
+    df.withColumn(key, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """`df`; from now on its session hands Python BATCH_ROWS rows at most at once, as texts and sets of shingles are long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
