@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilmark.llm import ngramjoin
+from veilmark.llm import ngramjoin, quality, toxicity
 from veilmark.llm.mixing import mix_sources
 from veilmark.llm.ngramjoin import jaccard_components
 from veilmark.llm.packing import first_fit_decreasing, pack_documents
@@ -216,6 +216,21 @@ def test_quality_keeps_clean_texts(spark):
     assert len(odd) == 4 and {r["doc_id"] for r in odd if not r["keep"]} >= {1, 2, 3}
 
 
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """A hundred rows of one id are one row of a sample."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = table(spark, [(i, f"you are text {i}") for i in ids] + [(ids[0], f"other text {j % 50}") for j in range(100)] + [(None, "no id")])
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in ids], "doc_id long, toxic int, quality int")
+    first, again = (toxicity._sample(docs.repartition(n), labels) for n in (3, 5))
+    assert len(first[3]) == len(ids) and first[3].sum() == sum(i % 2 for i in ids)
+    assert all(np.array_equal(a, b) for a, b in zip(first, again))
+    fitted = []
+    monkeypatch.setattr(quality, "train_scorer", lambda indices, offsets, target, *rest, **named: fitted.append(len(target)))
+    fit_quality(docs)
+    fit_quality(docs, sample=10)
+    assert fitted == [len(ids), 10]
+
+
 def test_empty_tables(spark):
     none = table(spark, [(1, "x")]).where("false")
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from veilmark.llm.stages import small_batches
+from veilmark.llm.stages import one_row_each, small_batches
 from veilmark.llm.textblocks import WordBlock, blocks, mix64
 from veilmark.llm.weaklabel import LabelModel, LinearScorer, train_scorer
 
@@ -105,7 +105,10 @@ class QualityModel:
 
 
 def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Learn from all `docs` (doc_id, text); the scorer is fitted on `sample` of them, chosen by a hash of the id."""
+    """Learn from all `docs` (doc_id, text); the scorer is fitted on `sample` of them, chosen by a hash of the id.
+
+    Of rows that share an id, one is in the sample; rows without an id count in the votes only.
+    """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,8 +134,9 @@ def fit_quality(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(patterns(signs), pa.int64()), lists], ["pattern", "buckets"])
 
-    # at most `sample` ids
-    table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(features, "pattern bigint, buckets array<int>").toArrow()
+    # at most `sample` rows: one of each id
+    rows = one_row_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id").select("text")
+    table = rows.mapInArrow(features, "pattern bigint, buckets array<int>").toArrow()
     lists = table["buckets"].combine_chunks()
     if not table.num_rows:
         return QualityModel(model, train_scorer(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0), np.zeros(0), BUCKETS, 0.0))

@@ -40,3 +40,8 @@ def small_batches(df: DataFrame) -> DataFrame:
     if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
     return df
+
+
+def one_row_each(df: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, text): of the rows of `df` with equal keys the one whose text has the least hash, chosen before and after the shuffle."""
+    return df.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from veilmark.llm.stages import small_batches
+from veilmark.llm.stages import one_row_each, small_batches
 from veilmark.llm.textblocks import WordBlock, blocks
 from veilmark.llm.weaklabel import LabelModel, LinearScorer, train_scorer
 
@@ -100,7 +100,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of at most sum(SAMPLE) labelled training documents: buckets, offsets, words, label, share of its label's rows."""
+    """Features of at most sum(SAMPLE) labelled training documents: buckets, offsets, words, label, share of its label's rows.
+
+    Of rows that share an id, one is taken, as labels are of ids.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(11))
     chosen = None
@@ -117,8 +120,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray,
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(got, pa.int32()))
                 yield pa.RecordBatch.from_arrays([label.slice(first, last - first), pa.array(words, pa.int64()), lists], ["toxic", "words", "buckets"])
 
-    # at most sum(SAMPLE) rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("toxic").cast("int"), "text")
+    # at most sum(SAMPLE) rows: one of each id
+    rows = one_row_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "doc_id", "toxic").select(F.col("toxic").cast("int"), "text")
     table = rows.mapInArrow(features, "toxic int, words bigint, buckets array<int>").toArrow()
     lists = table["buckets"].combine_chunks()
     toxic = table["toxic"].to_numpy().astype(float)
