@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm.mixing import mix_sources
+from veilmark.llm.mixing import mix_sources, sized_rows
 from veilmark.llm.ngramjoin import jaccard_components
 from veilmark.llm.packing import pack_documents
 from veilmark.llm.quality import fit_quality, score_quality_rows
@@ -45,12 +45,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows that share an id as often as any of them; rows without an id once."""
-    named = docs.where("doc_id is not null")
-    copies = mix_sources(named).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    taken = named.join(copies, named["doc_id"] == copies["_mix_id"])
-    repeated = taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(docs.columns)
-    return repeated.unionByName(docs.where("doc_id is null"))
+    """Each row as often as the mix takes it, rows that share an id each by itself; rows without an id once."""
+    rows = keyed(docs, "_mix_row")
+    named = rows.where("doc_id is not null")
+    copies = mix_sources(named, sized=sized_rows(named, "_mix_row")).where("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").alias("_mix_copies"))
+    repeated = named.join(copies, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(docs.columns)
+    return repeated.unionByName(rows.where("doc_id is null").select(docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilmark.llm import ngramjoin, quality, toxicity
-from veilmark.llm.mixing import mix_sources
+from veilmark.llm.mixing import mix_sources, sized_rows
 from veilmark.llm.ngramjoin import jaccard_components
 from veilmark.llm.packing import first_fit_decreasing, pack_documents
 from veilmark.llm.quality import fit_quality, score_quality
@@ -115,6 +115,19 @@ def test_mix(spark):
         assert all(r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 2 * r["size"] for r in own)
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_mix_of_repeated_ids(spark, hot):
+    """A third of the rows share an id: no source misses its target by more than a row, and repeats have keys of their own."""
+    texts = [(i, "x " * 20, "ab"[i % 2]) for i in range(600)] + [(hot, "x " * 20 if i % 2 else f"y{i} " * 20, "ab"[i % 4 // 2]) for i in range(300)]
+    got = mix_sources(table(spark, texts)).collect()
+    assert len(got) == len({r["row"] for r in got}) == len(texts)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 20 and own[0]["target"] > 0
+    sized = sized_rows(table(spark, texts)).collect()
+    assert len({r["u"] for r in sized}) == len(texts)
+
+
 def test_shards(spark):
     rng = random.Random(3)
     texts = [(i, "same words here" if i % 3 == 0 else "é" * rng.randint(0, 300) + str(i)) for i in range(3000)] + [(9000, None), (9001, ""), (9001, ""), (None, "x")]

@@ -8,8 +8,9 @@ whose size comes nearest to the words still missing, if that brings the source n
 Prefix sums don't gather a source in one task: keys fall into `KEY_BUCKETS` ranges whose sums are added up first, and only
 the one range of a source in which the target lies is sorted.
 
-Nulls: a null text has 0 words and is never needed by a target; a null source is a source of its own, the last in order;
-rows that repeat are separate rows with equal keys, put in order by their content, and alike otherwise.
+Nulls: a null text has 0 words and is never needed by a target; a null source is a source of its own, the last in order.
+Rows that share an id, or have none, are separate rows: each has a written row number, and their MD5 is of the id and a hash
+of the text, and of the row number too for all but the first of those that share both.
 """
 
 from __future__ import annotations
@@ -64,11 +65,11 @@ def source_targets(sizes: DataFrame, share: float, weights: list[float], epochs:
 def mix_sources(
     docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), epochs: float = 2.0, sized: DataFrame | None = None
 ) -> DataFrame:
-    """Of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, taken (words, repeats counted), copies.
+    """Of `docs` (doc_id, text, source): row, doc_id, source, size, source_size, target, taken (words, repeats counted), copies.
 
-    `sized` may hand in (doc_id, source, size, weight, u) already worked out.
+    `sized` may hand in (row, doc_id, source, size, weight, u) already worked out and written; row is unique.
     """
-    rows = sized if sized is not None else cut(sized_rows(docs))  # texts are read once
+    rows = sized if sized is not None else sized_rows(docs)
     rows = rows.withColumn("key", -F.log("u") / F.col("weight"))
     # keys are about exponential: 1 - exp(-key) spreads them over the buckets
     rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * KEY_BUCKETS).cast("int"))
@@ -83,7 +84,7 @@ def mix_sources(
     rows = rows.join(placed.withColumnRenamed("bucket", "in_bucket"), rows["source"].eqNullSafe(F.col("of")) & (rows["bucket"] == F.col("in_bucket"))).drop("of", "in_bucket")
     whole_bucket = F.col("before") + F.col("bucket_words") <= F.col("rest")
     edge = ~whole_bucket & (F.col("before") < F.col("rest"))
-    running = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = rows.where(edge).withColumn("after", F.col("before") + F.sum("size").over(running))
     at_edge = at_edge.withColumn("picked", F.col("after") <= F.col("rest")).drop("after")
     others = rows.where(~edge).withColumn("picked", whole_bucket)
@@ -94,15 +95,24 @@ def mix_sources(
     joined = picked.join(filled, picked["source"].eqNullSafe(filled["of"])).drop("of")
     miss = F.abs(F.col("size") - F.col("gap"))
     fits = ~F.col("picked") & (F.col("size") > 0) & (miss < F.col("gap"))
-    best = joined.where(fits).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "key", "doc_id")).alias("best"))
-    best = best.select(F.col("source").alias("of"), F.col("best.doc_id").alias("extra"))
+    best = joined.where(fits).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "key", "doc_id", "row")).alias("best"))
+    best = best.select(F.col("source").alias("of"), F.col("best.row").alias("extra"))
     joined = joined.join(best, joined["source"].eqNullSafe(best["of"]), "left").drop("of")
-    again = F.col("picked") | (F.coalesce(F.col("doc_id") == F.col("extra"), F.lit(False)) & fits)
+    again = F.col("picked") | F.coalesce(F.col("row") == F.col("extra"), F.lit(False))
     copies = (F.col("whole") + again.cast("int")).alias("copies")
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + again.cast("int"))).cast("long").alias("taken"), copies)
+    return joined.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + again.cast("int"))).cast("long").alias("taken"), copies)
 
 
-def sized_rows(docs: DataFrame) -> DataFrame:
-    """What the sampling needs of each document, without its text."""
+def sized_rows(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """What the sampling needs of each row, without its text, written; `number` may name a column of unique row numbers."""
+    row = F.col(number) if number else F.monotonically_increasing_id()
     size = word_count(F.col("text"))
-    return docs.select("doc_id", "source", size.alias("size"), quality_weight(F.col("text"), size).alias("weight"), uniform(F.col("doc_id")).alias("u"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    content = docs.select(row.alias("row"), "doc_id", "source", size.alias("size"), quality_weight(F.col("text"), size).alias("weight"), name.alias("name"), F.xxhash64("text").alias("hash"))
+    rows = cut(content)  # texts are read once
+    same = rows.groupBy("name", "hash").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = same.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
+    repeated = same.join(shared, "name").select("name", "hash", "first")
+    of_text = F.concat_ws("/", "name", F.col("hash").cast("string"))
+    own = F.when(F.col("first").isNull(), F.col("name")).when(F.col("first") == F.col("row"), of_text).otherwise(F.concat_ws("/", of_text, F.col("row").cast("string")))
+    return cut(rows.join(repeated, ["name", "hash"], "left").select("row", "doc_id", "source", "size", "weight", uniform(own).alias("u")))
