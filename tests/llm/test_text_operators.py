@@ -139,6 +139,19 @@ def test_shards(spark):
     assert sum(held) == sum(len((t or "").encode()) + 1 for _, t in texts) and max(held) - min(held) < 0.05 * sum(held) / 16 + 1300
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_shards_divide_repeated_rows(spark, hot):
+    """A third of all rows have one id and text: shards are still near equal."""
+    rng = random.Random(4)
+    texts = [(hot, "the same words of one id")] * 2000 + [(i, "z" * rng.randint(10, 40) + str(i)) for i in range(100, 4100)]
+    rows = shard_rows(table(spark, texts)).collect()
+    assert sorted((r["doc_id"] or -1, r["text_crc32"]) for r in rows) == sorted((i or -1, zlib.crc32(t.encode())) for i, t in texts)
+    per = [[r for r in rows if r["shard"] == s] for s in range(16)]
+    assert all(sorted(r["slot"] for r in p) == list(range(len(p))) for p in per)
+    held = [sum(r["size"] for r in p) for p in per]
+    assert max(held) - min(held) < 0.05 * sum(held) / 16
+
+
 def test_token_rollup(spark, tmp_path):
     docs = table(spark, [(1, "one two", "a"), (2, None, "a"), (3, "three", None), (4, "four five six", "b")])
     counts = token_counts(docs)

@@ -1,13 +1,14 @@
 """Sharding by histogram sort (numbered operator 4), in DataFrame functions only.
 
-Rows are ordered by a 62-bit key: the CRC-32 of the text, then 30 bits of a hash of the id.  Equal texts therefore lie next
-to each other, and a group of copies is divided only where a boundary falls into it.  Each round counts the exact bytes
+Rows are ordered by a 62-bit key: the CRC-32 of the text, 16 bits of a hash of the id, then 14 bits of a hash of a row number
+that is written with the key.  Equal texts therefore lie next to each other, and a group of copies is divided only where a
+boundary falls into it, also where its rows share their id or have none.  Each round counts the exact bytes
 below candidate boundaries in all partitions at once (a grouped sum with partial sums), keeps for each boundary the one cell
 in which it lies, and divides that cell into finer candidates until all lie within the tolerance; then rows move once.
 The first round has 4096 candidates, each later one 256 for each boundary still open, so a round's counts stay small.
 
-Nulls: a null text has no bytes and counts 1.  Rows with the same id and text can't be told apart and stay together.  An
-empty table gives an empty result.
+Nulls: a null text has no bytes and counts 1.  Which of the rows with the same id and text go to which of two
+shards is not defined.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.stages import cut
 
-KEY_BITS, FIRST_BITS, ROUND_BITS = 62, 12, 8
+KEY_BITS, FIRST_BITS, ROUND_BITS, SALT_BITS = 62, 12, 8, 14
 
 
-def shard_key(crc: Column, identity: Column) -> Column:
-    low = F.xxhash64(identity).bitwiseAND(F.lit((1 << 30) - 1))
-    return F.shiftleft(crc.cast("long"), 30).bitwiseOR(low)
+def shard_key(crc: Column, identity: Column, row: Column) -> Column:
+    """`row` tells rows with equal texts and ids apart."""
+    middle = F.xxhash64(identity).bitwiseAND(F.lit((1 << (30 - SALT_BITS)) - 1))
+    salt = F.xxhash64(row).bitwiseAND(F.lit((1 << SALT_BITS) - 1))
+    return F.shiftleft(crc.cast("long"), 30).bitwiseOR(F.shiftleft(middle, SALT_BITS)).bitwiseOR(salt)
 
 
 def splitters(keyed: DataFrame, parts: int, tolerance: float) -> list[int]:
@@ -71,7 +74,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, ranges: int = 16, tolerance: f
     """
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     sized = docs.select("doc_id", (F.length(raw) + 1).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"))
-    keyed = cut(sized.withColumn("key", shard_key(F.col("text_crc32"), F.col("doc_id"))))
+    keyed = cut(sized.withColumn("key", shard_key(F.col("text_crc32"), F.col("doc_id"), F.monotonically_increasing_id())))
     bounds = splitters(keyed, shards * ranges, tolerance)
     shard_bounds = bounds[ranges - 1 :: ranges]
     inner = [bounds[s * ranges : s * ranges + ranges - 1] for s in range(shards)]
