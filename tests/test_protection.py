@@ -1,5 +1,6 @@
 """The rules, the scan and what follows from findings, on small texts."""
 
+import json
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from veilmark.operators.envfile import looks_like_env, value_spans
 from veilmark.operators.policy import decide
 from veilmark.operators.transform import redact, rehydrate, swap_table, swapped
 from veilmark.sources.rules import Rule, builtin_rules, check_rules
+from veilmark.sources.wire import gemini_texts
 from veilmark.streaming.rehydrate import Rehydrator, put_back
 
 
@@ -106,3 +108,12 @@ def test_any_cuts_give_the_same_text():
             out += worker.push(text[at : at + n])
             at += n
         assert out + worker.push("", final=True) == put_back("", text, mocks), text
+
+
+def test_gemini_tool_results_are_whole(spark):
+    """Strings in arrays, deep, and with escapes, in order and decoded."""
+    response = {"lines": ["one", 'a "quoted"\nline'], "deep": {"more": [{"x": "é"}, ["inner", 5, None, True]]}, "last": "b\\c"}
+    body = json.dumps({"contents": [{"role": "user", "parts": [{"text": "hello"}, {"functionResponse": {"name": "f", "response": response}}]}]})
+    got = gemini_texts(spark.createDataFrame([(1, body)], "id long, body string"), "id", "body").orderBy("path").collect()
+    assert [r["text"] for r in got if r["kind"] == "tool_result"] == ["one", 'a "quoted"\nline', "é", "inner", "b\\c"]
+    assert [r["text"] for r in got if r["kind"] == "text"] == ["hello"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,22 @@ def responses_texts(df: DataFrame, key: str, body: str) -> DataFrame:
     )
 
 
+def _string_leaves(response: str | None) -> list[str]:
+    """All strings in a JSON value at any depth, decoded, in order; names of fields are none."""
+    try:
+        waiting = [json.loads(response or "null")]
+    except ValueError:
+        return [response]
+    found = []
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, str):
+            found.append(value)
+        elif isinstance(value, (dict, list)):
+            waiting.extend(reversed(list(value.values()) if isinstance(value, dict) else value))
+    return found
+
+
 def gemini_texts(df: DataFrame, key: str, body: str) -> DataFrame:
     """(id, path, kind, text) of Gemini bodies: system instruction and parts; function responses are tool results."""
     part = "struct<text:string,functionResponse:struct<response:string>>"
@@ -72,7 +90,7 @@ def gemini_texts(df: DataFrame, key: str, body: str) -> DataFrame:
     contents = _messages(df, key, body, f"array<struct<role:string,parts:array<{part}>>>", "$.contents")
     texts = lambda parts: F.transform(parts, lambda p: p["text"])
     tools = contents.select("id", F.explode("m.parts").alias("p")).where("p.functionResponse is not null")
-    leaves = F.regexp_extract_all("p.functionResponse.response", F.lit(r':\s*"((?:[^"\\]|\\.)*)"'), 1)
+    leaves = F.udf(_string_leaves, "array<string>", useArrow=True)("p.functionResponse.response")
     return _rows(system, key, texts(F.col("s.parts")), "system", "text").unionByName(_rows(contents, "id", texts(F.col("m.parts")), "contents", "text")).unionByName(_rows(tools, "id", leaves, "response", "tool_result"))
 
 
