@@ -63,11 +63,12 @@ def source_targets(sizes: DataFrame, share: float, weights: list[float], epochs:
 
 
 def mix_sources(
-    docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), epochs: float = 2.0, sized: DataFrame | None = None
+    docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3.0, 1.0, 2.0), epochs: float = 2.0, sized: DataFrame | None = None, carried: list[str] | None = None
 ) -> DataFrame:
     """Of `docs` (doc_id, text, source): row, doc_id, source, size, source_size, target, taken (words, repeats counted), copies.
 
-    `sized` may hand in (row, doc_id, source, size, weight, u) already worked out and written; row is unique.
+    `sized` may hand in (row, doc_id, source, size, weight, u) already worked out and written, row being unique, and further
+    columns, which `carried` names to have them returned.
     """
     rows = sized if sized is not None else sized_rows(docs)
     rows = rows.withColumn("key", -F.log("u") / F.col("weight"))
@@ -100,19 +101,18 @@ def mix_sources(
     joined = joined.join(best, joined["source"].eqNullSafe(best["of"]), "left").drop("of")
     again = F.col("picked") | F.coalesce(F.col("row") == F.col("extra"), F.lit(False))
     copies = (F.col("whole") + again.cast("int")).alias("copies")
-    return joined.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + again.cast("int"))).cast("long").alias("taken"), copies)
+    return joined.select("row", "doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + again.cast("int"))).cast("long").alias("taken"), copies, *(carried or []))
 
 
-def sized_rows(docs: DataFrame, number: str | None = None) -> DataFrame:
-    """What the sampling needs of each row, without its text, written; `number` may name a column of unique row numbers."""
-    row = F.col(number) if number else F.monotonically_increasing_id()
-    size = word_count(F.col("text"))
+def sized_rows(docs: DataFrame, carried: list[Column] | None = None) -> DataFrame:
+    """What the sampling needs of each row, without its text, and the columns `carried`, written with a row number."""
+    size, more = word_count(F.col("text")), carried or []
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    content = docs.select(row.alias("row"), "doc_id", "source", size.alias("size"), quality_weight(F.col("text"), size).alias("weight"), name.alias("name"), F.xxhash64("text").alias("hash"))
+    content = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size.alias("size"), quality_weight(F.col("text"), size).alias("weight"), name.alias("name"), F.xxhash64("text").alias("hash"), *more)
     rows = cut(content)  # texts are read once
     same = rows.groupBy("name", "hash").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
     shared = same.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
     repeated = same.join(shared, "name").select("name", "hash", "first")
     of_text = F.concat_ws("/", "name", F.col("hash").cast("string"))
     own = F.when(F.col("first").isNull(), F.col("name")).when(F.col("first") == F.col("row"), of_text).otherwise(F.concat_ws("/", of_text, F.col("row").cast("string")))
-    return cut(rows.join(repeated, ["name", "hash"], "left").select("row", "doc_id", "source", "size", "weight", uniform(own).alias("u")))
+    return cut(rows.join(repeated, ["name", "hash"], "left").withColumn("u", uniform(own)).drop("name", "hash", "first"))

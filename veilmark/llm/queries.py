@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from veilmark.llm.ngramjoin import jaccard_components
 from veilmark.llm.packing import pack_documents
 from veilmark.llm.quality import fit_quality, score_quality
 from veilmark.llm.sharding import shard_rows
-from veilmark.llm.stages import cut
+from veilmark.llm.stages import cut, shared_folder
 from veilmark.llm.tokencounts import TokenRollup, signed, token_counts
 from veilmark.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from veilmark.llm.urlfilter import UrlRule, judge_urls
@@ -50,8 +49,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after a load, a deletion, its reversal, a revision of counts and a batch that is delivered twice."""
     counts = cut(token_counts(table(spark, sf_dir, "documents")))
-    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rollup-")
-    rollup = TokenRollup(spark, f"{home.rstrip('/')}/token-rollup-{uuid.uuid4().hex}")
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
     turn = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4))
     rollup.commit("0001-load", signed(counts, 1, "words@1", "words").unionByName(signed(counts.where(turn != 0), 1, "word_bpe_49k@1", "subwords")))
     rollup.commit("0002-late", signed(counts.where(turn == 0), 1, "word_bpe_49k@1", "words"))

@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names.  Only a session on one machine may go without, and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="shared-")
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,26 +29,43 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(spark))
+    conf, name = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")  # once the result is written, nobody reads the shuffles that led to it
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(name, before)
 
 
-def keyed(df: DataFrame, key: str) -> DataFrame:
-    """`df` with a number of its own for each row as `key`, written once as compressed Parquet, so that numbers and rows stay together."""
-    spark = df.sparkSession
-    home = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyed-")).rstrip("/")
-    path = f"{home}/keyed-{uuid.uuid4().hex}"
-    df.withColumn(key, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+def content_key(columns: list[str]) -> list[Column]:
+    """Two independent 64-bit hashes of a row, as _h1 and _h2: together they tell any two rows apart."""
+    return [F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit("second"), *columns).alias("_h2")]
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The distinct rows of `docs` with _h1 and _h2, dealt by them; equal rows meet before and after the shuffle."""
+    first = [F.first(c).alias(c) for c in docs.columns]
+    return docs.select("*", *content_key(docs.columns)).groupBy("_h1", "_h2").agg(*first)
+
+
+def _plain(setting: str) -> int:
+    """A number of rows or bytes; 0 for one with another unit, which is then replaced."""
+    digits = setting.removesuffix("b")
+    return int(digits) if digits.lstrip("-").isdigit() else 0
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """`df`; from now on its session hands Python BATCH_ROWS rows at most at once, as texts and sets of shingles are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """`df`; from now on its session hands Python BATCH_ROWS rows and about BATCH_BYTES at most at once, as texts are long.
+
+    A batch ends with the row that reaches the bytes.  Plans read both settings when they run, so they stay lowered.
+    """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = _plain(conf.get(name))
+        if not 0 < held <= most:
+            conf.set(name, f"{most}b" if "Bytes" in name else str(most))
     return df
 
 

@@ -6,6 +6,8 @@ Texts are lower-cased on A-Z only and split on the six ASCII white-space bytes,
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -90,21 +92,53 @@ class WordBlock:
 _PLACES = mix64(np.arange(11, 43, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
+LANES = 3  # words of up to 8 * LANES bytes are hashed together
+_SEEDS = mix64(np.arange(101, 101 + LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)  # the low n bytes of a number
+
+
+def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end]: 8 bytes at a time, each mixed in before the next, and BLAKE2 of long words.
+
+    `data` must go on for 8 * LANES bytes after the last word.
+    """
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    length = end - start
+    out = mix64(length.astype(np.uint64) * _SEEDS[LANES])
+    for lane in range(LANES):
+        some = np.flatnonzero(length > 8 * lane) if lane else slice(None)
+        held = eight[start[some] + 8 * lane] & _KEEP[np.minimum(length[some] - 8 * lane, 8)]
+        out[some] = mix64(out[some] ^ mix64(held * _SEEDS[lane] + np.uint64(lane)))
+    for i in np.flatnonzero(length > 8 * LANES):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def shingle_sets(raws: list[bytes], k: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; with fewer words, of the whole sequence."""
-    block = WordBlock(raws)
-    words, at = block.hashes, block.offsets
-    n = len(words)
-    mixed = np.zeros(max(n, 1), dtype=np.uint64)
-    for j in range(k):
-        if n > j:
-            mixed[: n - j] += words[j:] * _PLACES[j]
+    data = (b"\n".join(raws) + b"\n").translate(LOWER) + bytes(8 * LANES)
+    space = _SPACE[np.frombuffer(data, dtype=np.uint8, count=len(data) - 8 * LANES)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate([[0], edges])
+    start, end = edges[0::2], edges[1::2]
+    words = word_hashes(data, start, end)
+    bounds = np.zeros(len(raws) + 1, dtype=np.int64)
+    np.cumsum([len(r) + 1 for r in raws], out=bounds[1:])
+    at, n = np.searchsorted(start, bounds), len(words)
+    mixed = np.zeros(n, dtype=np.uint64)
+    for j in range(min(k, n)):
+        mixed[: n - j] += words[j:] * _PLACES[j]
     mixed = mix64(mixed)
     out = []
-    for i in range(len(raws)):
-        a, b = at[i], at[i + 1]
+    for a, b in zip(at[:-1], at[1:]):
         if b - a >= k:
-            out.append(np.unique(mixed[a : b - k + 1]))
+            out.append(_distinct(mixed[a : b - k + 1]))
         elif b > a:
             out.append(mix64(np.sum(words[a:b] * _PLACES[: b - a], keepdims=True) + _PLACES[k + b - a : k + b - a + 1]))
         else:
