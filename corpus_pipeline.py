@@ -6,17 +6,17 @@ and read again for the next.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.llm.components import components
 from veilmark.llm.mixing import mix_sources, sized_rows
-from veilmark.llm.ngramjoin import jaccard_components
+from veilmark.llm.ngramjoin import link_classes
 from veilmark.llm.packing import pack_documents
 from veilmark.llm.quality import fit_quality, score_quality_rows
-from veilmark.llm.stages import keyed
+from veilmark.llm.stages import content_key, cut, one_of_each, shared_folder
 from veilmark.llm.toxicity import fit_toxicity, score_toxicity_rows
 
 
@@ -37,20 +37,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are compared as rows, whatever their ids: different texts of one id all stay, copies without an id go.  Ties of ids
     go by a hash of the whole row.  A text without words is like no other.
     """
-    rows = keyed(docs.withColumn("_near_order", F.xxhash64(*docs.columns)), "_near_key")
-    alike = jaccard_components(rows.select(F.col("_near_key").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("_near_key"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_near_order", "_near_key")
-    first = rows.select("doc_id", "_near_order", "_near_key").join(alike, "_near_key").groupBy("component_id").agg(F.min(order).alias("first"))
-    return rows.join(first.select("first._near_key"), "_near_key", "left_semi").select(docs.columns)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    h1, h2 = content_key(docs.columns)
+    found = link_classes(docs.where(worded).select(h1.alias("tag"), "doc_id", h1, h2, "text"), k=5, percent=80)
+    member = components(found.edges)
+    place = found.class_of.join(member, F.col("id") == F.col("node"), "left").select("digest", "salt", F.coalesce("component", "id").alias("component"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_h1", "_h2")
+    first = cut(found.rows.join(place, ["digest", "salt"]).groupBy("component").agg(F.min(order).alias("first")).select("first._h1", "first._h2"))
+    kept = one_of_each(docs.where(worded)).join(first, ["_h1", "_h2"], "left_semi").select(docs.columns)
+    return kept.unionByName(docs.where(~worded))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it, rows that share an id each by itself; rows without an id once."""
-    rows = keyed(docs, "_mix_row")
-    named = rows.where("doc_id is not null")
-    copies = mix_sources(named, sized=sized_rows(named, "_mix_row")).where("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").alias("_mix_copies"))
-    repeated = named.join(copies, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(docs.columns)
-    return repeated.unionByName(rows.where("doc_id is null").select(docs.columns))
+    """Each row as often as the mix takes it, rows that share an id each by itself; rows without an id once.
+
+    Of equal rows one is read and repeated; a row of very many copies is repeated by several tasks.
+    """
+    named = docs.where("doc_id is not null")
+    mixed = mix_sources(named, sized=sized_rows(named, content_key(docs.columns)), carried=["_h1", "_h2"])
+    lots = F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / LOT)))
+    copies = cut(mixed.where("copies > 0").groupBy("_h1", "_h2").agg(F.sum("copies").alias("_copies")).withColumn("_lot", lots))
+    rows = one_of_each(named).join(copies, ["_h1", "_h2"])
+    few = rows.where(F.col("_copies") <= LOT)
+    many = rows.where(F.col("_copies") > LOT).repartition("_h1", "_h2", "_lot")
+    times = F.least(F.col("_copies") - F.col("_lot") * LOT, F.lit(LOT))
+    repeated = [part.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(docs.columns) for part in (few, many)]
+    return repeated[0].unionByName(repeated[1]).unionByName(docs.where("doc_id is null"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +70,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
+LOT = 1000  # copies of one row that one task writes
+
 STAGES = [("toxicity", toxicity), ("quality", quality), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
 #: No SQL: trained classifiers, a tokenizer and packing; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -65,7 +79,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    home = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")).rstrip("/")
+    home = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
         path = f"{home}/pipeline-{uuid.uuid4().hex}/{name}"
