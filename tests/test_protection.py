@@ -13,7 +13,7 @@ from veilmark.operators.envfile import looks_like_env, value_spans
 from veilmark.operators.policy import decide
 from veilmark.operators.transform import redact, rehydrate, swap_table, swapped
 from veilmark.sources.rules import Rule, builtin_rules, check_rules
-from veilmark.sources.wire import gemini_texts
+from veilmark.sources.wire import request_texts, written_back
 from veilmark.streaming.rehydrate import Rehydrator, put_back
 
 
@@ -114,6 +114,28 @@ def test_gemini_tool_results_are_whole(spark):
     """Strings in arrays, deep, and with escapes, in order and decoded."""
     response = {"lines": ["one", 'a "quoted"\nline'], "deep": {"more": [{"x": "é"}, ["inner", 5, None, True]]}, "last": "b\\c"}
     body = json.dumps({"contents": [{"role": "user", "parts": [{"text": "hello"}, {"functionResponse": {"name": "f", "response": response}}]}]})
-    got = gemini_texts(spark.createDataFrame([(1, body)], "id long, body string"), "id", "body").orderBy("path").collect()
+    got = request_texts(spark.createDataFrame([(1, body)], "id long, body string"), "id", "body", "gemini").orderBy("path").collect()
     assert [r["text"] for r in got if r["kind"] == "tool_result"] == ["one", 'a "quoted"\nline', "é", "inner", "b\\c"]
     assert [r["text"] for r in got if r["kind"] == "text"] == ["hello"]
+
+
+BRACKETS = [
+    ("anthropic", {"messages": [{"role": "user", "content": "[INST] my key"}]}),
+    ("openai", {"messages": [{"role": "user", "content": "[INST] my key"}]}),
+    ("responses", {"input": "[INST] my key"}),
+    ("gemini", {"contents": [{"parts": [{"text": "[INST] my key"}]}]}),
+]
+
+
+@pytest.mark.parametrize("shape,body", BRACKETS)
+def test_bracket_texts_and_write_back(spark, shape, body):
+    """A text that looks like a list is a text; unchanged bodies keep their very bytes, changed ones get the directive once."""
+    raw = [json.dumps(body), " " + json.dumps(body), "no json", "[1]", None]
+    df = spark.createDataFrame(list(enumerate(raw)), "id long, body string")
+    texts = request_texts(df, "id", "body", shape)
+    assert [(r["id"], r["text"]) for r in texts.orderBy("id").collect()] == [(0, "[INST] my key"), (1, "[INST] my key")]
+    new = texts.where("id = 0").withColumn("text", F.lit('other "text"\n'))
+    out = {r["id"]: r["body"] for r in written_back(df, "id", "body", shape, new, "NOTE").collect()}
+    assert [out[i] for i in range(1, 5)] == raw[1:]
+    held = [r["text"] for r in request_texts(spark.createDataFrame([(0, out[0])], "id long, body string"), "id", "body", shape).collect()]
+    assert sorted(held) == sorted(["NOTE", 'other "text"\n'])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,10 +12,9 @@ HASH_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 def entropy(s: Column) -> Column:
     """Shannon entropy in bits a character; 0 for an empty string."""
-    letters = F.filter(F.split(s, ""), lambda c: c != "")
-    share = lambda c: F.size(F.filter(letters, lambda d: d == c)) / F.size(letters)
-    shares = F.transform(F.array_distinct(letters), share)
-    return F.aggregate(shares, F.lit(0.0), lambda total, p: total - p * F.log2(p))
+    kinds = F.filter(F.array_distinct(F.split(s, "")), lambda c: c != "")
+    count = lambda c: F.length(s) - F.length(F.replace(s, c))
+    return F.aggregate(F.transform(kinds, lambda c: count(c) / F.length(s)), F.lit(0.0), lambda total, p: total - p * F.log2(p))
 
 
 def has_char_mix(s: Column) -> Column:
@@ -41,7 +42,7 @@ def window(text: Column, start: Column, end: Column, radius: int) -> Column:
 
 def has_any(s: Column, words: list[str]) -> Column:
     """Whether one of the lower-case `words` is a substring."""
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(s, w)) if words else F.lit(False)
+    return reduce(Column.__or__, [F.contains(s, F.lit(w)) for w in words], F.lit(False))
 
 
 def mask_value(v: Column) -> Column:

@@ -1,22 +1,22 @@
 """Finding sensitive values: candidates, context, and the choice among overlapping ones.
 
 `candidates` is one Arrow batch function that only lists matches; everything that judges a match (validators, windows,
-entropy, allowlist, environment, confidence) is built of Spark's own functions on one row a candidate.  Overlaps are
-resolved by a fold over a text's findings in order.
+entropy, allowlist, environment, confidence) is built of Spark's own functions on one row a candidate, which has the text
+around the match and not the whole text.  Overlaps are resolved by a fold over a text's findings in order.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as sre_parse
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.functions.text import entropy, has_any, has_char_mix, is_hash_or_uuid, is_identifier, window
+from veilmark.functions.text import entropy, has_any, has_char_mix, is_hash_or_uuid, is_identifier
 from veilmark.operators.config import CONTEXT_WORDS, DEV_WORDS, PROD_WORDS, ScanConfig
-from veilmark.sources.rules import Rule
 
 SPACE = "[\\t\\n\\x0b\\f\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 # Fixed value: an assignment of a quoted or bare value.
@@ -44,51 +44,129 @@ def python_regex(rule_regex: str, ignore_case: bool = False) -> re.Pattern:
     return re.compile("".join(out), re.ASCII | (re.IGNORECASE if ignore_case else 0))
 
 
-def _candidate_rows(text: str, rules: list[tuple[str, re.Pattern, int]], assignment: re.Pattern, token: re.Pattern) -> list[tuple]:
-    """(seq, kind, rule, start, end, value, key) of all matches in a text."""
-    out: list[tuple] = []
-    for rule_id, pattern, group in rules:
-        for m in pattern.finditer(text):
-            value, start = m.group(), m.start()
-            if group and m.group(group) is not None:
-                start, value = m.start() + m.group().index(m.group(group)), m.group(group)
-            if value:
-                out.append((len(out), "rule", rule_id, start, start + len(value), value, ""))
-    for m in token.finditer(text):
-        out.append((len(out), "entropy", "entropy.high_entropy_string", m.start(), m.end(), m.group(), ""))
-    for m in assignment.finditer(text):
-        raw = m.group(3)
-        value = raw.strip()
-        start = m.end() - len(m.group(2)) - len(raw) + len(raw) - len(raw.lstrip())
-        if value:
-            out.append((len(out), "structural", "structural.assignment", start, start + len(value), value, m.group(1).lower()))
-    return out
+def needles(pattern: str, ignore_case: bool) -> list[str]:
+    """Strings of which each match of `pattern` holds at least one; empty if none is known.  Lower-cased with `ignore_case`."""
+
+    def of(parts) -> list[str]:
+        best: list[str] = []
+        run = ""
+
+        def better(found: list[str]) -> None:
+            nonlocal best
+            if found and (not best or min(map(len, found)) > min(map(len, best))):
+                best = found
+
+        for kind, value in parts:
+            if kind is sre_parse.LITERAL:
+                run += chr(value)
+                continue
+            better([run] if run else [])
+            run = ""
+            if kind is sre_parse.SUBPATTERN:
+                better(of(value[-1]))
+            elif kind in (sre_parse.MAX_REPEAT, sre_parse.MIN_REPEAT) and value[0] >= 1:
+                better(of(value[2]))
+            elif kind is sre_parse.BRANCH:
+                each = [of(branch) for branch in value[1]]
+                better([x for found in each for x in found] if all(each) else [])
+        better([run] if run else [])
+        return best
+
+    found = of(sre_parse.parse(pattern))
+    return sorted({x.lower() for x in found} if ignore_case else set(found))
+
+
+class Matcher:
+    """Lists the matches in a text.  Rules whose needles, or whose context words if they need any, aren't there are not tried."""
+
+    COLUMNS = "seq int, kind string, rule_id string, start int, `end` int, value string, key string, around string, tier int, type string, base string, validator string, least_bits double, words array<string>, mask_hint string"
+
+    def __init__(self, config: ScanConfig):
+        self.rules, self.always = [], []
+        self.exact: dict[str, list[int]] = {}  # needles in the text, and in the lower-cased text, with the rules that need them
+        self.lower: dict[str, list[int]] = {}
+        for r in config.every_rule():
+            about = (r.tier, r.type, r.confidence, r.validator, float(r.entropy), [w.lower() for w in r.context], r.mask_hint)
+            held, at = needles(r.regex, r.ignore_case), len(self.rules)
+            lower = r.ignore_case
+            if not held and r.tier == 3 and not r.context_regex:
+                held, lower = about[5], True
+            self.rules.append((r.id, python_regex(r.regex, r.ignore_case), r.group, about))
+            self.always += [] if held else [at]
+            for needle in held:
+                (self.lower if lower else self.exact).setdefault(needle, []).append(at)
+        self.assignment, self.token = python_regex(ASSIGNMENT), re.compile(r"[A-Za-z0-9\-_+/=.]{%d,}" % config.entropy_min_length)
+        self.radius, self.context = config.context_window, config.require_context_for_entropy
+
+    def rows(self, text: str) -> list[tuple]:
+        out: list[tuple] = []
+        low = text.lower()
+
+        def add(kind: str, rule: str, start: int, value: str, key: str, about: tuple) -> None:
+            around = text[max(0, start - self.radius) : start + len(value) + self.radius]
+            out.append((len(out), kind, rule, start, start + len(value), value, key, around, *about))
+
+        tried = set(self.always)
+        for where, known in ((text, self.exact), (low, self.lower)):
+            for needle in known:
+                if needle in where:
+                    tried.update(known[needle])
+        for at in sorted(tried):
+            rule_id, pattern, group, about = self.rules[at]
+            for m in pattern.finditer(text):
+                value, start = m.group(), m.start()
+                if group and m.group(group) is not None:
+                    start, value = m.start(group), m.group(group)
+                if value:
+                    add("rule", rule_id, start, value, "", about)
+        if not self.context or any(w in low for w in CONTEXT_WORDS):
+            for m in self.token.finditer(text):
+                add("entropy", "entropy.high_entropy_string", m.start(), m.group(), "", NO_RULE)
+        if "=" in text or ":" in text:
+            for m in self.assignment.finditer(text):
+                raw = m.group(3)
+                if value := raw.strip():
+                    add("structural", "structural.assignment", m.start(3) + len(raw) - len(raw.lstrip()), value, m.group(1).lower(), NO_RULE)
+        return out
+
+
+NO_RULE = (0, "", "", "", 0.0, [], "")
 
 
 def candidates(df: DataFrame, key: str, text: str, config: ScanConfig) -> DataFrame:
-    """`key`, text, and every match as a row of its own."""
-    specs = [(r.id, r.regex, r.ignore_case, r.group) for r in config.every_rule()]
-    shortest = config.entropy_min_length
+    """Every match as a row of its own: `key` as id, the match, the text around it, and what its rule says of it."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = [(i, python_regex(x, c), g) for i, x, c, g in specs]
-        assignment, token = python_regex(ASSIGNMENT), re.compile(r"[A-Za-z0-9\-_+/=.]{%d,}" % shortest)
+        matcher = Matcher(config)
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.string()]
+        names = [c.split()[0].strip("`") for c in Matcher.COLUMNS.split(", ")]
+
+        def batch_of(ids: pa.Array, take: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", *names])
+
         for batch in batches:
             take: list[int] = []
             rows: list[tuple] = []
             for i, x in enumerate(batch.column(1)):
                 if value := x.as_py():
-                    got = _candidate_rows(value, rules, assignment, token)
+                    got = matcher.rows(value)
                     take += [i] * len(got)
                     rows += got
-            kept = batch.take(pa.array(take, pa.int64()))
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], [*batch.schema.names, "seq", "kind", "rule_id", "start", "end", "value", "key"])
+                    if len(rows) >= 20_000:
+                        yield batch_of(batch.column(0), take, rows)
+                        take, rows = [], []
+            yield batch_of(batch.column(0), take, rows)
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(match, f"id {kind}, text string, seq int, kind string, rule_id string, start int, `end` int, value string, key string")
+    rows = spread(df.select(F.col(key).alias("id"), F.col(text).alias("text")))
+    return rows.mapInArrow(match, f"id {kind}, {Matcher.COLUMNS}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out anew where it has fewer partitions than there are cores, as small files have; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def valid_card(value: Column) -> Column:
@@ -111,36 +189,29 @@ def valid_ssn(value: Column) -> Column:
     return (F.length(d) == 9) & (area > 0) & (area != 666) & (area < 900) & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000")
 
 
-def _by_rule(rules: list[Rule], field) -> Column:
-    pairs = [x for r in rules for x in (F.lit(r.id), field(r))]
-    return F.element_at(F.create_map(*pairs), F.col("rule_id"))
-
-
 def judged(matches: DataFrame, config: ScanConfig) -> DataFrame:
     """The candidates that stand, with type, confidence and environment; before overlaps are resolved."""
-    rules = config.every_rule()
-    near = window(F.col("text"), F.col("start"), F.col("end"), config.context_window)
-    rows = matches.withColumn("near", near).withColumn("tight", window(F.col("text"), F.col("start"), F.col("end"), 12))
+    value, radius = F.col("value"), config.context_window
+    before = F.least("start", F.lit(radius))  # characters of `around` before the value
+    rows = matches.withColumn("near", F.lower("around"))
+    close = F.least(before, F.lit(12))
+    rows = rows.withColumn("tight", F.substring("near", before - close + 1, close + F.length(value) + 12))
     rows = rows.where(~has_any(F.lower("value"), config.allowed()) & ~has_any(F.col("tight"), config.allowed()))
-    tier = _by_rule(rules, lambda r: F.lit(r.tier))
-    rows = rows.withColumns({"tier": F.coalesce(tier, F.lit(0)), "contextual": has_any(F.col("near"), CONTEXT_WORDS), "bits": entropy(F.col("value"))})
-    is_rule, value = F.col("kind") == "rule", F.col("value")
-    validator = F.coalesce(_by_rule(rules, lambda r: F.lit(r.validator)), F.lit(""))
-    passes = F.when(validator == "credit_card", valid_card(value)).when(validator == "ssn", valid_ssn(value)).otherwise(F.lit(True))
-    words = F.coalesce(_by_rule(rules, lambda r: F.array(*[F.lit(w.lower()) for w in r.context]) if r.context else F.array().cast("array<string>")), F.array().cast("array<string>"))
-    gate = F.exists(words, lambda w: F.contains(F.col("near"), w))
-    around = F.substring("text", F.greatest(F.col("start") - config.context_window, F.lit(0)) + 1, F.col("end") - F.col("start") + 2 * config.context_window)
-    for r in rules:
+    is_rule, shaped = F.col("kind") == "rule", F.col("tier").isin(1, 2)
+    rows = rows.withColumns({"contextual": has_any(F.col("near"), CONTEXT_WORDS), "bits": F.when(~shaped, entropy(value)).otherwise(F.lit(0.0))})
+    passes = F.when(F.col("validator") == "credit_card", valid_card(value)).when(F.col("validator") == "ssn", valid_ssn(value)).otherwise(F.lit(True))
+    gate = F.exists("words", lambda w: F.contains(F.col("near"), w))
+    for r in config.every_rule():
         if r.context_regex:
-            gate = gate | ((F.col("rule_id") == r.id) & around.rlike(r.context_regex))
+            gate = gate | ((F.col("rule_id") == r.id) & F.col("around").rlike(r.context_regex))
     secretive = has_char_mix(value) & ~is_hash_or_uuid(value)
-    shapeless = secretive & (F.col("bits") >= F.coalesce(_by_rule(rules, lambda r: F.lit(r.entropy)), F.lit(0.0))) & gate
+    shapeless = secretive & (F.col("bits") >= F.col("least_bits")) & gate
     worth = ~value.rlike(r"[()\s=]") & (has_any(F.col("key"), CONTEXT_WORDS) | ((F.length(value) >= 16) & has_char_mix(value) & (F.col("bits") >= 3.5)))
     blob = secretive & ~is_identifier(value) & (F.col("bits") >= config.entropy_threshold) & (F.col("contextual") | F.lit(not config.require_context_for_entropy))
     stands = F.when(is_rule & (F.col("tier") == 3), shapeless).when(is_rule, passes).when(F.col("kind") == "entropy", blob).otherwise(worth)
     if config.suppressed_rule_ids:
         stands = stands & ~F.col("rule_id").isin(*config.suppressed_rule_ids)
-    base = _by_rule(rules, lambda r: F.lit(r.confidence))
+    base = F.col("base")
     raised = F.when(base == "low", "medium").otherwise("high")
     of_rule = F.when((F.col("tier") != 3) & (base != "high") & F.col("contextual"), raised).otherwise(base)
     of_assignment = F.when((F.col("bits") >= 4.0) & has_char_mix(value), "high").when(F.col("bits") < 3.0, "low").otherwise("medium")
@@ -149,11 +220,11 @@ def judged(matches: DataFrame, config: ScanConfig) -> DataFrame:
     found = rows.where(stands).withColumns(
         {
             "layer": F.when(is_rule, "known_pattern").otherwise(F.col("kind")),
-            "type": F.when(is_rule, _by_rule(rules, lambda r: F.lit(r.type))).when(F.col("kind") == "entropy", "high_entropy_string").otherwise("env_assignment"),
+            "type": F.when(is_rule, F.col("type")).when(F.col("kind") == "entropy", "high_entropy_string").otherwise("env_assignment"),
             "confidence": confidence,
             "environment": F.when(prod & ~dev, "prod").when(dev & ~prod, "dev").otherwise("unknown"),
             "reason": F.when(is_rule, F.concat(F.lit("Matches the rule "), F.col("rule_id"))).when(F.col("kind") == "entropy", "High-entropy string near a word for credentials").otherwise(F.concat(F.lit("Assignment to "), F.col("key"))),
-            "mask_hint": F.nullif(F.coalesce(_by_rule(rules, lambda r: F.lit(r.mask_hint)), F.lit("")), F.lit("")),
+            "mask_hint": F.nullif(F.col("mask_hint"), F.lit("")),
         }
     )
     return found.select("id", "seq", "layer", "type", "confidence", "start", "end", "value", "environment", "reason", "rule_id", "mask_hint")

@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 
 from veilmark.operators.config import ScanConfig
 
-# Names of types that aren't their own words.
-LABELS = {"aws_access_key": "AWS access key", "aws_secret_key": "AWS secret key", "credit_card": "credit card number", "ssn": "US Social Security number", "database_url": "database URL", "jwt": "JWT", "env_assignment": "credential assignment", "high_entropy_string": "high-entropy string", "custom": "custom sensitive value", "oauth_bearer": "OAuth bearer token", "generic_api_key": "API key"}
+# What types are called in messages.
+LABELS = {
+    "aws_access_key": "AWS access key", "aws_secret_key": "AWS secret key", "aws_bedrock_key": "AWS Bedrock API key", "gcp_api_key": "GCP API key",
+    "gcp_service_account": "GCP service account key", "azure_token": "Azure token", "digitalocean_token": "DigitalOcean token", "heroku_key": "Heroku API key",
+    "flyio_token": "Fly.io token", "cloudflare_key": "Cloudflare key", "doppler_token": "Doppler token", "databricks_token": "Databricks token",
+    "vault_token": "Vault token", "pulumi_token": "Pulumi token", "hashicorp_token": "HashiCorp token", "dynatrace_token": "Dynatrace token",
+    "github_token": "GitHub token", "gitlab_token": "GitLab token", "slack_token": "Slack token", "atlassian_token": "Atlassian token",
+    "linear_token": "Linear token", "notion_token": "Notion token", "okta_token": "Okta token", "stripe_key": "Stripe key", "square_token": "Square token",
+    "openai_key": "OpenAI key", "anthropic_key": "Anthropic key", "huggingface_token": "Hugging Face token", "cohere_token": "Cohere token",
+    "sendgrid_key": "SendGrid key", "shopify_token": "Shopify token", "npm_token": "npm token", "pypi_token": "PyPI token", "postman_token": "Postman token",
+    "planetscale_token": "PlanetScale token", "new_relic_key": "New Relic key", "sentry_token": "Sentry token", "grafana_token": "Grafana token",
+    "twilio_key": "Twilio key", "artifactory_key": "Artifactory key", "mailchimp_token": "Mailchimp token", "dropbox_token": "Dropbox token",
+    "airtable_token": "Airtable token", "jwt": "JWT", "oauth_bearer": "OAuth bearer token", "private_key": "private key", "database_url": "database URL",
+    "generic_api_key": "API key", "high_entropy_string": "high-entropy string", "env_assignment": "credential assignment",
+    "credit_card": "credit card number", "ssn": "US Social Security number", "custom": "custom sensitive value",
+}
 
 
 def action_of(finding: Column, config: ScanConfig) -> Column:

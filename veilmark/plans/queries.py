@@ -13,10 +13,10 @@ from veilmark.functions.text import entropy, has_char_mix, mask_value, match_sta
 from veilmark.operators.config import ScanConfig
 from veilmark.operators.detect import scan, valid_card
 from veilmark.operators.envfile import looks_like_env, mask_env
-from veilmark.operators.infra import mask_infra
+from veilmark.operators.infra import InfraConfig, mask_infra
 from veilmark.operators.policy import decide, incident_report, incidents, retain_last
 from veilmark.operators.transform import mock_for, redact, rehydrate, swap_table, swapped
-from veilmark.sources.wire import anthropic_texts, gemini_texts, kept_headers, openai_texts, responses_texts, sse_events, REQUEST_HEADERS_DROPPED
+from veilmark.sources.wire import FORMATS, REQUEST_HEADERS_DROPPED, kept_headers, request_texts, sse_events, written_back
 from veilmark.streaming.rehydrate import cut_into_chunks, rehydrate_chunks
 
 KEY_TEXTS = """SELECT o_orderkey AS id, 'access key AKIA' || upper(substr(md5(cast(o_orderkey AS varchar(20))), 1, 16)) || CASE o_orderkey % 4 WHEN 0 THEN ' in prod' WHEN 1 THEN ' in dev' WHEN 2 THEN ' of example' ELSE ' at noon' END AS text FROM orders"""
@@ -35,7 +35,7 @@ def derived(spark: SparkSession, sf_dir: str, source: str, sql: str) -> DataFram
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text", "lang", "source")
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
 CARD = r"(?<![A-Za-z0-9_])[2-6](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_])"
@@ -51,9 +51,10 @@ def findings_credit_card(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(documents(spark, sf_dir))
+    rows = documents(spark, sf_dir).withColumn("key", F.struct("doc_id", F.monotonically_increasing_id().alias("row")))  # ids may be null or repeat
+    found = scan(rows, "key")
     f = F.explode("findings").alias("f")
-    return found.select(F.col("id").alias("doc_id"), f).select("doc_id", "f.rule_id", "f.type", "f.confidence", "f.environment", "f.start", "f.end", mask_value(F.col("f.value")).alias("masked"))
+    return found.select(F.col("id.doc_id").alias("doc_id"), f).select("doc_id", "f.rule_id", "f.type", "f.confidence", "f.environment", "f.start", "f.end", mask_value(F.col("f.value")).alias("masked"))
 
 
 def scan_counts_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +71,7 @@ def decide_key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = derived(spark, sf_dir, "orders", KEY_TEXTS)
     found = scan(texts, "id", "text")
-    return texts.join(found, "id").select("id", redact(F.col("text"), F.col("findings")).alias("redacted"))
+    return texts.join(found, "id", "left").select("id", F.when(F.col("findings").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("findings"))).alias("redacted"))
 
 
 def incident_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,27 +117,79 @@ def env_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def infra_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived(spark, sf_dir, "supplier", HOST_TEXTS)
-    masked = mask_infra(F.col("text"), "salt")
+    masked = mask_infra(F.col("text"), InfraConfig("salt"))
     shape = F.regexp_replace(F.regexp_replace(masked, "host-[0-9a-z]{6}", "host-TAG"), r"10\.[0-9]+\.[0-9]+\.[0-9]+", "ADDRESS")
     return rows.select("id", shape.alias("shape"))
 
 
 def _bodies(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("text is not null").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
-    text = F.col("text")
+    rows = table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    text = F.coalesce("text", F.lit(""))
     part = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
     body = {
         "anthropic": F.struct(F.lit("be brief").alias("system"), F.array(F.struct("role", part.alias("content"))).alias("messages")),
         "openai": F.struct(F.array(F.struct("role", text.alias("content"))).alias("messages")),
         "responses": F.struct(F.lit("be brief").alias("instructions"), text.alias("input")),
-        "gemini": F.struct(F.array(F.struct("role", F.array(F.struct("text")).alias("parts"))).alias("contents")),
+        "gemini": F.struct(F.array(F.struct("role", F.array(F.struct(text.alias("text"))).alias("parts"))).alias("contents")),
     }[shape]
     return rows.select("id", F.to_json(body).alias("body"))
 
 
-def _wire(shape: str, reader):
+def _wire(shape: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return reader(_bodies(spark, sf_dir, shape), "id", "body").select("id", "kind", "text")
+        return request_texts(_bodies(spark, sf_dir, shape), "id", "body", shape).select("id", "kind", "text")
+
+    return query
+
+
+def _tool_bodies(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
+    """Bodies with bracket texts, lists of parts and tool results; every third text stays as it is."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    t, said = F.col("t"), F.concat(F.lit("[INST] "), "t")
+    lit = F.lit
+    part = lambda kind, text: F.struct(lit(kind).alias("type"), text.alias("text"))
+    body = {
+        "anthropic": F.struct(
+            F.array(part("text", lit("rules"))).alias("system"),
+            F.array(
+                F.to_variant_object(F.struct(lit("user").alias("role"), said.alias("content"))),
+                F.to_variant_object(F.struct(lit("user").alias("role"), F.array(F.struct(lit("tool_result").alias("type"), lit("call-1").alias("tool_use_id"), F.array(part("text", t)).alias("content"))).alias("content"))),
+            ).alias("messages"),
+        ),
+        "openai": F.struct(
+            F.array(
+                F.to_variant_object(F.struct(lit("system").alias("role"), lit("rules").alias("content"))),
+                F.to_variant_object(F.struct(lit("user").alias("role"), F.array(part("text", said)).alias("content"))),
+                F.to_variant_object(F.struct(lit("tool").alias("role"), lit("call-1").alias("tool_call_id"), t.alias("content"))),
+            ).alias("messages")
+        ),
+        "responses": F.struct(
+            lit("rules").alias("instructions"),
+            F.array(
+                F.to_variant_object(F.struct(lit("message").alias("type"), F.array(part("input_text", said)).alias("content"))),
+                F.to_variant_object(F.struct(lit("function_call_output").alias("type"), lit("call-1").alias("call_id"), t.alias("output"))),
+            ).alias("input"),
+        ),
+        "gemini": F.struct(
+            F.struct(F.array(F.struct(lit("rules").alias("text"))).alias("parts")).alias("systemInstruction"),
+            F.array(F.struct(F.array(F.to_variant_object(F.struct(said.alias("text"))), F.to_variant_object(F.struct(F.struct(lit("call-1").alias("id"), F.struct(F.array(t).alias("lines")).alias("response")).alias("functionResponse")))).alias("parts"))).alias("contents"),
+        ),
+    }[shape]
+    return rows.select("id", F.to_json(body).alias("body"))
+
+
+NOTE = "repeat names as they are"
+
+
+def _written(shape: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Texts with an even number of characters are changed and written back; what the new bodies then hold."""
+        bodies = _tool_bodies(spark, sf_dir, shape)
+        texts = request_texts(bodies, "id", "body", shape)
+        changed = texts.where(F.length("text") % 2 == 0).withColumn("text", F.concat(F.lit("<"), "text", F.lit(">")))
+        out = written_back(bodies, "id", "body", shape, changed, NOTE)
+        calls = F.contains("body", F.lit("call-1")).alias("has_call")
+        return request_texts(out, "id", "body", shape).join(out.select("id", calls), "id").select("id", "kind", "text", "has_call")
 
     return query
 
@@ -164,7 +217,7 @@ def stream_rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     own = [findings_credit_card, scan_documents, scan_counts_cards, decide_key_texts, redact_key_texts, incident_counts, incidents_retained, swap_round_trip, mock_database_urls, token_entropy, env_sniff, env_masked, infra_masked, sse_framed, headers_kept, stream_rehydrated]
-    wire = {f"wire_{n}": _wire(n, f) for n, f in (("anthropic", anthropic_texts), ("openai", openai_texts), ("responses", responses_texts), ("gemini", gemini_texts))}
+    wire = {f"wire_{n}": _wire(n) for n in FORMATS} | {f"wire_{n}_written": _written(n) for n in FORMATS}
     return {f.__name__: f for f in own} | wire
 
 
@@ -185,15 +238,25 @@ _FOUND = "id % 4 <> 2"
 _ENV = f"WITH t AS ({ENV_TEXTS})"
 
 
+def _written_sql(listed: bool) -> str:
+    """`listed`: the note is a further part of the system text; else it is joined to it.  "rules" has 5 characters and stays."""
+    changed = lambda x: f"CASE WHEN length({x}) % 2 = 0 THEN '<' || {x} || '>' ELSE {x} END"
+    rules = f"SELECT id, 'text' AS kind, 'rules' AS text, true AS has_call FROM t UNION ALL SELECT id, 'text', '{NOTE}', true FROM t WHERE noted" if listed else rf"SELECT id, 'text' AS kind, CASE WHEN noted THEN 'rules' || chr(10) || chr(10) || '{NOTE}' ELSE 'rules' END AS text, true AS has_call FROM t"
+    return f"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, coalesce(text, '') AS t, '[INST] ' || coalesce(text, '') AS said FROM conversations),
+      t AS (SELECT *, length(t) % 2 = 0 OR length(said) % 2 = 0 AS noted FROM c)
+      {rules} UNION ALL SELECT id, 'text', {changed('said')}, true FROM t UNION ALL SELECT id, 'tool_result', {changed('t')}, true FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    wire = "SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'text' AS kind, text FROM conversations WHERE text IS NOT NULL"
-    brief = wire + " UNION ALL SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'text' AS kind, 'be brief' AS text FROM conversations WHERE text IS NOT NULL"
+    wire = "SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'text' AS kind, coalesce(text, '') AS text FROM conversations"
+    brief = wire + " UNION ALL SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'text' AS kind, 'be brief' AS text FROM conversations"
+    listed, joined = _written_sql(True), _written_sql(False)
     return {
         "findings_credit_card": _CARD_SQL,
         "scan_counts_cards": _CARD_SQL,
         "decide_key_texts": f"""{_KEYS} SELECT id, CAST(1 AS INTEGER) AS n_findings, 'aws.access_key_id' AS rule_id, CASE id % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'dev' ELSE 'unknown' END AS environment, CAST(11 AS INTEGER) AS start,
           CASE WHEN id % 4 = 1 THEN 'warn' ELSE 'block' END AS action, CASE WHEN id % 4 = 1 THEN 'Warning: possible AWS access key detected.' ELSE 'Blocked: AWS access key detected.' END AS summary FROM t WHERE {_FOUND}""",
-        "redact_key_texts": f"{_KEYS} SELECT id, regexp_replace(text, 'AKIA[A-Z0-9]{{16}}', '[REDACTED_AWS_ACCESS_KEY]') AS redacted FROM t WHERE {_FOUND}",
+        "redact_key_texts": f"{_KEYS} SELECT id, regexp_replace(text, 'AKIA[A-Z0-9]{{16}}', '[REDACTED_AWS_ACCESS_KEY]') AS redacted FROM t WHERE {_FOUND} UNION ALL SELECT id, text FROM t WHERE NOT ({_FOUND})",
         "incident_counts": f"{_KEYS} SELECT 'aws_access_key' AS secret_type, count(*) AS n, count(*) FILTER (WHERE id % 4 <> 1) AS blocked FROM t WHERE {_FOUND}",
         "incidents_retained": "SELECT event_id AS id, event_type AS site_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500",
         "swap_round_trip": "SELECT count(*) AS n_texts, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS survivors, CAST(0 AS BIGINT) AS clashes FROM orders",
@@ -206,6 +269,10 @@ def oracle_sql() -> dict[str, str]:
         "sse_framed": """SELECT r_regionkey, CAST(0 AS INTEGER) AS seq, 'a' AS event, r_name AS data FROM region UNION ALL SELECT r_regionkey, CAST(1 AS INTEGER), NULL, 'x' || chr(10) || 'y' FROM region""",
         "headers_kept": "SELECT n_nationkey, 'X-Nation' AS name, n_name AS value FROM nation",
         "stream_rehydrated": f"{_KEYS} SELECT id, text FROM t",
+        "wire_anthropic_written": listed,
+        "wire_openai_written": joined,
+        "wire_responses_written": joined,
+        "wire_gemini_written": listed,
         "wire_openai": wire,
         "wire_gemini": wire,
         "wire_anthropic": brief,

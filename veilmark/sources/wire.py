@@ -1,106 +1,210 @@
-"""Request bodies and event streams of chat interfaces as rows of text."""
+"""Request bodies and event streams of chat interfaces as rows of text, and texts written back into bodies.
+
+A body's texts are found by the places of its format; each comes with its path, by which a changed text is put back.  A body
+none of whose texts changed stays the same string; names, ids and arguments of tools are never touched.  Bodies that aren't
+JSON objects have no texts and stay as they are.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Headers that a relay must not pass on.
-REQUEST_HEADERS_DROPPED = ["connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade", "host", "content-length", "accept-encoding"]
-RESPONSE_HEADERS_DROPPED = ["connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade", "content-encoding", "content-length"]
+REQUEST_HEADERS_DROPPED = ["host", "connection", "keep-alive", "proxy-connection", "transfer-encoding", "content-length", "accept-encoding"]
+RESPONSE_HEADERS_DROPPED = ["connection", "keep-alive", "transfer-encoding", "content-length", "content-encoding"]
+
+TEXT, TOOL = "text", "tool_result"
+Place = tuple[str, tuple, str]  # kind; path; text
+Seen = Iterator[Place]
 
 
 def kept_headers(headers: Column, dropped: list[str]) -> Column:
     return F.map_filter(headers, lambda name, value: ~F.lower(name).isin(*dropped))
 
 
-def _of(body: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(body), path, kind)
-
-
-def _blocks(value: Column) -> Column:
-    """Texts of a content that is a string or a list of typed parts."""
-    parts = F.from_json(value, "array<struct<type:string,text:string>>")
-    texts = F.transform(F.filter(parts, lambda p: p["text"].isNotNull() & F.coalesce(p["type"], F.lit("text")).isin("text", "input_text", "output_text")), lambda p: p["text"])
-    return F.when(F.trim(value).startswith("["), texts).otherwise(F.array(value))
-
-
-def _rows(df: DataFrame, key: str, texts: Column, place: str, kind: Column | str) -> DataFrame:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    exploded = df.select(F.col(key).alias("id"), kind.alias("kind"), F.posexplode(texts).alias("part", "text"))
-    return exploded.where("text is not null").select("id", F.concat(F.lit(place + "["), F.col("part").cast("string"), F.lit("]")).alias("path"), "kind", "text")
-
-
-def _messages(df: DataFrame, key: str, body: str, schema: str, path: str = "$.messages") -> DataFrame:
-    return df.select(F.col(key).alias("id"), F.posexplode(F.from_json(F.get_json_object(body, path), schema)).alias("n", "m"))
-
+def _dict(x) -> dict:
+    return x if isinstance(x, dict) else {}
 
-def anthropic_texts(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(id, path, kind, text) of Messages bodies: system, message texts, tool results."""
-    system = df.select(key, F.get_json_object(body, "$.system").alias("s")).where("s is not null")
-    content = _messages(df, key, body, "array<struct<role:string,content:string>>")
-    tool = "array<struct<type:string,content:string>>"
-    results = content.where(F.trim("m.content").startswith("[")).select("id", F.explode(F.from_json("m.content", tool)).alias("b")).where("b.type = 'tool_result' and b.content is not null")
-    return _rows(system, key, _blocks(F.col("s")), "system", "text").unionByName(_rows(content, "id", _blocks(F.col("m.content")), "messages", "text")).unionByName(_rows(results, "id", _blocks(F.col("b.content")), "tool_result", "tool_result"))
 
+def _each(x) -> Iterator[tuple[int, dict]]:
+    """The objects of a list, with their places; nothing if it is no list."""
+    return ((i, y) for i, y in enumerate(x if isinstance(x, list) else []) if isinstance(y, dict))
 
-def openai_texts(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(id, path, kind, text) of Chat bodies; messages of the role `tool` are tool results."""
-    content = _messages(df, key, body, "array<struct<role:string,content:string>>").where("m.content is not null")
-    return _rows(content, "id", _blocks(F.col("m.content")), "messages", F.when(F.col("m.role") == "tool", "tool_result").otherwise("text"))
 
+def _content(kind: str, path: tuple, content, types: tuple[str, ...] = ("text",)) -> Seen:
+    """A content that is a string, or a list of parts of these types (any type, if there are none)."""
+    if isinstance(content, str):
+        yield kind, path, content
+    for i, part in _each(content):
+        if isinstance(part.get("text"), str) and (not types or part.get("type") in types):
+            yield kind, (*path, i, "text"), part["text"]
 
-def responses_texts(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(id, path, kind, text) of Responses bodies: instructions, input, outputs of function calls."""
-    asked = df.select(key, F.get_json_object(body, "$.instructions").alias("s")).where("s is not null")
-    plain = df.select(key, F.get_json_object(body, "$.input").alias("s")).where("s is not null and not ltrim(s) like '[%'")
-    items = _messages(df, key, body, "array<struct<type:string,content:string,output:string>>", "$.input")
-    said = items.where("m.content is not null")
-    outputs = items.where("m.type = 'function_call_output' and m.output is not null")
-    return (
-        _rows(asked, key, F.array("s"), "instructions", "text")
-        .unionByName(_rows(plain, key, F.array("s"), "input", "text"))
-        .unionByName(_rows(said, "id", _blocks(F.col("m.content")), "input", "text"))
-        .unionByName(_rows(outputs, "id", F.array("m.output"), "output", "tool_result"))
-    )
 
-
-def _string_leaves(response: str | None) -> list[str]:
-    """All strings in a JSON value at any depth, decoded, in order; names of fields are none."""
+def _leaves(kind: str, path: tuple, value) -> Seen:
+    """All strings in a JSON value at any depth, in order; names of fields are none."""
+    waiting = [(path, value)]
+    while waiting:
+        at, x = waiting.pop()
+        if isinstance(x, str):
+            yield kind, at, x
+        elif isinstance(x, (dict, list)):
+            inner = x.items() if isinstance(x, dict) else enumerate(x)
+            waiting.extend(reversed([((*at, name), y) for name, y in inner]))
+
+
+def _anthropic(body: dict) -> Seen:
+    yield from _content(TEXT, ("system",), body.get("system"))
+    for n, message in _each(body.get("messages")):
+        content = message.get("content")
+        yield from _content(TEXT, ("messages", n, "content"), content)
+        for i, block in _each(content):
+            if block.get("type") == "tool_result":
+                yield from _content(TOOL, ("messages", n, "content", i, "content"), block.get("content"))
+
+
+def _openai(body: dict) -> Seen:
+    for n, message in _each(body.get("messages")):
+        yield from _content(TOOL if message.get("role") == "tool" else TEXT, ("messages", n, "content"), message.get("content"))
+
+
+def _responses(body: dict) -> Seen:
+    for name in ("instructions", "input"):
+        if isinstance(body.get(name), str):
+            yield TEXT, (name,), body[name]
+    for n, item in _each(body.get("input")):
+        if item.get("type") == "message" or item.get("type") is None and isinstance(item.get("role"), str):
+            yield from _content(TEXT, ("input", n, "content"), item.get("content"), ("input_text", "output_text", "text"))
+        elif item.get("type") == "function_call_output":
+            yield from _content(TOOL, ("input", n, "output"), item.get("output"), ())
+
+
+def _gemini(body: dict) -> Seen:
+    for name in ("systemInstruction", "system_instruction"):
+        yield from _content(TEXT, (name, "parts"), _parts(body.get(name)), ())
+    for n, content in _each(body.get("contents")):
+        yield from _content(TEXT, ("contents", n, "parts"), _parts(content), ())
+        for i, part in _each(_parts(content)):
+            response = _dict(part.get("functionResponse")).get("response")
+            if isinstance(response, (dict, list)):
+                yield from _leaves(TOOL, ("contents", n, "parts", i, "functionResponse", "response"), response)
+
+
+def _parts(content) -> list | None:
+    parts = _dict(content).get("parts")
+    return parts if isinstance(parts, list) else None
+
+
+FORMATS: dict[str, Callable[[dict], Seen]] = {"anthropic": _anthropic, "openai": _openai, "responses": _responses, "gemini": _gemini}
+
+
+def _note_text(holder: dict, name: str, note: str, part: dict, otherwise) -> None:
+    """Append `note` to a text, `part` to a list; `otherwise` goes where nothing is; anything else stays."""
+    held = holder.get(name)
+    if held is None:
+        holder[name] = otherwise
+    elif isinstance(held, str):
+        holder[name] = held + "\n\n" + note
+    elif isinstance(held, list):
+        held.append(part)
+
+
+def add_directive(shape: str, body: dict, note: str) -> None:
+    """Tell the model, where its format has such a text, to repeat stand-ins as they are."""
+    if shape == "anthropic":
+        _note_text(body, "system", note, {"type": "text", "text": note}, note)
+    elif shape == "responses":
+        if not isinstance(body.get("instructions"), list):
+            _note_text(body, "instructions", note, {}, note)
+    elif shape == "openai" and isinstance(body.get("messages"), list):
+        first = next((m for _, m in _each(body["messages"]) if m.get("role") in ("system", "developer")), None)
+        if first is None:
+            body["messages"].insert(0, {"role": "system", "content": note})
+        else:
+            _note_text(first, "content", note, {"type": "text", "text": note}, note)
+    elif shape == "gemini":
+        name = "system_instruction" if "system_instruction" in body and "systemInstruction" not in body else "systemInstruction"
+        if not isinstance(body.get(name), dict):
+            body[name] = {}
+        if isinstance(body[name].get("parts"), list):
+            body[name]["parts"].append({"text": note})
+        else:
+            body[name]["parts"] = [{"text": note}]
+
+
+def _object(body: str | None) -> dict | None:
     try:
-        waiting = [json.loads(response or "null")]
+        value = json.loads(body or "null")
     except ValueError:
-        return [response]
-    found = []
-    while waiting:
-        value = waiting.pop()
-        if isinstance(value, str):
-            found.append(value)
-        elif isinstance(value, (dict, list)):
-            waiting.extend(reversed(list(value.values()) if isinstance(value, dict) else value))
-    return found
-
-
-def gemini_texts(df: DataFrame, key: str, body: str) -> DataFrame:
-    """(id, path, kind, text) of Gemini bodies: system instruction and parts; function responses are tool results."""
-    part = "struct<text:string,functionResponse:struct<response:string>>"
-    system = df.select(key, F.from_json(F.coalesce(F.get_json_object(body, "$.systemInstruction"), F.get_json_object(body, "$.system_instruction")), f"struct<parts:array<{part}>>").alias("s"))
-    contents = _messages(df, key, body, f"array<struct<role:string,parts:array<{part}>>>", "$.contents")
-    texts = lambda parts: F.transform(parts, lambda p: p["text"])
-    tools = contents.select("id", F.explode("m.parts").alias("p")).where("p.functionResponse is not null")
-    leaves = F.udf(_string_leaves, "array<string>", useArrow=True)("p.functionResponse.response")
-    return _rows(system, key, texts(F.col("s.parts")), "system", "text").unionByName(_rows(contents, "id", texts(F.col("m.parts")), "contents", "text")).unionByName(_rows(tools, "id", leaves, "response", "tool_result"))
-
-
-FORMATS = {"anthropic": anthropic_texts, "openai": openai_texts, "responses": responses_texts, "gemini": gemini_texts}
-
-
-def with_directive(messages_path: str, body: Column, directive: str, needed: Column) -> Column:
-    """`body` with the note about stand-ins appended to a plain system text, where any stand-in was made."""
-    system = F.get_json_object(body, messages_path)
-    return F.when(needed & system.isNotNull(), F.replace(body, F.to_json(F.struct(system.alias("s"))).substr(F.lit(6), F.length(F.to_json(F.struct(system.alias("s")))) - 6), F.to_json(F.struct(F.concat(system, F.lit("\n\n" + directive)).alias("s"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.concat(system, F.lit("\n\n" + directive)).alias("s")))) - 6))).otherwise(body)
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def pointer(path: tuple) -> str:
+    """A path as a JSON pointer."""
+    return "".join("/" + str(x).replace("~", "~0").replace("/", "~1") for x in path)
+
+
+def request_texts(df: DataFrame, key: str, body: str, shape: str) -> DataFrame:
+    """(id, path, kind, text) of the texts in bodies of one of FORMATS; kind is text or tool_result."""
+    find = FORMATS[shape]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take: list[int] = []
+            found: list[tuple[str, str, str]] = []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                for kind, path, text in find(_object(raw) or {}):
+                    take.append(i)
+                    found.append((pointer(path), kind, text))
+            columns = list(zip(*found)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], ["id", "path", "kind", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("id"), F.col(body).alias("body")).mapInArrow(read, f"id {kind}, path string, kind string, text string")
+
+
+def written_back(df: DataFrame, key: str, body: str, shape: str, texts: DataFrame, directive: str | None = None) -> DataFrame:
+    """(id, body) with the changed texts of `texts` (id, path, text), and the `directive` where one has changed; `key` is unique."""
+    find = FORMATS[shape]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                value = _object(raw) if changes else None
+                new, changed = {c["path"]: c["text"] for c in changes or []}, False
+                for _, path, text in list(find(value or {})):
+                    wanted = new.get(pointer(path))
+                    if wanted is not None and wanted != text:
+                        holder = value
+                        for step in path[:-1]:
+                            holder = holder[step]
+                        holder[path[-1]] = wanted
+                        changed = True
+                if changed and directive:
+                    add_directive(shape, value, directive)
+                out.append(json.dumps(value, ensure_ascii=False, separators=(",", ":")) if changed else raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "body"])
+
+    kind = df.schema[key].dataType.simpleString()
+    changes = texts.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("path", "text")).alias("changes"))  # of one body
+    rows = df.select(F.col(key).alias("id"), F.col(body).alias("body")).join(changes, F.col("id") == F.col("of"), "left")
+    return rows.select("id", "body", "changes").mapInArrow(write, f"id {kind}, body string")
+
+
+#: The endings of request paths and their formats.
+ROUTES = {"/v1/messages": "anthropic", "/v1/chat/completions": "openai", "/v1/responses": "responses", ":generateContent": "gemini", ":streamGenerateContent": "gemini"}
+
+
+def format_of(path: Column) -> Column:
+    """The format of a request by its path, without what follows a question mark; null where there is none."""
+    plain = F.regexp_replace(path, r"\?.*$", "")
+    return F.coalesce(*[F.when(plain.endswith(end), F.lit(shape)) for end, shape in ROUTES.items()])
 
 
 def sse_events(df: DataFrame, key: str, body: str) -> DataFrame:

@@ -15,58 +15,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEFT = 16
-# Fixed value: places where a stand-in is a name in code and not a value.
-_NAME_PLACE = re.compile(r"(?:environ|getenv|process\.env|env)\s*[\[.]\s*['\"]?$|process\.env\.$")
+# Two places where a stand-in is a name in code and not a value.
+_NAME_INDEX = re.compile(r"(?:environ|getenv|process\.env|env)\s*[\[.]\s*['\"]?$")
+_NAME_FIELD = re.compile(r"process\.env\.$")
+_ACCESS = re.compile(r"[.\[]\s*$")
+
+
+class Mocks:
+    """A channel's stand-ins, made ready once: one pattern, and the beginnings that a chunk may end with."""
+
+    def __init__(self, mocks: dict[str, str], marker: str = ""):
+        self.real = {m: r for m, r in mocks.items() if m}
+        self.sizes = sorted({len(m) for m in self.real})
+        self.begins = {w[:n] for w in [*self.real, marker] for n in range(1, len(w))}
+        self.longest = max([*self.sizes, len(marker), 0])
+        self.pattern = re.compile("|".join(re.escape(m) for m in sorted(self.real, key=lambda m: (-len(m), m)))) if self.real else None
+
+    def hold_from(self, text: str) -> int:
+        """From where `text` could still become a stand-in: the longest tail that begins one, never inside a whole one."""
+        hold = len(text)
+        for size in range(min(self.longest - 1, len(text)), 0, -1):
+            if text[-size:] in self.begins:
+                hold = len(text) - size
+                break
+        at = max(0, hold - self.longest + 1)
+        while at < hold:
+            for size in self.sizes:
+                if at + size > hold and text[at : at + size] in self.real:
+                    hold = at + size
+            at += 1
+        return hold
 
+    def ends_with(self, text: str) -> int:
+        """The length of the longest stand-in that `text` ends with."""
+        return next((n for n in reversed(self.sizes) if text[-n:] in self.real), 0)
 
-def hold_from(text: str, mocks: list[str], marker: str = "") -> int:
-    """From where `text` could still become a stand-in: the longest tail that begins one, never inside a whole one."""
-    hold = len(text)
-    for word in [*mocks, marker]:
-        for size in range(min(len(word) - 1, len(text)), 0, -1):
-            if text.endswith(word[:size]):
-                hold = min(hold, len(text) - size)
-                break
-    moved = True
-    while moved:
-        moved = False
-        for word in mocks:
-            at = text.find(word, max(0, hold - len(word) + 1)) if word else -1
-            while at != -1 and at < hold:
-                if at + len(word) > hold:
-                    hold, moved = at + len(word), True
-                at = text.find(word, at + 1)
-    return hold
+    def put_back(self, left: str, text: str, right: str = "") -> str:
+        """`text` with stand-ins as real values, except at names; `left` and `right` are only looked at."""
+        if self.pattern is None:
+            return text
+        whole = left + text
 
+        def real(m: re.Match) -> str:
+            before, after = whole[max(0, len(left) + m.start() - LEFT) : len(left) + m.start()], (text + right)[m.end() : m.end() + 1]
+            named = _NAME_INDEX.search(before) or _NAME_FIELD.search(before) or (_ACCESS.search(before) and after not in ("'", '"'))
+            return m.group() if named else self.real[m.group()]
 
-def put_back(left: str, text: str, mocks: dict[str, str], right: str = "") -> str:
-    """`text` with stand-ins as real values, except at names; `left` and `right` are only looked at."""
-    if not mocks:
-        return text
-    pattern = re.compile("|".join(re.escape(m) for m in sorted(mocks, key=lambda m: (-len(m), m)) if m))
-    whole = left + text
+        return self.pattern.sub(real, text)
 
-    def real(m: re.Match) -> str:
-        before, after = whole[max(0, len(left) + m.start() - LEFT) : len(left) + m.start()], (text + right)[m.end() : m.end() + 1]
-        named = _NAME_PLACE.search(before) or (re.search(r"[.\[]\s*$", before) and after not in ("'", '"'))
-        return m.group() if named else mocks[m.group()]
 
-    return pattern.sub(real, text)
+def put_back(left: str, text: str, mocks: dict[str, str], right: str = "") -> str:
+    return Mocks(mocks).put_back(left, text, right)
 
 
 class Rehydrator:
     """State and steps of one channel."""
 
-    def __init__(self, mocks: dict[str, str], pending: str = "", left: str = ""):
-        self.mocks, self.pending, self.left = mocks, pending, left
+    def __init__(self, mocks: Mocks | dict[str, str], pending: str = "", left: str = ""):
+        self.mocks = mocks if isinstance(mocks, Mocks) else Mocks(mocks)
+        self.pending, self.left = pending, left
 
     def push(self, chunk: str, final: bool = False) -> str:
         held = self.pending + chunk
         # one more character than a stand-in is held, as what follows decides whether it is a name
-        cut = len(held) if final else hold_from(held, list(self.mocks))
-        if not final and cut == len(held) and any(held.endswith(m) for m in self.mocks if m):
-            cut = max(0, len(held) - max(len(m) for m in self.mocks if m and held.endswith(m)))
-        out = put_back(self.left, held[:cut], self.mocks, held[cut:])
+        cut = len(held) if final else self.mocks.hold_from(held)
+        if not final and cut == len(held):
+            cut -= self.mocks.ends_with(held)
+        out = self.mocks.put_back(self.left, held[:cut], held[cut:])
         self.left, self.pending = (self.left + held[:cut])[-LEFT:], held[cut:]
         return out
 
@@ -75,7 +90,7 @@ def rehydrate_chunks(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
     """Batch form.  `chunks` (stream_id, channel, seq, delta), `mapping` (stream_id, mock, real): (stream_id, channel, seq, out).
 
     Streams are dealt by id and sorted within their partition, so a task holds one channel's tail at a time; what is held at a
-    channel's end comes as one more row.
+    channel's end comes as one more row.  A channel is one task's work, as each chunk's output depends on the one before.
     """
     pairs = mapping.groupBy("stream_id").agg(F.map_from_entries(F.collect_set(F.struct("mock", "real"))).alias("mocks"))
     rows = chunks.select("stream_id", "channel", "seq", "delta").join(pairs, "stream_id", "left")
@@ -123,12 +138,15 @@ def rehydrate_stream(chunks: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
             yield pd.DataFrame([(key[0], key[1], last + 1, out)], columns=["stream_id", "channel", "seq", "out"])
             return
         rows = pd.concat(list(parts)).sort_values("seq")
-        out, done = [], False
-        for _, row in rows.iterrows():
-            mocks |= dict(row["mocks"] or {})
-            worker = Rehydrator(mocks, pending, left)
-            done, last = bool(row["is_final"]), int(row["seq"])
-            out.append((key[0], key[1], last, worker.push(row["delta"] or "", done)))
+        out, done, known = [], False, Mocks(mocks)
+        for seq, delta, ends, more in zip(rows["seq"], rows["delta"], rows["is_final"], rows["mocks"]):
+            new = {m: r for m, r in dict(more if more is not None else {}).items() if mocks.get(m) != r}
+            if new:
+                mocks |= new
+                known = Mocks(mocks)
+            worker = Rehydrator(known, pending, left)
+            done, last = bool(ends), int(seq)
+            out.append((key[0], key[1], last, worker.push(delta or "", done)))
             pending, left = worker.pending, worker.left
         if done:
             state.remove()
