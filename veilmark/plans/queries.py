@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.text import entropy, has_char_mix, mask_value, match_starts, window, has_any
 from veilmark.operators.config import ScanConfig
-from veilmark.operators.detect import scan, valid_card
+from veilmark.operators.detect import candidates, judged, scan, valid_card
 from veilmark.operators.envfile import looks_like_env, mask_env
 from veilmark.operators.infra import InfraConfig, mask_infra
 from veilmark.operators.policy import decide, incident_report, incidents, retain_last
 from veilmark.operators.transform import mock_for, redact, rehydrate, swap_table, swapped
+from veilmark.plans.examples import cases, cases_sql, judged_sql
 from veilmark.sources.wire import FORMATS, REQUEST_HEADERS_DROPPED, kept_headers, request_texts, sse_events, written_back
 from veilmark.streaming.rehydrate import cut_into_chunks, rehydrate_chunks
 
@@ -62,6 +63,19 @@ def scan_counts_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(spark, sf_dir).where("rule_id = 'pii.credit_card'").select("doc_id", "start", "end", "masked")
 
 
+RULE_TEXTS = "SELECT n_nationkey * 10000 + c.id AS id, n_name || ': ' || c.text AS text FROM nation CROSS JOIN (VALUES {cases}) AS c(id, text)"
+
+
+def rules_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule finds, before overlaps are resolved, in texts that it should and should not find."""
+    shown = spark.createDataFrame(cases(), "case int, token string")
+    rows = table(spark, sf_dir, "nation").join(F.broadcast(shown))  # a fixed list of some 1000 texts
+    texts = rows.select((F.col("n_nationkey") * 10000 + F.col("case")).alias("id"), F.concat("n_name", F.lit(": "), "token").alias("text"))
+    config = ScanConfig()
+    found = judged(candidates(texts, "id", "text", config), config)
+    return found.where("layer = 'known_pattern' and rule_id <> 'pii.credit_card'").select("id", "rule_id", "value", "start")
+
+
 def decide_key_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decide(scan(derived(spark, sf_dir, "orders", KEY_TEXTS), "id", "text"))
     f = F.element_at("findings", 1)
@@ -216,7 +230,7 @@ def stream_rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [findings_credit_card, scan_documents, scan_counts_cards, decide_key_texts, redact_key_texts, incident_counts, incidents_retained, swap_round_trip, mock_database_urls, token_entropy, env_sniff, env_masked, infra_masked, sse_framed, headers_kept, stream_rehydrated]
+    own = [findings_credit_card, rules_judged, scan_documents, scan_counts_cards, decide_key_texts, redact_key_texts, incident_counts, incidents_retained, swap_round_trip, mock_database_urls, token_entropy, env_sniff, env_masked, infra_masked, sse_framed, headers_kept, stream_rehydrated]
     wire = {f"wire_{n}": _wire(n) for n in FORMATS} | {f"wire_{n}_written": _written(n) for n in FORMATS}
     return {f.__name__: f for f in own} | wire
 
@@ -254,6 +268,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "findings_credit_card": _CARD_SQL,
         "scan_counts_cards": _CARD_SQL,
+        "rules_judged": judged_sql(RULE_TEXTS.format(cases=cases_sql())),
         "decide_key_texts": f"""{_KEYS} SELECT id, CAST(1 AS INTEGER) AS n_findings, 'aws.access_key_id' AS rule_id, CASE id % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'dev' ELSE 'unknown' END AS environment, CAST(11 AS INTEGER) AS start,
           CASE WHEN id % 4 = 1 THEN 'warn' ELSE 'block' END AS action, CASE WHEN id % 4 = 1 THEN 'Warning: possible AWS access key detected.' ELSE 'Blocked: AWS access key detected.' END AS summary FROM t WHERE {_FOUND}""",
         "redact_key_texts": f"{_KEYS} SELECT id, regexp_replace(text, 'AKIA[A-Z0-9]{{16}}', '[REDACTED_AWS_ACCESS_KEY]') AS redacted FROM t WHERE {_FOUND} UNION ALL SELECT id, text FROM t WHERE NOT ({_FOUND})",
