@@ -62,6 +62,21 @@ def test_top_k(spark):
     assert top_k(vectors(spark, ODD), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_odd_rows(spark):
+    """Null and repeated ids, repeated queries, ties, large components and several lengths, against brute force."""
+    rng = np.random.default_rng(6)
+    x = [(i, [float(v) for v in rng.integers(-3, 4, 4)]) for i in range(120)] + [(50, [1.0, 2.0, 3.0, 4.0]), (7, [900.0, -800.0, 5.0, 0.25]), (7, [0.0] * 4), (None, [1.0] * 4), (100, [1.0, 2.0]), (101, [3.0, 4.0])]
+    want, whole = [], [(i, [math.floor(256 * v) for v in e]) for i, e in x if i is not None]
+    for q in sorted({i for i, _ in whole if i % 50 == 0}):
+        asked, best = min(e for i, e in whole if i == q), {}
+        for i, e in whole:
+            if i != q and len(e) == len(asked):
+                best[i] = max(best.get(i, -(1 << 62)), sum(a * b for a, b in zip(asked, e)))
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:5])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(vectors(spark, x), F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_empty(spark):
     none = vectors(spark, ODD[:1]).where("false")
     assert near_vectors(none).count() == top_k(none, F.lit(True)).count() == 0

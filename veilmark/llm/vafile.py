@@ -1,27 +1,31 @@
 """Exact top-k search (numbered operator 8) with vector-approximation files.
 
-Rows lie in blocks.  For a block of queries and a block of rows a task first scans the rows' quantised cells: a row's inner
-product lies within bounds that follow from its cells alone.  It then reads exact vectors in order of their best possible
-score until a query's k-th best exact score beats every bound that is left.  The k best of each block are merged; a
-block's result has k rows a query at most, whatever the data.
+Each vector's components are quantised to cells of one byte, whose width follows from the vector's own largest component;
+cells and exact vectors are written as columns of one table, so a scan of the cells doesn't read the vectors.  A row's inner
+product with a query lies within bounds that follow from its cells alone.  Blocks of queries scan blocks of cells and keep the
+rows whose best possible score reaches the k-th sure one of the block; over all blocks, the k-th sure score of each query
+then leaves only rows that can still be among its k best, and only their exact vectors are read and multiplied.
 
 Nulls: vectors that are null or hold null or non-finite components take no part, neither as queries nor as rows; vectors of
-another length than the query's take no part in its search.  Rows with one id twice are two candidates; a query never finds
-rows of its own id.  Ties go to the smaller id.  Empty tables give no rows.
+another length than the query's take no part in its search.  Rows with one id are one candidate with the best of their
+scores, and one query, which is the smallest of their vectors; a query never finds its own id.  Ties go to the smaller id.
+Empty tables give no rows.  Scores are 64-bit integers; components of 5e6 or more at `scale` 256 may exceed them.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL = 8
-ROW_BLOCK, QUERY_BLOCK = 8192, 1024
-FOUND = "query_id bigint, vec_id bigint, score bigint"
+from veilmark.llm.stages import cut, shared_folder
+
+ROW_BLOCK, QUERY_BLOCK, QUERIES_AT_ONCE = 16384, 1024, 128
+FOUND = "query_id bigint, row bigint, vec_id bigint, low double, high double"
 
 
 def integer_vectors(vectors: DataFrame, scale: float) -> DataFrame:
@@ -32,55 +36,75 @@ def integer_vectors(vectors: DataFrame, scale: float) -> DataFrame:
     return kept.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint")).alias("q"))
 
 
-def best_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, row, score) of each query's k best rows, by bounds on cells first."""
-    cells = np.floor_divide(rows, CELL)
-    floor_score = (queries.astype(np.float64) @ (cells * CELL).astype(np.float64).T).astype(np.int64)
-    upper = floor_score + (np.maximum(queries, 0).sum(1) * (CELL - 1))[:, None]
-    lower = floor_score + (np.minimum(queries, 0).sum(1) * (CELL - 1))[:, None]
-    out = []
-    for i, query in enumerate(query_ids):
-        own = ids == query
-        top, low = np.where(own, np.iinfo(np.int64).min, upper[i]), lower[i][~own]
-        if not len(low):
-            continue
-        sure = np.partition(low, len(low) - min(k, len(low)))[len(low) - min(k, len(low))]  # k rows score at least this
-        near = np.flatnonzero(~own & (top >= sure))
-        near = near[np.argsort(-top[near], kind="stable")]
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(near), 64):
-            part = near[at : at + 64]
-            if len(best) == k and top[part[0]] < -best[-1][0]:
-                break
-            best += [(-int(s), int(v)) for s, v in zip(rows[part] @ queries[i], ids[part])]
-            best = sorted(best)[:k]
-        out += [(int(query), v, -s) for s, v in best]
-    return out
+def with_cells(rows: DataFrame) -> DataFrame:
+    """`rows` (vec_id, q) with width, a power of two of at least 2, and cells, floor(q / width) in one byte each."""
+    most = F.coalesce(F.array_max(F.transform("q", lambda x: F.abs(x))), F.lit(0)) + 1
+    bits = F.greatest(F.ceil(F.log2(most / 128.0)), F.lit(1)).cast("int")
+    rows = rows.withColumn("width", F.call_function("shiftleft", F.lit(1).cast("bigint"), bits))
+    return rows.withColumn("cells", F.transform("q", lambda x: F.floor(x / F.col("width")).cast("tinyint")))
+
+
+def bounds(queries: np.ndarray, cells: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) of the inner products, one row a query; a little wider than they need be, for rounding."""
+    queries, cells = queries.astype(np.float64), cells.astype(np.float64)
+    floor = (queries @ cells.T) * width[None, :]
+    slack = 1e-12 * np.linalg.norm(queries, axis=1)[:, None] * (np.linalg.norm(cells, axis=1) * width)[None, :]
+    high = floor + np.maximum(queries, 0).sum(1)[:, None] * (width - 1)[None, :] + slack
+    low = floor + np.minimum(queries, 0).sum(1)[:, None] * (width - 1)[None, :] - slack
+    return low, high
+
+
+def near_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, width: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query places, row places, low, high) of the rows that can be among a query's k best of this block."""
+    names, of = np.unique(ids, return_inverse=True)
+    found = []
+    for at in range(0, len(queries), QUERIES_AT_ONCE):
+        low, high = bounds(queries[at : at + QUERIES_AT_ONCE], cells, width)
+        for i in range(len(low)):
+            own = ids == query_ids[at + i]
+            low[i, own] = high[i, own] = -np.inf
+            sure = low[i]
+            if len(names) < len(ids):  # an id counts once, by its best row
+                sure = np.full(len(names), -np.inf)
+                np.maximum.at(sure, of, low[i])
+            least = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) > k else -np.inf
+            near = np.flatnonzero((high[i] >= least) & ~own)
+            found.append((np.full(len(near), at + i), near, low[i, near], high[i, near]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score of the k rows with the highest integer inner product, for all rows where `is_query`."""
-    rows = integer_vectors(vectors, scale).withColumn("dims", F.size("q"))
-    flagged = rows.withColumn("asks", F.coalesce(is_query, F.lit(False)))
-    n = flagged.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0)).alias("queries")).first()
-    row_blocks, query_blocks = max(1, math.ceil(n["rows"] / ROW_BLOCK)), max(1, math.ceil(n["queries"] / QUERY_BLOCK))
-    row_block = F.pmod(F.xxhash64("vec_id", "q"), F.lit(row_blocks)).cast("int")
-    query_block = F.pmod(F.xxhash64("vec_id", "q", F.lit(1)), F.lit(query_blocks)).cast("int")
+    spark = vectors.sparkSession
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    numbered = integer_vectors(vectors, scale).withColumns({"asks": F.coalesce(is_query, F.lit(False)), "row": F.monotonically_increasing_id()})
+    with_cells(numbered).write.parquet(path)
+    table = spark.read.parquet(path)
+    queries = cut(table.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("q").alias("asked")))
+    row_blocks, query_blocks = max(1, math.ceil(table.count() / ROW_BLOCK)), max(1, math.ceil(queries.count() / QUERY_BLOCK))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    data = rows.select("vec_id", "q", "dims", row_block.alias("row_block"), every(query_blocks).alias("query_block"))
-    asked = flagged.where("asks").select("vec_id", "q", "dims", query_block.alias("query_block"), every(row_blocks).alias("row_block"))
+    rows = table.select("row", "vec_id", "cells", "width", F.size("cells").alias("dims"), F.pmod(F.xxhash64("row"), F.lit(row_blocks)).cast("int").alias("row_block"), every(query_blocks).alias("query_block"))
+    asked = queries.select("query_id", "asked", F.size("asked").alias("dims"), F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("query_block"), every(row_blocks).alias("row_block"))
     keys = ["dims", "row_block", "query_block"]
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            dims = int(left["dims"][0].as_py())
-            flat = lambda t: t["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            if dims:
-                found = best_in_block(left["vec_id"].to_numpy(), flat(left), right["vec_id"].to_numpy(), flat(right), k)
-        columns = list(zip(*found)) or [[], [], []]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(search, FOUND)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2
+        if left.num_rows and right.num_rows and left["dims"][0].as_py():
+            dims = left["dims"][0].as_py()
+            flat = lambda x: x.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            names, ids, numbers = left["query_id"].to_numpy(), right["vec_id"].to_numpy(), right["row"].to_numpy()
+            q, r, low, high = near_in_block(names, flat(left["asked"]), ids, flat(right["cells"]), right["width"].to_numpy().astype(np.float64), k)
+            parts = [names[q], numbers[r], ids[r], low, high]
+        return pa.table(parts, names=["query_id", "row", "vec_id", "low", "high"])
+
+    found = cut(asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(scan, FOUND))
+    # the k-th sure score of each query over all blocks
+    sure = found.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("low").desc(), "vec_id"))
+    least = sure.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).alias("least"))
+    open_ = found.join(least, "query_id").where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("query_id", "row", "vec_id")
+    exact = open_.join(table.select("row", "q"), "row").join(queries, "query_id")
+    score = F.aggregate(F.zip_with("asked", "q", lambda x, y: x * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    scored = exact.groupBy("query_id", "vec_id").agg(F.max(score).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return scored.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
