@@ -12,6 +12,7 @@ from veilmark.llm import ngramjoin, quality, toxicity
 from veilmark.llm.mixing import mix_sources, sized_rows
 from veilmark.llm.ngramjoin import jaccard_components
 from veilmark.llm.packing import first_fit_decreasing, pack_documents
+from veilmark.llm.queries import op5_token_counts
 from veilmark.llm.quality import fit_quality, score_quality
 from veilmark.llm.sharding import shard_rows
 from veilmark.llm.tokencounts import TokenRollup, signed, token_counts
@@ -22,7 +23,7 @@ SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, component string, shard string, h string"
 
 
-def words(text):
+def words_of(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
 
@@ -36,7 +37,7 @@ def table(spark, texts):
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts:
-        w = words(t)
+        w = words_of(t)
         sets.setdefault(i, set()).add(frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
     root = {i: i for i in sets if i is not None}
 
@@ -94,7 +95,7 @@ def test_mix(spark):
     assert {i: r["taken"] for i, r in first.items()} == {i: r["taken"] for i, r in again.items()} and len(first) == len(texts)
     sizes = {}
     for i, t, s in texts:
-        sizes[s] = sizes.get(s, 0) + len(words(t))
+        sizes[s] = sizes.get(s, 0) + len(words_of(t))
     order, open_ = sorted(sizes, key=lambda s: (s is None, s or "")), None
     weight, target, left = {s: [3, 1, 2][j % 3] for j, s in enumerate(order)}, {}, 1.5 * sum(sizes.values())
     open_ = list(order)
@@ -167,6 +168,45 @@ def test_token_rollup(spark, tmp_path):
     assert got == {("a", "en"): (2, 2), (None, "en"): (1, 1)}
 
 
+def test_compaction_changes_nothing(spark, tmp_path):
+    """Totals are the same with and without compactions, broken ones and repeats; batches taken in can't be committed again."""
+    rng = random.Random(8)
+    plain, packed = TokenRollup(spark, str(tmp_path / "plain")), TokenRollup(spark, str(tmp_path / "packed"))
+    want = {}
+    for n in range(4):
+        rows = [(rng.choice(["a", None]), rng.choice(["en", "de"]), rng.randint(0, 9)) for _ in range(20)] * 2
+        changes = signed(spark.createDataFrame(rows, "source string, lang string, words long"), -1 if n == 2 else 1, "t@1", "words")
+        assert plain.commit(f"b{n}", changes) and packed.commit(f"b{n}", changes)
+        for s, l, w in rows:
+            docs, tokens = want.get((s, l), (0, 0))
+            want[s, l] = (docs + (-1 if n == 2 else 1), tokens + (-w if n == 2 else w))
+        if n != 1:
+            assert packed.compact() == (2 if n == 2 else 1) and packed.compact() == 0
+        assert not packed.commit(f"b{n}", changes)
+    changes.write.parquet(str(tmp_path / "packed" / "ids-000000000009"))  # a compaction that broke off before its sums
+    for rollup in (plain, packed):
+        got = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()}
+        assert got == {g: x for g, x in want.items() if x != (0, 0)}
+    assert packed.committed() == [] and len(list((tmp_path / "packed").glob("batch-*"))) == 0
+
+
+def test_token_query_is_brute_force(spark, tmp_path):
+    """The registered query's five batches, on a table with nulls, repeated rows and a long text, counted by hand."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(default_path())
+    texts = [(i % 40, ["one two", None, "", "Straße 42!", "x " * 30_000][i % 5], ["a", None][i % 2]) for i in range(60)] + [(None, "no id", "a")]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, t, s in texts:
+        words, subwords = len(words_of(t)), len(whole.encode(t or "", add_special_tokens=False).ids)
+        for name, docs, tokens in [("words@1", 1, words), ("word_bpe_49k@1", 1, subwords)]:
+            d, n = want.get((s, "en", name), (0, 0))
+            want[s, "en", name] = (d + docs, n + tokens)
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in op5_token_counts(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_subwords_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 

@@ -15,7 +15,7 @@ from veilmark.llm.sharding import shard_rows
 from veilmark.llm.stages import cut, shared_folder
 from veilmark.llm.tokencounts import TokenRollup, signed, token_counts
 from veilmark.llm.toxicity import fit_toxicity, held_out, score_toxicity
-from veilmark.llm.urlfilter import UrlRule, judge_urls
+from veilmark.llm.urlfilter import TAG, TARGET, TIES, UrlRule, judge_urls
 from veilmark.llm.vafile import top_k
 from veilmark.llm.vecdedup import near_vectors
 
@@ -47,17 +47,20 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after a load, a deletion, its reversal, a revision of counts and a batch that is delivered twice."""
+    """Totals after a load, a deletion, its reversal, a revision of counts and a batch that is delivered twice, all taken into
+    the kept totals by two compactions."""
     counts = cut(token_counts(table(spark, sf_dir, "documents")))
     rollup = TokenRollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
     turn = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4))
     rollup.commit("0001-load", signed(counts, 1, "words@1", "words").unionByName(signed(counts.where(turn != 0), 1, "word_bpe_49k@1", "subwords")))
+    rollup.compact()
     rollup.commit("0002-late", signed(counts.where(turn == 0), 1, "word_bpe_49k@1", "words"))
     rollup.commit("0003-delete", signed(counts.where(turn == 1), -1, "word_bpe_49k@1", "subwords"))
     rollup.commit("0004-restore", signed(counts.where(turn == 1), 1, "word_bpe_49k@1", "subwords"))
     late = counts.where(turn == 0)
     revised = signed(late, -1, "word_bpe_49k@1", "words").unionByName(signed(late, 1, "word_bpe_49k@1", "subwords"))
     rollup.commit("0005-revise", revised)
+    rollup.compact()
     rollup.commit("0005-revise", revised)
     return rollup.totals()
 
@@ -123,21 +126,39 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(r AS INTEGER) AS "rank", vec_id, score FROM ranked WHERE r <= 5
 """
 
-_URL_SQL = r"""
-WITH p AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
-  list_filter(string_split(regexp_extract(rest, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|mc_cid|mc_eid|igshid)=')) AS kept FROM p),
-r AS (SELECT page_id, host, path, CASE WHEN host = '' THEN NULL ELSE regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS alias,
-  CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+def _url_sql() -> str:
+    """Hosts, rules, edges from tags, and the components they tie, once more."""
+    lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rest = "CASE WHEN position('://' IN coalesce({0}, '')) > 0 THEN substr({0}, position('://' IN {0}) + 3) ELSE '' END"
+    parts = f"{lower.format('regexp_extract(rest, $$^([^/?#]*)$$, 1)')} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '^[^#]*?(\\?[^#]*)', 1) AS query"
+    rule = """CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
-v AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
-s AS (SELECT alias, min(ruled) AS inherited FROM v WHERE alias IS NOT NULL GROUP BY alias)
-SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.ruled, s.inherited, 'allow') AS verdict FROM v LEFT JOIN s ON v.alias = s.alias
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+    CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS alias"""
+    ruled = "CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled"
+    scheme, site = "regexp_extract(url, '^([^:/?#]+)://', 1) || ':'", "regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)"
+    folder = "regexp_extract(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '^(.*/)', 1)"
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"""
+WITH RECURSIVE p AS (SELECT page_id, url, html, {rest.format('url')} AS rest FROM pages),
+v AS (SELECT *, {ruled} FROM (SELECT *, {rule} FROM (SELECT page_id, url, {parts} FROM p))),
+tags AS (SELECT url, unnest(list_filter(regexp_extract_all(coalesce(html, ''), {q(TAG)}, 1), lambda t: regexp_matches(t, {q(TIES)}))) AS tag FROM pages),
+raw AS (SELECT url, replace(regexp_extract(tag, {q(TARGET)}, 1), '&amp;', '&') AS x FROM tags),
+whole AS (SELECT url AS page, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN x
+  WHEN x = '' OR starts_with(x, '#') OR regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') OR {site} = '' THEN NULL
+  WHEN starts_with(x, '//') THEN {scheme} || x WHEN starts_with(x, '/') THEN {scheme} || '//' || {site} || x
+  ELSE {scheme} || '//' || {site} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || x END AS url FROM raw),
+t AS (SELECT *, {ruled} FROM (SELECT *, {rule} FROM (SELECT page, url, {parts} FROM (SELECT *, {rest.format('url')} AS rest FROM whole WHERE url IS NOT NULL)))),
+e AS (SELECT DISTINCT v.alias AS a, t.alias AS b FROM t JOIN v ON v.url = t.page WHERE v.alias IS NOT NULL AND t.alias IS NOT NULL),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+said AS (SELECT alias, ruled FROM v WHERE alias IS NOT NULL AND ruled IS NOT NULL UNION SELECT alias, ruled FROM t WHERE alias IS NOT NULL AND ruled IS NOT NULL),
+reach AS (SELECT DISTINCT alias AS node, alias AS reached FROM v WHERE alias IS NOT NULL UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.reached = w.a),
+told AS (SELECT r.node, min(s.ruled) AS inherited FROM reach r JOIN said s ON s.alias = r.reached GROUP BY r.node)
+SELECT v.page_id, v.host, v.path, v.rule, coalesce(v.ruled, told.inherited, 'allow') AS verdict FROM v LEFT JOIN told ON v.alias = told.node
 """
 
 
 def oracle_sql() -> dict[str, str]:
     """Mixing and sharding hash and round as SQL engines differ, so tests hold them against brute force instead."""
-    return {"op2_ngram_join": _JACCARD_SQL, "op8_exact_top_k": _TOP_K_SQL, "op9_url_filters": _URL_SQL}
+    return {"op2_ngram_join": _JACCARD_SQL, "op8_exact_top_k": _TOP_K_SQL, "op9_url_filters": _url_sql()}

@@ -1,11 +1,11 @@
 """URL filters with redirect equivalence (numbered operator 9).
 
 Explicit rules name a host, all of whose subdomains they cover, and the start of a path; the longest rule that fits decides.
-Pages that no rule covers are judged by their aliases: urls that differ only in scheme, a leading `www.`, fragment,
-tracking parameters, a closing slash or letter case of the host are one url, and urls are tied together by the canonical
-links and meta refreshes in pages and by a table of redirects, if there is one.  Decisions spread over the connected
-components of these edges; a component with an explicit allow is allowed, else one with a block is blocked, else the default
-holds.
+Pages that no rule covers are judged by their aliases: urls are tied together by the canonical links and meta refreshes in
+pages and by a table of redirects, if there is one.  Targets without a scheme or host are resolved against the page's url;
+the path's `..` are not.  A url's name here is its host in small letters, port, path and query, without scheme and fragment.
+Decisions spread over the connected components of these edges; a component with an explicit allow is allowed, else one with a
+block is blocked, else the default holds.
 
 Nulls: a null url, or one without `://`, has an empty host and path and no alias; no rule fits it and it gets the default.
 Null html has no links.  Repeated rows get equal verdicts.  An empty table gives no rows.
@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.components import components
 
-TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid|mc_cid|mc_eid|igshid)="
-
-
 @dataclass(frozen=True)
 class UrlRule:
     """`verdict` (allow or block) for `host` and its subdomains where the path starts with `path`."""
@@ -48,12 +45,25 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def alias_key(url: Column) -> Column:
-    """The form that a url shares with its plain aliases; null where there is no host."""
+    """The name that a url has among its aliases; null where there is no host."""
     host, path = host_and_path(url)
-    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
-    key = F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
-    return F.when(host != "", key)
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^#]*?(\?[^#]*)", 1)
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """An address in the page `url` as a whole address; null for other schemes, such as of mail, and for mere fragments."""
+    scheme = F.concat(F.regexp_extract(url, r"^([^:/?#]+)://", 1), F.lit(":"))
+    rest = F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), r"^(.*/)", 1)
+    home = F.concat(scheme, F.lit("//"), rest)
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.startswith("#") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (rest == ""), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(home, target))
+        .otherwise(F.concat(home, F.when(folder == "", F.lit("/")).otherwise(folder), target))
+    )
 
 
 def matched_rule(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Column, Column]:
@@ -65,13 +75,19 @@ def matched_rule(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Colu
     return name, verdict
 
 
+# How canonical links and refreshes look; the target is the first group.
+TAG = r"(?i)(<(?:link|meta)\b[^>]*>)"
+TIES = r"(?i)\brel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)|\bhttp-equiv\s*=\s*[\"']?refresh\b"
+TARGET = r"(?i)\b(?:href|url)\s*=\s*[\"']?\s*([^\"'\s>]+)"
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of canonical links and meta refreshes with absolute addresses."""
+    """(url, target) of canonical links and meta refreshes, resolved."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1), lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b"))
-    tag = F.explode(tags)
-    target = F.regexp_extract("tag", r"(?i)(?:href|url)\s*=\s*[\"']?\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)", 1)
-    return pages.where(html.rlike(r"(?i)canonical|http-equiv")).select("url", tag.alias("tag")).select("url", target.alias("target")).where("target <> ''")
+    tag = F.explode(F.filter(F.regexp_extract_all(html, F.lit(TAG), 1), lambda t: t.rlike(TIES)))
+    tags = pages.where(html.rlike(r"(?i)canonical|http-equiv")).select("url", tag.alias("tag"))
+    target = F.replace(F.regexp_extract("tag", TARGET, 1), F.lit("&amp;"), F.lit("&"))
+    return tags.select("url", resolved(target, F.col("url")).alias("target")).where("target is not null")
 
 
 def judge_urls(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
@@ -89,8 +105,12 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | No
     said = rows.select("alias", "ruled").unionByName(_ruled_targets(links, rules)).where("alias is not null and ruled is not null").groupBy("alias").agg(F.min("ruled").alias("ruled"))  # 'allow' < 'block'
     placed = said.join(member, said["alias"] == member["node"], "left").select("alias", F.coalesce("component", "alias").alias("component"), "ruled")
     spread = placed.groupBy("component").agg(F.min("ruled").alias("inherited"))
-    home = rows.join(member.withColumnRenamed("node", "alias").withColumnRenamed("component", "member_of"), "alias", "left").withColumn("component", F.coalesce("member_of", "alias"))
-    judged = home.join(spread, "component", "left")
+    # only urls that an edge ties need the answer; they and no others are joined, by the page's own name
+    open_ = rows.where("ruled is null and alias is not null").select("alias").distinct()
+    told = open_.join(member.withColumnsRenamed({"node": "alias", "component": "member_of"}), "alias", "left").withColumn("component", F.coalesce("member_of", "alias"))
+    told = told.join(spread, "component").select(F.col("alias").alias("of"), "inherited")
+    asks = F.when(F.col("ruled").isNull(), F.coalesce("alias", F.concat(F.lit("#"), F.xxhash64("page_id", "host").cast("string"))))  # a null alias finds nothing and is dealt by its page
+    judged = rows.withColumn("asks", asks).join(told, F.col("asks") == F.col("of"), "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", "inherited", F.lit(default)).alias("verdict"))
 
 
