@@ -1,20 +1,24 @@
 """The rules, the scan and what follows from findings, on small texts."""
 
+import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from veilmark.functions.text import base36_tag, entropy, mask_value, short_hash
+from veilmark.functions.text import base36_tag, entropy, fnv1a, mask_value, short_hash
 from veilmark.operators.config import ScanConfig
 from veilmark.operators.detect import scan
-from veilmark.operators.envfile import looks_like_env, value_spans
+from veilmark.operators.envfile import looks_like_env, mask_env, value_spans
+from veilmark.operators.infra import InfraConfig, mask_infra
 from veilmark.operators.policy import decide
 from veilmark.operators.transform import redact, rehydrate, swap_table, swapped
+from veilmark.sources.policyfile import load_policy
 from veilmark.sources.rules import Rule, builtin_rules, check_rules
 from veilmark.sources.wire import request_texts, written_back
-from veilmark.streaming.rehydrate import Rehydrator, put_back
+from veilmark.streaming.rehydrate import Rehydrator, put_back, rehydrate_stream
 
 
 def key(prefix, alphabet, n, seed=1):
@@ -139,3 +143,99 @@ def test_bracket_texts_and_write_back(spark, shape, body):
     assert [out[i] for i in range(1, 5)] == raw[1:]
     held = [r["text"] for r in request_texts(spark.createDataFrame([(0, out[0])], "id long, body string"), "id", "body", shape).collect()]
     assert sorted(held) == sorted(["NOTE", 'other "text"\n'])
+
+
+def test_policy_documents(spark):
+    """A document is read whole or not at all, and every fault is named."""
+    good = {"version": 1, "patterns": [{"name": "Code name", "match": {"type": "regex", "advanced": True, "source": "zeta-[0-9]+"}, "examples": {"match": ["zeta-7"], "noMatch": ["zeta-"]}}], "internalTlds": ["acme"], "internalScopes": ["@acme/*"]}
+    policy = load_policy(json.dumps(good))
+    assert [(r.id, r.tier, r.block, r.mask_hint) for r in policy.rules] == [("policy.code_name", 2, False, "Code name")] and policy.scopes == ("@acme/",)
+    assert "acme" in policy.infra_config("s").labels
+    faults = [
+        ("[1]", "must be an object"),
+        ("{", "no JSON"),
+        ('{"version": 2}', "version: must be 1"),
+        ('{"version": 1, "paterns": []}', "unknown field 'paterns'"),
+        ('{"version": 1, "patterns": [{"name": "a", "match": {"type": "prefix", "prefix": "", "format": {"kind": "digits", "length": 2}}}]}', "prefix"),
+        ('{"version": 1, "patterns": [{"name": "a", "match": {"type": "prefix", "prefix": "x", "format": {"kind": "digits", "length": 2, "min": 1}}}]}', "either length"),
+        ('{"version": 1, "patterns": [{"name": "a", "match": {"type": "regex", "advanced": true, "source": "(a+)+"}, "examples": {"match": ["a"]}}]}', "repetition within a repetition"),
+        ('{"version": 1, "patterns": [{"name": "a", "match": {"type": "regex", "source": "a"}}]}', "advanced"),
+        ('{"version": 1, "patterns": [{"name": "a", "match": {"type": "list", "terms": ["q"]}, "examples": {"match": ["z"]}}]}', "does not match its example"),
+        ('{"version": 1, "patterns": [{"name": "a", "match": {"type": "list", "terms": ["q"]}}, {"name": "A", "match": {"type": "list", "terms": ["p"]}}]}', "there twice"),
+        ('{"version": 1, "policy": {"pii": {"ssn": "no"}}}', "policy.pii.ssn"),
+        ('{"version": 1, "languages": ["perl"]}', "languages"),
+    ]
+    for document, said in faults:
+        with pytest.raises(ValueError, match=re.escape(said)):
+            load_policy(document)
+
+
+def base36(n, size):
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
+    out = ""
+    while n:
+        n, d = divmod(n, 36)
+        out = digits[d] + out
+    return out.rjust(size, "0")[:size]
+
+
+def test_hashes_by_hand(spark):
+    """Tags and short hashes against their definitions."""
+    values = ["", "a", "secret-value::salt", "x" * 200]
+
+    def fnv(text):
+        h = 2166136261
+        for c in text.encode():
+            h = (h ^ c) * 16777619 % (1 << 32)
+        return h
+
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    rows = df.select("s", fnv1a(F.col("s")).alias("f"), short_hash(F.col("s"), "salt").alias("h"), base36_tag(F.col("s"), 7).alias("t")).collect()
+    for r in rows:
+        assert r["f"] == fnv(r["s"]) and r["t"] == base36(fnv(r["s"]), 7)
+        assert r["h"] == base36(int(hashlib.sha256(f"salt:{r['s']}".encode()).hexdigest()[:16], 16), 6)
+
+
+def test_infra_masks_in_place(spark):
+    tag = lambda x, n=6: base36(int(hashlib.sha256(f"s:{x}".encode()).hexdigest()[:16], 16), n)
+    ip = lambda x: "10." + ".".join(str(int(tag(x, 8)[i : i + 2], 36) % 256) for i in (0, 2, 4))
+    cases = {
+        "210.1.2.3 and 10.1.2.3, 110.1.2.3": f"210.1.2.3 and {ip('10.1.2.3')}, 110.1.2.3",
+        "ssh db.internal.acme.com now": f"ssh host-{tag('db.internal.acme.com')}.internal now",
+        "api.acme.com or acme.org": f"host-{tag('api.acme.com')} or acme.org",
+        "node.vpc and C:\\Users\\bob\\x.txt": f"host-{tag('node.vpc')}.vpc and /masked/path_{tag('C:' + chr(92) + 'Users' + chr(92) + 'bob' + chr(92) + 'x.txt')}",
+        "in /home/bob/src/a.py and Zeta": f"in /masked/path_{tag('/home/bob/src/a.py')} and VEILMARK_MASK_{tag('Zeta').upper()}",
+        "nothing here": "nothing here",
+    }
+    config = InfraConfig("s", domains=("acme.com",), words=("zeta",))
+    rows = spark.createDataFrame([(c,) for c in cases] + [(None,)], "t string").select("t", mask_infra(F.col("t"), config).alias("m")).collect()
+    assert {r["t"]: r["m"] for r in rows} == cases | {None: None}
+
+
+def test_env_masks_in_place(spark):
+    """Every value is replaced where it stands and comes back; repeated keys of rows stay as many rows."""
+    text = 'export A=one # note\nB="two \\" three\nfour" # end\n# C=no\nD=\nE=\'six\'\r\nF=one\n'
+    rows = mask_env(spark.createDataFrame([(1, text), (1, text), (2, "plain"), (3, None)], "id long, t string"), "id", "t", "salt").collect()
+    assert len(rows) == 4
+    for r in (r for r in rows if r["id"] == 1):
+        assert sorted(m["real"] for m in r["mocks"]) == ["one", "six", 'two \\" three\nfour']
+        mock = {m["real"]: m["mock"] for m in r["mocks"]}
+        assert r["masked"] == f'export A={mock["one"]} # note\nB="' + mock['two \\" three\nfour'] + f'" # end\n# C=no\nD=\nE=\'{mock["six"]}\'\r\nF={mock["one"]}\n'
+    assert [r["masked"] for r in rows if r["id"] > 1] == ["plain", None]
+
+
+def test_stream_gives_the_same_as_batch(spark, tmp_path):
+    """The streaming query on chunks in files: outputs joined are the original texts."""
+    mocks = {"MOCK_A": "alpha", "MOCK_AB": "beta"}
+    texts = {f"s{i}": f"{i} MOCK_A and MOCK_AB, MOCK_ABC x.MOCK_A end {i}" for i in range(5)}
+    schema = "stream_id string, channel int, seq int, delta string, is_final boolean, mocks map<string,string>"
+    rows = [(s, 0, n, t[at : at + 4], at + 4 >= len(t), mocks) for s, t in texts.items() for n, at in enumerate(range(0, len(t), 4))]
+    for n in range(3):
+        spark.createDataFrame([r for r in rows if r[2] // 5 == n or n == 2 and r[2] >= 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = rehydrate_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("put_back").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    out = {}
+    for r in spark.table("put_back").orderBy("stream_id", "seq").collect():
+        out[r["stream_id"]] = out.get(r["stream_id"], "") + r["out"]
+    assert out == {s: put_back("", t, mocks) for s, t in texts.items()}

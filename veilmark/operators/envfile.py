@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.operators.config import ScanConfig
-from veilmark.operators.transform import mock_for, splice
+from veilmark.operators.transform import mock_for
 
 # An assignment's start, and what marks a line as code.
 _ASSIGN = r"^\s*(?:export\s+)?[A-Za-z_][A-Za-z0-9_]*\s*="
@@ -27,55 +25,36 @@ def looks_like_env(text: Column) -> Column:
     return F.coalesce((n >= 2) & (F.size(code) == 0) & (F.size(closed) < n * 0.5) & (n >= F.size(lines) * 0.7), F.lit(False))
 
 
+# An assignment with a value, on a line of its own: its head, then a quoted value (over lines if need be) and the rest of the
+# line, or a bare value up to a comment or the line's end.
+VALUE = (
+    r"(?<![^\n])([^\S\n]*(?:export[^\S\n]+)?[A-Za-z_][A-Za-z0-9_]*[^\S\n]*=[ \t]*)"
+    r"(?:\"(?!\")([^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+)\"([^\n]*)|'([^']+)'([^\n]*)|([^\s'\"](?:[^\n]*?))(?=\s#|\s*(?:\n|(?![\s\S]))))"
+)
+
+
 def value_spans(text: str) -> list[tuple[int, int]]:
-    """Places of the values: quoted ones without their quotes, over lines if need be; bare ones up to a comment."""
-    spans, line_start = [], 0
-    assign = re.compile(_ASSIGN, re.ASCII)
-    while line_start < len(text):
-        stop = text.find("\n", line_start)
-        stop = len(text) if stop < 0 else stop
-        line, after = text[line_start:stop], stop + 1
-        m = assign.match(line)
-        if m and not line.strip().startswith("#"):
-            at = line_start + m.end()
-            while at < stop and text[at] in " \t":
-                at += 1
-            quote = text[at] if at < stop and text[at] in "'\"" else ""
-            if quote:
-                end = at + 1
-                while end < len(text) and text[end] != quote:
-                    end += 2 if quote == '"' and text[end] == "\\" else 1
-                if end < len(text):
-                    spans.append((at + 1, end))
-                    next_line = text.find("\n", end)
-                    after = len(text) if next_line < 0 else next_line + 1
-            elif at < stop:
-                bare = re.split(r"\s#", text[at:stop], maxsplit=1)[0].rstrip()
-                spans.append((at, at + len(bare)))
-        line_start = after
-    return [(a, b) for a, b in spans if b > a]
+    """Places of the values in one text, without their quotes."""
+    return [next(m.span(g) for g in (2, 4, 6) if m[g]) for m in re.finditer(VALUE, text, re.ASCII)]
 
 
 def mask_env(df: DataFrame, key: str, text: str, salt: str, config: ScanConfig | None = None) -> DataFrame:
-    """(id, text, is_env, masked, mocks); texts that don't look like environment files stay as they are."""
+    """(id, text, is_env, masked, mocks); texts that don't look like environment files stay as they are.
+
+    One pass of column functions: each value is replaced where it stands, whatever the keys of rows are.
+    """
     config = config or ScanConfig()
-    kind = df.schema[key].dataType.simpleString()
+    part = lambda m, n: F.regexp_extract(m, VALUE, n)
+    value = lambda m: F.coalesce(*[F.nullif(part(m, n), F.lit("")) for n in (2, 4, 6)])
+    pair = lambda m: F.struct(mock_for(value(m), F.lit("custom"), F.lit("env"), salt, config).alias("mock"), value(m).alias("real"))
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("is_env", looks_like_env(F.col("text")))
+    found = F.regexp_extract_all("text", F.lit(VALUE), 0)
+    rows = rows.withColumn("found", F.when(F.col("is_env"), found).otherwise(F.array().cast("array<string>"))).withColumn("pairs", F.transform("found", pair))
+
+    def written(m: Column, p: Column) -> Column:
+        quote = F.when(part(m, 2) != "", '"').when(part(m, 4) != "", "'").otherwise("")
+        return F.concat(part(m, 1), quote, p["mock"], quote, part(m, 3), part(m, 5))
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, starts, ends = [], [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for a, b in value_spans(x or ""):
-                    ids.append(i)
-                    starts.append(a)
-                    ends.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["id", "start", "end"])
-
-    found = rows.where("is_env").select("id", "text").mapInArrow(spans, f"id {kind}, start int, `end` int")
-    valued = found.join(rows.select("id", "text"), "id").select("id", "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("real"))
-    valued = valued.withColumn("mock", mock_for(F.col("real"), F.lit("custom"), F.lit("env"), salt, config))
-    pieces = valued.groupBy("id").agg(F.collect_list(F.struct("start", "end", F.col("mock").alias("new"))).alias("pieces"), F.collect_set(F.struct("mock", "real")).alias("mocks"))
-    none = F.array().cast("array<struct<mock:string,real:string>>")
-    out = rows.join(pieces, "id", "left")
-    return out.select("id", "text", "is_env", F.when(F.col("pieces").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("pieces"))).alias("masked"), F.coalesce("mocks", none).alias("mocks"))
+    lines = F.zip_with("found", "pairs", written)
+    joined = F.array_join(F.zip_with(F.split("text", VALUE, -1), lines, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+    return rows.select("id", "text", "is_env", F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias("masked"), F.array_distinct("pairs").alias("mocks"))

@@ -17,6 +17,7 @@ from veilmark.operators.infra import InfraConfig, mask_infra
 from veilmark.operators.policy import decide, incident_report, incidents, retain_last
 from veilmark.operators.transform import mock_for, redact, rehydrate, swap_table, swapped
 from veilmark.plans.examples import cases, cases_sql, judged_sql
+from veilmark.sources.policyfile import load_policy
 from veilmark.sources.wire import FORMATS, REQUEST_HEADERS_DROPPED, kept_headers, request_texts, sse_events, written_back
 from veilmark.streaming.rehydrate import cut_into_chunks, rehydrate_chunks
 
@@ -129,6 +130,19 @@ def env_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "is_env", F.regexp_replace("masked", "VEILMARK_MOCK_ENV_[0-9A-Z]{6}", "MOCK").alias("masked"), (rehydrate(F.col("masked"), F.col("mocks")) == F.col("text")).alias("comes_back"))
 
 
+POLICY = """{"version": 1, "patterns": [{"name": "Employee ID", "action": "block", "match": {"type": "prefix", "prefix": "EMP-", "format": {"kind": "digits", "length": 6}}, "examples": {"match": ["EMP-000123"], "noMatch": ["EMP-12"]}},
+ {"name": "Mail", "match": {"type": "known", "format": "email"}}, {"name": "Desk", "match": {"type": "context", "keywords": ["desk"], "value": {"kind": "hex", "min": 4, "max": 8}}}],
+ "internalDomains": ["acme.io"], "blocklist": ["BUILDING", "house hold"], "policy": {"pii": {"ssn": false}}}"""
+STAFF_TEXTS = """SELECT c_custkey AS id, 'badge EMP-' || lpad(cast(c_custkey AS varchar(20)), CASE WHEN c_custkey % 5 = 0 THEN 5 ELSE 6 END, '0') || ' of ' || lower(c_mktsegment) || ', 219-09-9999, mail c' || cast(c_custkey AS varchar(20)) || '@post.acme.io at desk: ' || substr(md5(cast(c_custkey AS varchar(20))), 1, 6) || ' on www.acme.io' AS text FROM customer"""
+
+
+def policy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an organisation's own rules find; one of the built-in rules is switched off."""
+    config = load_policy(POLICY).scan_config()
+    found = decide(scan(derived(spark, sf_dir, "customer", STAFF_TEXTS), "id", "text", config), config)
+    return found.select("id", "action", F.explode("findings").alias("f")).select("id", "action", "f.rule_id", "f.start", "f.value", "f.mask_hint")
+
+
 def infra_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived(spark, sf_dir, "supplier", HOST_TEXTS)
     masked = mask_infra(F.col("text"), InfraConfig("salt"))
@@ -230,7 +244,7 @@ def stream_rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [findings_credit_card, rules_judged, scan_documents, scan_counts_cards, decide_key_texts, redact_key_texts, incident_counts, incidents_retained, swap_round_trip, mock_database_urls, token_entropy, env_sniff, env_masked, infra_masked, sse_framed, headers_kept, stream_rehydrated]
+    own = [findings_credit_card, rules_judged, scan_documents, scan_counts_cards, decide_key_texts, redact_key_texts, incident_counts, incidents_retained, swap_round_trip, mock_database_urls, token_entropy, env_sniff, env_masked, policy_findings, infra_masked, sse_framed, headers_kept, stream_rehydrated]
     wire = {f"wire_{n}": _wire(n) for n in FORMATS} | {f"wire_{n}_written": _written(n) for n in FORMATS}
     return {f.__name__: f for f in own} | wire
 
@@ -280,6 +294,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT id, round(list_aggregate(string_split(token, ''), 'entropy'), 6) AS bits, regexp_matches(token, '[0-9]') AS mixed, {_STARS.format('token')} AS masked FROM t""",
         "env_sniff": f"{_ENV} SELECT id, id % 3 <> 0 AS is_env FROM t",
         "env_masked": f"""{_ENV} SELECT id, id % 3 <> 0 AS is_env, CASE WHEN id % 3 = 0 THEN text ELSE 'NAME=MOCK' || chr(10) || 'SEGMENT="MOCK"' || chr(10) || 'NATION=MOCK' END AS masked, true AS comes_back FROM t""",
+        "policy_findings": f"""WITH t AS (SELECT *, CASE WHEN id % 5 <> 0 THEN 'block' ELSE 'warn' END AS action FROM ({STAFF_TEXTS})),
+          v AS (SELECT id, text, action, 'policy.employee_id' AS rule_id, 'Employee ID' AS mask_hint, regexp_extract(text, 'EMP-[0-9]{{6}}') AS value FROM t WHERE id % 5 <> 0
+            UNION ALL SELECT id, text, action, 'policy.mail', 'Mail', regexp_extract(text, 'c[0-9]+@post[.]acme[.]io') FROM t
+            UNION ALL SELECT id, text, action, 'policy.blocklist', 'blocklisted term', 'building' FROM t WHERE contains(text, 'of building,'))
+          SELECT id, action, rule_id, CAST(position(value IN text) - 1 AS INTEGER) AS start, value, mask_hint FROM v
+          UNION ALL SELECT id, action, 'policy.desk', CAST(position('desk: ' IN text) + 7 AS INTEGER), substr(md5(cast(id AS varchar)), 3, 4), 'Desk' FROM t
+          UNION ALL SELECT id, action, 'policy.internal_host', CAST(length(text) - 7 AS INTEGER), 'acme.io', 'internal host' FROM t""",
         "infra_masked": f"WITH t AS ({HOST_TEXTS}) SELECT id, 'ssh host-TAG.internal via ADDRESS' AS shape FROM t",
         "sse_framed": """SELECT r_regionkey, CAST(0 AS INTEGER) AS seq, 'a' AS event, r_name AS data FROM region UNION ALL SELECT r_regionkey, CAST(1 AS INTEGER), NULL, 'x' || chr(10) || 'y' FROM region""",
         "headers_kept": "SELECT n_nationkey, 'X-Nation' AS name, n_name AS value FROM nation",

@@ -144,9 +144,9 @@ def _object(body: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def pointer(path: tuple) -> str:
-    """A path as a JSON pointer."""
-    return "".join("/" + str(x).replace("~", "~0").replace("/", "~1") for x in path)
+def pointer(number: int, path: tuple) -> str:
+    """The place of a text: its number in the body, so places sort as texts stand, and its path as a JSON pointer."""
+    return f"{number:06d}:" + "".join("/" + str(x).replace("~", "~0").replace("/", "~1") for x in path)
 
 
 def request_texts(df: DataFrame, key: str, body: str, shape: str) -> DataFrame:
@@ -158,9 +158,9 @@ def request_texts(df: DataFrame, key: str, body: str, shape: str) -> DataFrame:
             take: list[int] = []
             found: list[tuple[str, str, str]] = []
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                for kind, path, text in find(_object(raw) or {}):
+                for number, (kind, path, text) in enumerate(find(_object(raw) or {})):
                     take.append(i)
-                    found.append((pointer(path), kind, text))
+                    found.append((pointer(number, path), kind, text))
             columns = list(zip(*found)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], ["id", "path", "kind", "text"])
 
@@ -178,8 +178,8 @@ def written_back(df: DataFrame, key: str, body: str, shape: str, texts: DataFram
             for raw, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 value = _object(raw) if changes else None
                 new, changed = {c["path"]: c["text"] for c in changes or []}, False
-                for _, path, text in list(find(value or {})):
-                    wanted = new.get(pointer(path))
+                for number, (_, path, text) in enumerate(list(find(value or {}))):
+                    wanted = new.get(pointer(number, path))
                     if wanted is not None and wanted != text:
                         holder = value
                         for step in path[:-1]:
