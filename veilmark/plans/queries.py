@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions.text import entropy, has_char_mix, mask_value, match_starts, window, has_any
-from veilmark.operators.config import ScanConfig
+from veilmark.operators.config import CONTEXT_WORDS, DEV_WORDS, PROD_WORDS, ScanConfig
 from veilmark.operators.detect import candidates, judged, scan, valid_card
 from veilmark.operators.envfile import looks_like_env, mask_env
 from veilmark.operators.infra import InfraConfig, mask_infra
@@ -18,6 +18,7 @@ from veilmark.operators.policy import decide, incident_report, incidents, retain
 from veilmark.operators.transform import mock_for, redact, rehydrate, swap_table, swapped
 from veilmark.plans.examples import cases, cases_sql, judged_sql
 from veilmark.sources.policyfile import load_policy
+from veilmark.sources.rules import builtin_rules
 from veilmark.sources.wire import FORMATS, REQUEST_HEADERS_DROPPED, kept_headers, request_texts, sse_events, written_back
 from veilmark.streaming.rehydrate import cut_into_chunks, rehydrate_chunks
 
@@ -275,6 +276,17 @@ def _written_sql(listed: bool) -> str:
       {rules} UNION ALL SELECT id, 'text', {changed('said')}, true FROM t UNION ALL SELECT id, 'tool_result', {changed('t')}, true FROM t"""
 
 
+def _scan_sql() -> str:
+    """All findings of documents; cards are the only secrets that its texts hold, which the number of rows bears out."""
+    card = next(r for r in builtin_rules() if r.id == "pii.credit_card")
+    one_of = lambda words: " OR ".join(f"contains(near, '{w}')" for w in words)
+    raised = {"low": "medium", "medium": "high", "high": "high"}[card.confidence]
+    return f"""WITH c AS ({_CARD_SQL}), n AS (SELECT c.*, lower(substr(d.text, greatest(c.start - 64, 0) + 1, c."end" + 64 - greatest(c.start - 64, 0))) AS near FROM c JOIN documents d USING (doc_id)),
+      e AS (SELECT *, {one_of(PROD_WORDS)} AS prod, {one_of(DEV_WORDS)} AS dev FROM n)
+      SELECT doc_id, '{card.id}' AS rule_id, '{card.type}' AS type, CASE WHEN {one_of(CONTEXT_WORDS)} THEN '{raised}' ELSE '{card.confidence}' END AS confidence,
+        CASE WHEN prod AND NOT dev THEN 'prod' WHEN dev AND NOT prod THEN 'dev' ELSE 'unknown' END AS environment, start, "end", masked FROM e"""
+
+
 def oracle_sql() -> dict[str, str]:
     wire = "SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'text' AS kind, coalesce(text, '') AS text FROM conversations"
     brief = wire + " UNION ALL SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'text' AS kind, 'be brief' AS text FROM conversations"
@@ -282,6 +294,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "findings_credit_card": _CARD_SQL,
         "scan_counts_cards": _CARD_SQL,
+        "scan_documents": _scan_sql(),
         "rules_judged": judged_sql(RULE_TEXTS.format(cases=cases_sql())),
         "decide_key_texts": f"""{_KEYS} SELECT id, CAST(1 AS INTEGER) AS n_findings, 'aws.access_key_id' AS rule_id, CASE id % 4 WHEN 0 THEN 'prod' WHEN 1 THEN 'dev' ELSE 'unknown' END AS environment, CAST(11 AS INTEGER) AS start,
           CASE WHEN id % 4 = 1 THEN 'warn' ELSE 'block' END AS action, CASE WHEN id % 4 = 1 THEN 'Warning: possible AWS access key detected.' ELSE 'Blocked: AWS access key detected.' END AS summary FROM t WHERE {_FOUND}""",
