@@ -88,6 +88,33 @@ def test_join_is_whole(spark, monkeypatch, k, percent, long_list, block):
     assert by_id[900] == by_id[901] == by_id[902] == 0 and by_id[903] == 1
 
 
+def opposites(doublings):
+    """A word of two letters and its opposite, whose polynomial hashes modulo powers of two are equal."""
+    word = "a"
+    for _ in range(doublings):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_join_tells_long_words_apart(spark):
+    """Words made to clash under polynomial hashes link nothing; a very long text is linked with its near copy."""
+    texts = [(10 * n + i, w) for n in (10, 11, 12) for i, w in enumerate(opposites(n))]
+    texts += [(10 * n + i + 500, f"{w} one two three four {w}") for n in (10, 11, 12) for i, w in enumerate(opposites(n))]
+    long = [f"w{i}" for i in range(40_000)]
+    texts += [(900, " ".join(long)), (901, " ".join([*long[:-1], "end"])), (902, "x" * 2_000_000), (903, "x" * 2_000_000)]
+    for k, percent in ((3, 90), (5, 80)):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_components(table(spark, texts), k, percent).collect()}
+        assert got == {i: i for i, _ in texts} | {901: 900, 903: 902}
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """An id whose rows have different texts ties their groups together, and an id without texts is alone."""
+    body = [" ".join(f"{name}{i}" for i in range(50)) for name in "abc"]
+    texts = [(3, body[0]), (5, body[0]), (5, body[1]), (7, body[1]), (7, body[1]), (8, body[2]), (9, ""), (None, body[0])]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_components(table(spark, texts), 3, 90).collect()]
+    assert sorted(got, key=repr) == sorted([(3, 3), (5, 3), (5, 3), (7, 3), (7, 3), (8, 8), (9, 9), (None, None)], key=repr)
+
+
 def test_mix(spark):
     rng = random.Random(2)
     texts = [(i, " ".join(["x"] * rng.randint(0, 60)), ["a", "b", "c", None][min(3, i % 7)]) for i in range(700)] + [(1000, None, "a"), (1001, "", None)]
