@@ -26,11 +26,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from veilmark.llm.stages import one_row_each, small_batches
 from veilmark.llm.textblocks import WordBlock, blocks
-from veilmark.llm.weaklabel import LabelModel, LinearScorer, train_scorer
+from veilmark.llm.weaklabel import LabelModel, LinearScorer, bucket_sums, parts, train_scorer
 
 BUCKETS = 1 << 19
 SAMPLE = (4000, 6000)  # labelled training documents that are toxic, and that aren't
-UNLABELLED, UNLABELLED_SHARE = 6000, 0.3  # documents of the second sample; their weight against that of the first
+UNLABELLED, UNLABELLED_SHARE = 3000, 0.3  # documents of the second sample; their weight against that of the first
 TRUST = 0.97  # how often a known label is taken to be right
 # Insults by theme and language, and words of direct address.
 LEXICONS = {
@@ -115,6 +115,12 @@ class Voters:
         return sum(f.astype(np.int64) << j for j, f in enumerate(fired))
 
 
+def _patterns(voters: Voters, indices: np.ndarray, offsets: np.ndarray, words: np.ndarray, loud: np.ndarray) -> np.ndarray:
+    """The votes of a whole sample, part by part."""
+    each = [voters.patterns(indices[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words[a:b], loud[a:b]) for a, b in parts(offsets)]
+    return np.concatenate(each) if each else np.zeros(0, np.int64)
+
+
 def _sums(x: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(x)])
     return total[offsets[1:]] - total[offsets[:-1]]
@@ -167,18 +173,17 @@ def _features(rows: DataFrame) -> tuple[np.ndarray, ...]:
 
     table = rows.mapInArrow(features, "toxic int, words bigint, loud bigint, buckets array<int>").toArrow()
     if not table.num_rows:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     lists = table["buckets"].combine_chunks()
     offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    return lists.flatten().to_numpy().astype(np.int64), offsets, table["words"].to_numpy(), table["loud"].to_numpy(), table["toxic"].to_numpy().astype(float)
+    return lists.flatten().to_numpy(), offsets, table["words"].to_numpy(), table["loud"].to_numpy(), table["toxic"].to_numpy().astype(float)
 
 
 def mine(indices: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, weight: np.ndarray, least: int = 5, odds: float = 12.0) -> np.ndarray:
     """Buckets met in `least` toxic documents or more that are `odds` times as frequent there, by a cautious estimate."""
-    rows = np.repeat(np.arange(len(toxic)), np.diff(offsets))
     n = [max(1.0, weight[toxic == c].sum()) for c in (0, 1)]
-    seen = np.bincount(indices, minlength=BUCKETS, weights=toxic[rows])
-    raw = [np.bincount(indices, minlength=BUCKETS, weights=(weight * (toxic == c))[rows]) for c in (0, 1)]
+    seen = bucket_sums(indices, offsets, BUCKETS, toxic)
+    raw = [bucket_sums(indices, offsets, BUCKETS, weight * (toxic == c)) for c in (0, 1)]
     base = weight[toxic == 0].mean() if (toxic == 0).any() else 1.0
     ratio = (np.maximum(raw[1] - np.sqrt(raw[1]), 0) / n[1]) / ((raw[0] + base) / n[0])
     return np.flatnonzero((seen >= least) & (ratio >= odds))
@@ -208,7 +213,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
     seen = docs.select("text").mapInArrow(vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # a row for each pattern that occurs
-    own = voters.patterns(indices, offsets, words, loud)
+    own = _patterns(voters, indices, offsets, words, loud)
     patterns = np.unique(np.concatenate([np.array([r["pattern"] for r in seen], dtype=np.int64), own]))
     counts = np.zeros(len(patterns))
     for r in seen:
@@ -220,7 +225,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     model = LabelModel(VOTERS).fit(patterns, counts, gold, first_hit=(0.005, 0.5), prior=prior, steadiness=0.02)
     odds = model.log_odds(own) + np.where(toxic == 1, 1, -1) * np.log(TRUST / (1 - TRUST)) if len(toxic) else np.zeros(0)
     more = _unlabelled(docs)
-    target = 1 / (1 + np.exp(-np.clip(np.concatenate([odds, model.log_odds(voters.patterns(*more))]), -30, 30)))
+    target = 1 / (1 + np.exp(-np.clip(np.concatenate([odds, model.log_odds(_patterns(voters, *more))]), -30, 30)))
     extra = len(more[2])
     weights = np.concatenate([weight, np.full(extra, UNLABELLED_SHARE * max(1.0, weight.sum()) / max(1, extra))])
     scorer = train_scorer(np.concatenate([indices, more[0]]), np.concatenate([offsets, offsets[-1] + more[1][1:]]), target, weights, BUCKETS, screen=0.03)

@@ -83,6 +83,24 @@ class LinearScorer:
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def parts(offsets: np.ndarray, most: int = 500_000):
+    """Yield (first, last) documents so that a part has about `most` features: temporary arrays on the driver stay small."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1)
+        yield first, last
+        first = last
+
+
+def bucket_sums(indices: np.ndarray, offsets: np.ndarray, size: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Of each bucket, the sum of the `weights` of the documents that have it; without weights their number."""
+    total = np.zeros(size)
+    for a, b in parts(offsets):
+        each = None if weights is None else np.repeat(weights[a:b], np.diff(offsets[a : b + 1]))
+        total += np.bincount(indices[offsets[a] : offsets[b]], weights=each, minlength=size)
+    return total
+
+
 def train_scorer(indices: np.ndarray, offsets: np.ndarray, target: np.ndarray, importance: np.ndarray, size: int, screen: float, lasso: float = 0.001, least_documents: int = 3, rounds: int = 200) -> LinearScorer:
     """Fit to soft targets by proximal gradient steps of falling size.
 
@@ -92,15 +110,16 @@ def train_scorer(indices: np.ndarray, offsets: np.ndarray, target: np.ndarray, i
     n = len(target)
     if not n:
         return LinearScorer(size, np.zeros(size), -20.0)
-    rows = np.repeat(np.arange(n), np.diff(offsets))
     importance = importance / importance.sum()
     share = float(importance @ target)
-    seen = np.bincount(indices, minlength=size)
-    mass = np.maximum(np.bincount(indices, weights=importance[rows], minlength=size), 1e-9)
-    pull = np.abs(np.bincount(indices, weights=(importance * (target - share))[rows], minlength=size)) / np.sqrt(mass)
-    keep = ((seen >= least_documents) & (pull >= screen))[indices]
-    names, columns = np.unique(indices[keep], return_inverse=True)
-    rows, d, scale = rows[keep], len(names), 1 / np.sqrt(mass[names])  # rare features move as fast as frequent ones
+    seen = bucket_sums(indices, offsets, size)
+    mass = np.maximum(bucket_sums(indices, offsets, size, importance), 1e-9)
+    pull = np.abs(bucket_sums(indices, offsets, size, importance * (target - share))) / np.sqrt(mass)
+    wanted = (seen >= least_documents) & (pull >= screen)
+    held = [np.flatnonzero(wanted[indices[offsets[a] : offsets[b]]]) + offsets[a] for a, b in parts(offsets)]
+    names, columns = np.unique(np.concatenate([indices[at] for at in held]), return_inverse=True)
+    rows = np.concatenate([np.searchsorted(offsets, at, side="right") - 1 for at in held])
+    d, scale = len(names), 1 / np.sqrt(mass[names])  # rare features move as fast as frequent ones
     w, bias = np.zeros(d), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     gw, gb = np.full(d, 1e-4), 1e-4
     for turn in range(rounds):
