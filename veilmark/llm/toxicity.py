@@ -228,7 +228,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     target = 1 / (1 + np.exp(-np.clip(np.concatenate([odds, model.log_odds(_patterns(voters, *more))]), -30, 30)))
     extra = len(more[2])
     weights = np.concatenate([weight, np.full(extra, UNLABELLED_SHARE * max(1.0, weight.sum()) / max(1, extra))])
-    scorer = train_scorer(np.concatenate([indices, more[0]]), np.concatenate([offsets, offsets[-1] + more[1][1:]]), target, weights, BUCKETS, screen=0.03)
+    indices, offsets = np.concatenate([indices, more[0]]), np.concatenate([offsets, offsets[-1] + more[1][1:]])
+    del more
+    scorer = train_scorer(indices, offsets, target, weights, BUCKETS, screen=0.03)
     if not len(toxic):
         scorer = LinearScorer(BUCKETS, np.where(voters.kinds & ((1 << len(LEXICONS)) - 1), 3.0, 0.0), -2.0)
     return ToxicityModel(model, scorer, mined)

@@ -116,9 +116,15 @@ def train_scorer(indices: np.ndarray, offsets: np.ndarray, target: np.ndarray, i
     mass = np.maximum(bucket_sums(indices, offsets, size, importance), 1e-9)
     pull = np.abs(bucket_sums(indices, offsets, size, importance * (target - share))) / np.sqrt(mass)
     wanted = (seen >= least_documents) & (pull >= screen)
-    held = [np.flatnonzero(wanted[indices[offsets[a] : offsets[b]]]) + offsets[a] for a, b in parts(offsets)]
-    names, columns = np.unique(np.concatenate([indices[at] for at in held]), return_inverse=True)
-    rows = np.concatenate([np.searchsorted(offsets, at, side="right") - 1 for at in held])
+    names = np.flatnonzero(wanted)
+    column_of = (np.cumsum(wanted) - 1).astype(np.int32)
+    rows, columns = [], []
+    for a, b in parts(offsets):
+        own = indices[offsets[a] : offsets[b]]
+        at = np.flatnonzero(wanted[own])
+        columns.append(column_of[own[at]])
+        rows.append((np.searchsorted(offsets, at + offsets[a], side="right") - 1).astype(np.int32))
+    rows, columns = np.concatenate(rows), np.concatenate(columns)
     d, scale = len(names), 1 / np.sqrt(mass[names])  # rare features move as fast as frequent ones
     w, bias = np.zeros(d), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     gw, gb = np.full(d, 1e-4), 1e-4
