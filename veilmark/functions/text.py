@@ -67,8 +67,8 @@ def base36_tag(s: Column, length: int) -> Column:
 
 
 def short_hash(s: Column, salt: str, length: int = 6) -> Column:
-    """The first base-36 digits of the first 16 hex digits of SHA-256 over `salt:s`."""
-    return F.substring(F.lower(F.conv(F.substring(F.sha2(F.concat(F.lit(salt + ":"), s), 256), 1, 16), 16, 36)), 1, length)
+    """The first base-36 digits of the first 16 hex digits of SHA-256 over `salt:s`, with zeros before them if they are fewer."""
+    return F.lpad(F.lower(F.conv(F.substring(F.sha2(F.concat(F.lit(salt + ":"), s), 256), 1, 16), 16, 36)), length, "0")
 
 
 def match_starts(text: Column, regex: str) -> tuple[Column, Column]:

@@ -16,6 +16,8 @@ from veilmark.operators.envfile import looks_like_env, mask_env
 from veilmark.operators.infra import InfraConfig, mask_infra
 from veilmark.operators.policy import decide, incident_report, incidents, retain_last
 from veilmark.operators.transform import mock_for, redact, rehydrate, swap_table, swapped
+from veilmark.plans import names
+from veilmark.plans.derived import derived, table
 from veilmark.plans.examples import cases, cases_sql, judged_sql
 from veilmark.sources.policyfile import load_policy
 from veilmark.sources.rules import builtin_rules
@@ -28,15 +30,6 @@ URL_TEXTS = """SELECT s_suppkey AS id, 'postgres://user' || cast(s_suppkey AS va
 HOST_TEXTS = """SELECT s_suppkey AS id, 'ssh db' || cast(s_suppkey AS varchar(20)) || '.corp.internal via 10.1.2.' || cast(s_suppkey % 200 AS varchar(20)) AS text FROM supplier"""
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def derived(spark: SparkSession, sf_dir: str, source: str, sql: str) -> DataFrame:
-    table(spark, sf_dir, source).createOrReplaceTempView(f"veilmark_{source}")
-    return spark.sql(sql.replace("chr(10)", "char(10)").replace(f"FROM {source}", f"FROM veilmark_{source}"))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
@@ -247,7 +240,7 @@ def stream_rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = [findings_credit_card, rules_judged, scan_documents, scan_counts_cards, decide_key_texts, redact_key_texts, incident_counts, incidents_retained, swap_round_trip, mock_database_urls, token_entropy, env_sniff, env_masked, policy_findings, infra_masked, sse_framed, headers_kept, stream_rehydrated]
     wire = {f"wire_{n}": _wire(n) for n in FORMATS} | {f"wire_{n}_written": _written(n) for n in FORMATS}
-    return {f.__name__: f for f in own} | wire
+    return {f.__name__: f for f in own} | wire | names.queries()
 
 
 _STARS = "left({0}, 4) || repeat('*', least(length({0}) - 4, 24))"
@@ -326,4 +319,4 @@ def oracle_sql() -> dict[str, str]:
         "wire_gemini": wire,
         "wire_anthropic": brief,
         "wire_responses": brief,
-    }
+    } | names.oracle_sql()
