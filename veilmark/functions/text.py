@@ -76,3 +76,8 @@ def match_starts(text: Column, regex: str) -> tuple[Column, Column]:
     gaps, found = F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), 0)
     upto = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda n, m: n + F.length(m))
     return found, F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(0), F.size(found) - 1), upto)).otherwise(F.array().cast("array<int>"))
+
+
+def bound(value: Column, use) -> Column:
+    """`use(value)`, with the value worked out once however often `use` has it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

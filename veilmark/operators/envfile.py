@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.functions.text import bound
 from veilmark.operators.config import ScanConfig
 from veilmark.operators.transform import mock_for
 
@@ -25,6 +26,9 @@ def looks_like_env(text: Column) -> Column:
     return F.coalesce((n >= 2) & (F.size(code) == 0) & (F.size(closed) < n * 0.5) & (n >= F.size(lines) * 0.7), F.lit(False))
 
 
+# Fixed value: a fenced block; the group is what stands between the fences.
+FENCE = r"```[^\n]*\n([\s\S]*?)```"
+
 # An assignment with a value, on a line of its own: its head, then a quoted value (over lines if need be) and the rest of the
 # line, or a bare value up to a comment or the line's end.
 VALUE = (
@@ -38,23 +42,60 @@ def value_spans(text: str) -> list[tuple[int, int]]:
     return [next(m.span(g) for g in (2, 4, 6) if m[g]) for m in re.finditer(VALUE, text, re.ASCII)]
 
 
-def mask_env(df: DataFrame, key: str, text: str, salt: str, config: ScanConfig | None = None) -> DataFrame:
-    """(id, text, is_env, masked, mocks); texts that don't look like environment files stay as they are.
-
-    One pass of column functions: each value is replaced where it stands, whatever the keys of rows are.
-    """
-    config = config or ScanConfig()
+def _masked(text: Column, salt: str, config: ScanConfig) -> Column:
+    """Of a text that looks like an environment file: masked, mocks.  Each value is replaced where it stands."""
     part = lambda m, n: F.regexp_extract(m, VALUE, n)
     value = lambda m: F.coalesce(*[F.nullif(part(m, n), F.lit("")) for n in (2, 4, 6)])
-    pair = lambda m: F.struct(mock_for(value(m), F.lit("custom"), F.lit("env"), salt, config).alias("mock"), value(m).alias("real"))
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("is_env", looks_like_env(F.col("text")))
-    found = F.regexp_extract_all("text", F.lit(VALUE), 0)
-    rows = rows.withColumn("found", F.when(F.col("is_env"), found).otherwise(F.array().cast("array<string>"))).withColumn("pairs", F.transform("found", pair))
-
-    def written(m: Column, p: Column) -> Column:
-        quote = F.when(part(m, 2) != "", '"').when(part(m, 4) != "", "'").otherwise("")
-        return F.concat(part(m, 1), quote, p["mock"], quote, part(m, 3), part(m, 5))
-
-    lines = F.zip_with("found", "pairs", written)
-    joined = F.array_join(F.zip_with(F.split("text", VALUE, -1), lines, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    return rows.select("id", "text", "is_env", F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias("masked"), F.array_distinct("pairs").alias("mocks"))
+
+    def piece(m: Column) -> Column:
+        mock = mock_for(value(m), F.lit("custom"), F.lit("env"), salt, config)
+        return F.struct(m.alias("line"), mock.alias("mock"), value(m).alias("real"))
+
+    def written(p: Column) -> Column:
+        quote = F.when(part(p["line"], 2) != "", '"').when(part(p["line"], 4) != "", "'").otherwise("")
+        return F.concat(part(p["line"], 1), quote, p["mock"], quote, part(p["line"], 3), part(p["line"], 5))
+
+    def parts(pieces: Column) -> Column:
+        lines = F.zip_with(F.split(text, VALUE, -1), F.transform(pieces, written), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+        mocks = F.array_distinct(F.transform(pieces, lambda p: F.struct(p["mock"].alias("mock"), p["real"].alias("real"))))
+        return F.struct(F.when(F.size(pieces) > 0, F.array_join(lines, "")).otherwise(text).alias("masked"), mocks.alias("mocks"))
+
+    return bound(F.transform(F.regexp_extract_all(text, F.lit(VALUE), 0), piece), parts)
+
+
+def _unmasked(text: Column) -> Column:
+    return F.struct(text.alias("masked"), F.array().cast("array<struct<mock:string,real:string>>").alias("mocks"))
+
+
+def env_masked(text: Column, salt: str, config: ScanConfig | None = None) -> Column:
+    """is_env, masked, mocks; a text that doesn't look like an environment file stays as it is."""
+    whole = F.when(looks_like_env(text), _masked(text, salt, config or ScanConfig()))
+    return bound(whole, lambda w: F.struct(w.isNotNull().alias("is_env"), F.coalesce(w["masked"], text).alias("masked"), F.coalesce(w["mocks"], _unmasked(text)["mocks"]).alias("mocks")))
+
+
+def env_blocks_masked(text: Column, salt: str, config: ScanConfig | None = None) -> Column:
+    """blocks, masked, mocks: the fenced blocks that look like environment files are masked, or a text without fences as a whole.
+
+    `blocks` is the number of those in which a value was masked.
+    """
+    fences = F.regexp_extract_all(text, F.lit(FENCE), 0)
+    counted = lambda e: F.when(F.size(e["mocks"]) > 0, 1).otherwise(0)
+
+    def block(fence: Column) -> Column:
+        head = F.regexp_extract(fence, "^[^\n]*\n", 0)
+        put = lambda e: F.struct(counted(e).alias("n"), F.when(F.size(e["mocks"]) > 0, F.concat(head, e["masked"], F.lit("```"))).otherwise(fence).alias("masked"), e["mocks"].alias("mocks"))
+        return bound(env_masked(F.regexp_extract(fence, FENCE, 1), salt, config), put)
+
+    def joined(done: Column) -> Column:
+        parts = F.zip_with(F.split(text, FENCE, -1), done, lambda gap, b: F.concat(gap, F.coalesce(b["masked"], F.lit(""))))
+        blocks = F.aggregate(done, F.lit(0), lambda n, b: n + b["n"])
+        return F.struct(blocks.alias("blocks"), F.array_join(parts, "").alias("masked"), F.array_distinct(F.flatten(F.transform(done, lambda b: b["mocks"]))).alias("mocks"))
+
+    whole = bound(env_masked(text, salt, config), lambda e: F.struct(counted(e).alias("blocks"), e["masked"].alias("masked"), e["mocks"].alias("mocks")))
+    return F.when(text.rlike(FENCE), bound(F.transform(fences, block), joined)).otherwise(whole)
+
+
+def mask_env(df: DataFrame, key: str, text: str, salt: str, config: ScanConfig | None = None) -> DataFrame:
+    """(id, text, is_env, masked, mocks); one pass of column functions, whatever the keys of rows are."""
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return rows.withColumn("e", env_masked(F.col("text"), salt, config)).select("id", "text", "e.is_env", "e.masked", "e.mocks")
