@@ -7,6 +7,7 @@ joins: a name meets the concepts of its scope by their first letters, so neither
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -69,9 +70,9 @@ def name_words(name: Column) -> Column:
 
 def concept_words(name: Column, config: NameConfig) -> Column:
     """Those words of a name that are long enough and no general vocabulary."""
-    parts = F.flatten(F.array(*[name_words(F.lit(c)) for c in config.generic_columns])) if config.generic_columns else F.array().cast("array<string>")
-    general = F.concat(parts, F.array(*[F.lit(w) for w in (*config.prefixes, *config.nouns, *config.suffixes, *config.stop_words)]).cast("array<string>"))
-    return F.array_distinct(F.filter(name_words(name), lambda w: (F.length(w) >= config.least_word) & ~F.array_contains(general, w)))
+    parted = [re.sub("([a-z0-9])([A-Z])", r"\1_\2", c).lower() for c in config.generic_columns]
+    general = {*config.prefixes, *config.nouns, *config.suffixes, *config.stop_words, *(w for c in parted for w in re.split(r"[_\s]+", c))}
+    return F.array_distinct(F.filter(name_words(name), lambda w: (F.length(w) >= config.least_word) & ~w.isin(*sorted(general))))
 
 
 def mask_table(name: Column, config: NameConfig) -> Column:
