@@ -59,3 +59,31 @@ def test_near_duplicates_by_row(spark):
         own = (i is None, i or 0, t or "")
         best[g] = min(best.get(g, own), own)
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted(best.values())
+
+
+def test_nulls_in_every_column(spark):
+    """Rows that differ only in which columns are null stay apart in mixing; near duplicates keep one of each text."""
+    from collections import Counter
+
+    texts = ["a b c", "d e f g h i j", None]
+    rows = [(i, t, lang, source, n) for i in (1, 2, None) for t in texts for lang, source in ((None, "web"), ("web", None), (None, None)) for n in (None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stage = dict(corpus_pipeline.STAGES)
+    kept = Counter(map(tuple, stage["near_duplicates"](spark, docs, SF).collect()))
+    worded = Counter({r: n for r, n in kept.items() if r[1]})
+    assert Counter(r for r in rows if not r[1]) == kept - worded  # texts without words are like no other
+    assert sorted((r[0], r[1]) for r in worded.elements()) == [(1, "a b c"), (1, "d e f g h i j")] and set(worded) <= set(rows)
+    mixed = Counter(map(tuple, stage["mixing"](spark, docs, SF).collect()))
+    assert set(mixed) <= set(rows) and all(mixed[r] == 1 for r in rows if r[0] is None)
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len((r[1] or "").split()) if r[0] else 0
+    got = Counter()
+    for r, n in mixed.items():
+        got[r[3]] += len((r[1] or "").split()) * n if r[0] else 0
+    # two sources weigh 3 and 1 and share 150 % of all words, at most twice their own
+    budget = 1.5 * sum(size.values())
+    web = min(2 * size["web"], budget * 3 / 4)
+    assert abs(got["web"] - web) <= 7 and abs(got[None] - min(2 * size[None], budget - web)) <= 7
+    assert all(1 <= mixed[r] <= 2 for r in rows if r[0] and r[1] and r[3] == "web")  # more than a whole epoch
+    assert all(n <= 2 for n in mixed.values())

@@ -77,6 +77,31 @@ def test_top_k_of_odd_rows(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_top_k_of_very_large_components(spark):
+    """Float32 to its end: exact order, scores held to 64 bits; beyond 1e150 a vector takes no part."""
+    rng = np.random.default_rng(8)
+    x = [(i, [float(v) for v in np.float32(rng.standard_normal(3) * 10.0 ** rng.choice([-3, 0, 9, 18, 30]))]) for i in range(60)]
+    x += [(100, [1e18, 1.0, 0.0]), (101, [3.4e38, -3.4e38, 1.0]), (102, [128 / 256, 0.0, 0.0]), (103, [2.0**55, 2.0**55, 0.0]), (150, [1e200, 0.0, 0.0])]
+    whole = [(i, [math.floor(256 * v) for v in e]) for i, e in x if i != 150]
+    limit, want = 10**38 - 1, []
+    for q, asked in whole:
+        if q % 50 == 0:
+            best = sorted((-max(-limit, min(limit, sum(a * b for a, b in zip(asked, e)))), i) for i, e in whole if i != q)[:5]
+            want += [(q, n + 1, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(best)]
+    doubles = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_k(doubles, F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_near_vectors_of_odd_ranges(spark):
+    """Squares that vanish or pass a double's range, multiples of one vector, null and repeated ids."""
+    x = [(1, [1e-200, 0.0]), (2, [1e-310, 1e-315]), (3, [1e300, 1e300]), (4, [1.0, 1.0]), (5, [2.0, 2.0]), (6, [0.0, 3.0]), (None, [1.0, 1.0]), (4, [1.0, 1.0]), (7, [-1.0, 0.0]), (6, [5.0, 0.0])]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in near_vectors(spark.createDataFrame(x, "vec_id long, embedding array<double>"), 0.9).collect())
+    # 1 and 2 lie along the first axis, as does the second row of 6; 3, 4 and 5 along the diagonal
+    assert [g for g in got if g[0] in (0, 3, 4, 5, 7)] == [(0, 0, 0), (3, 2, 3), (4, 2, 3), (4, 2, 3), (5, 2, 3), (7, 0, 7)]
+    assert all(c == 1 for i, _, c in got if i in (1, 2, 6))
+
+
 def test_empty(spark):
     none = vectors(spark, ODD[:1]).where("false")
     assert near_vectors(none).count() == top_k(none, F.lit(True)).count() == 0

@@ -40,8 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def content_key(columns: list[str]) -> list[Column]:
-    """Two independent 64-bit hashes of a row, as _h1 and _h2: together they tell any two rows apart."""
-    return [F.xxhash64(*columns).alias("_h1"), F.xxhash64(F.lit("second"), *columns).alias("_h2")]
+    """Two independent 64-bit hashes of a row, as _h1 and _h2: together they tell any two rows apart.
+
+    The hash passes over nulls, so which columns are null goes in first.
+    """
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    return [F.xxhash64(nulls, *columns).alias("_h1"), F.xxhash64(F.lit("second"), nulls, *columns).alias("_h2")]
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

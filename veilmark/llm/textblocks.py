@@ -1,7 +1,8 @@
 """Vectorised hashing of words and word shingles for blocks of texts.
 
 Texts are lower-cased on A-Z only and split on the six ASCII white-space bytes, so a word is a run of
-``[^\\x20\\x09-\\x0D]+``.  Hashes are 64-bit: a byte polynomial modulo 2**64 with an odd base, then a mixing step.
+``[^\\x20\\x09-\\x0D]+``.  Hashes are 64-bit.  `WordBlock` (scorers' features) uses a byte polynomial
+modulo 2**64 with an odd base, then a mixing step; `word_hashes` and `shingle_sets` (joins) mix eight bytes at a time instead.
 """
 
 from __future__ import annotations

@@ -9,41 +9,66 @@ then leaves only rows that can still be among its k best, and only their exact v
 Nulls: vectors that are null or hold null or non-finite components take no part, neither as queries nor as rows; vectors of
 another length than the query's take no part in its search.  Rows with one id are one candidate with the best of their
 scores, and one query, which is the smallest of their vectors; a query never finds its own id.  Ties go to the smaller id.
-Empty tables give no rows.  Scores are 64-bit integers; components of 5e6 or more at `scale` 256 may exceed them.
+Empty tables give no rows.  Components are whole numbers held as doubles, so those of any finite float32 are exact.  Products
+that may not fit 64 bits are added up as whole numbers of any size: order is exact up to 38 digits, and the reported score
+is the nearest 64-bit integer.  A vector with a component beyond 1e150 takes no part, as its products pass a double's range.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.stages import cut, shared_folder
+from veilmark.llm.stages import cut, shared_folder, small_batches
 
+MOST, DIGITS = 1e150, 38
 ROW_BLOCK, QUERY_BLOCK, QUERIES_AT_ONCE = 16384, 1024, 128
 FOUND = "query_id bigint, row bigint, vec_id bigint, low double, high double"
 
 
 def integer_vectors(vectors: DataFrame, scale: float) -> DataFrame:
-    """vec_id and q: floor(scale * x) of each component; rows that take no part are gone."""
+    """vec_id and q: floor(scale * x) of each component, as doubles; rows that take no part are gone."""
     embedding = F.col("embedding")
-    whole = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != F.lit(float("inf"))))
+    whole = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) <= F.lit(MOST)))
     kept = vectors.where(embedding.isNotNull() & F.col("vec_id").isNotNull() & whole)
-    return kept.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(embedding, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint")).alias("q"))
+    scaled = F.transform(embedding, lambda x: F.lit(float(scale)) * x.cast("double"))
+    # from 2**53 on doubles are whole, and floor() would pass 64 bits
+    return kept.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)).alias("q"))
 
 
 def with_cells(rows: DataFrame) -> DataFrame:
     """`rows` (vec_id, q) with width, a power of two of at least 2, and cells, floor(q / width) in one byte each."""
-    most = F.coalesce(F.array_max(F.transform("q", lambda x: F.abs(x))), F.lit(0)) + 1
-    bits = F.greatest(F.ceil(F.log2(most / 128.0)), F.lit(1)).cast("int")
-    rows = rows.withColumn("width", F.call_function("shiftleft", F.lit(1).cast("bigint"), bits))
+    most = F.coalesce(F.array_max(F.transform("q", lambda x: F.abs(x))), F.lit(0.0)) + 1
+    bits = F.greatest(F.floor(F.log2(most / 128.0) + 1e-9) + 1, F.lit(1))
+    rows = rows.withColumn("width", F.pow(F.lit(2.0), bits.cast("double")))
     return rows.withColumn("cells", F.transform("q", lambda x: F.floor(x / F.col("width")).cast("tinyint")))
 
 
+def exact_products(pairs: DataFrame) -> DataFrame:
+    """(query_id, vec_id, exact) of `pairs` (query_id, vec_id, asked, q), exact being held to DIGITS digits."""
+    limit = 10**DIGITS - 1
+
+    def product(a: np.ndarray, b: np.ndarray) -> int:
+        if np.linalg.norm(a) * np.linalg.norm(b) < 2.0**62:
+            return int(np.dot(a.astype(np.int64), b.astype(np.int64)))
+        return max(-limit, min(limit, sum(int(x) * int(y) for x, y in zip(a.tolist(), b.tolist()))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(i)] for i in (2, 3)]
+            exact = [Decimal(product(a, b)) for a, b in zip(*each)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact, pa.decimal128(DIGITS, 0))], ["query_id", "vec_id", "exact"])
+
+    return small_batches(pairs).select("query_id", "vec_id", "asked", "q").mapInArrow(run, f"query_id bigint, vec_id bigint, exact decimal({DIGITS},0)")
+
+
 def bounds(queries: np.ndarray, cells: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(low, high) of the inner products, one row a query; a little wider than they need be, for rounding."""
     queries, cells = queries.astype(np.float64), cells.astype(np.float64)
@@ -51,7 +76,8 @@ def bounds(queries: np.ndarray, cells: np.ndarray, width: np.ndarray) -> tuple[n
     slack = 1e-12 * np.linalg.norm(queries, axis=1)[:, None] * (np.linalg.norm(cells, axis=1) * width)[None, :]
     high = floor + np.maximum(queries, 0).sum(1)[:, None] * (width - 1)[None, :] + slack
     low = floor + np.minimum(queries, 0).sum(1)[:, None] * (width - 1)[None, :] - slack
-    return low, high
+    most = 10.0**DIGITS  # beyond it exact products are held equal, so none of them may be left out
+    return np.clip(low, -most, most), np.clip(high, -most, most)
 
 
 def near_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, cells: np.ndarray, width: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -104,7 +130,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     least = sure.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).alias("least"))
     open_ = found.join(least, "query_id").where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("query_id", "row", "vec_id")
     exact = open_.join(table.select("row", "q"), "row").join(queries, "query_id")
-    score = F.aggregate(F.zip_with("asked", "q", lambda x, y: x * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    scored = exact.groupBy("query_id", "vec_id").agg(F.max(score).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return scored.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = exact_products(exact).groupBy("query_id", "vec_id").agg(F.max("exact").alias("exact"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("exact").desc(), "vec_id"))
+    score = F.greatest(F.least("exact", F.lit((1 << 63) - 1)), F.lit(-(1 << 63))).cast("bigint")
+    return scored.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

@@ -7,7 +7,7 @@ cosine in double precision.  Windows and count are calibrated on random differen
 against the very directions used, so that a pair at the threshold is missed in about one case of fifty; closer pairs are
 missed less often.
 
-Equal vectors are one class and are compared once; a class counts as many links as it has vectors.  A pair of blocks
+Vectors that are equal up to a power of two are one class and are compared once; a class counts as many links as it has vectors.  A pair of blocks
 returns the links' numbers and a spanning forest, not the links, so a group of near copies costs rows in proportion to its
 size.  The copies of a row grow with the blocks in its window; the comparison of all with all stays quadratic, in blocks.
 
@@ -107,13 +107,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK)
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != F.lit(float("inf"))))
     usable = F.col("vec_id").isNotNull() & embedding.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(embedding, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), embedding.alias("embedding"), F.coalesce(usable, F.lit(False)).alias("usable"))
-    digest = F.when(F.col("usable"), F.sha2(F.array_join(F.transform("embedding", lambda x: (x.cast("double") + F.lit(0.0)).cast("string")), ","), 256))
-    rows = rows.withColumn("digest", digest)
+    # divided by a power of two, which is exact and leaves the cosine as it is: squares neither vanish nor pass a double's
+    # range, and v, 2v and 4v are one class
+    power = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))).cast("double"))
+    scaled = F.transform(F.array(power), lambda p: F.transform("embedding", lambda x: x.cast("double") / p + F.lit(0.0)))[0]
+    rows = rows.withColumn("embedding", F.when(F.col("usable"), scaled))
+    rows = rows.withColumn("digest", F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256))
     distinct_rows = rows.where("usable").select("vec_id", "digest", "embedding")
     # a class of equal vectors: its smallest id and its number of different ids
     class_of = distinct_rows.select("digest", "vec_id").distinct().groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
     one = distinct_rows.groupBy("digest").agg(F.any_value("embedding").alias("embedding")).join(class_of, "digest")
-    reps = cut(one.select("digest", "rep", "weight", F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.size("embedding").alias("dims")))
+    reps = cut(one.select("digest", "rep", "weight", F.col("embedding").alias("x"), F.size("embedding").alias("dims")))
     shapes = [r["dims"] for r in reps.select("dims").distinct().collect()]  # lengths of vectors: a handful
     found = None
     for dims in shapes:
