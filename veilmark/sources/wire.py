@@ -3,17 +3,21 @@
 A body's texts are found by the places of its format; each comes with its path, by which a changed text is put back.  A body
 none of whose texts changed stays the same string; names, ids and arguments of tools are never touched.  Bodies that aren't
 JSON objects have no texts and stay as they are.
+
+Changed texts are spliced into the body at their places, so every other byte, forms of numbers, order and repeated names
+included, stays.  Halves of surrogate pairs come out as U+FFFD, and stay as they are in the body unless their text changes.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.sources.jsonplaces import Arr, Obj, Text, added_item, added_name, literal, read_json, readable, spliced
+
 # Headers that a relay must not pass on.
 REQUEST_HEADERS_DROPPED = ["host", "connection", "keep-alive", "proxy-connection", "transfer-encoding", "content-length", "accept-encoding"]
 RESPONSE_HEADERS_DROPPED = ["connection", "keep-alive", "transfer-encoding", "content-length", "content-encoding"]
@@ -102,46 +106,53 @@ def _parts(content) -> list | None:
 FORMATS: dict[str, Callable[[dict], Seen]] = {"anthropic": _anthropic, "openai": _openai, "responses": _responses, "gemini": _gemini}
 
 
-def _note_text(holder: dict, name: str, note: str, part: dict, otherwise) -> None:
-    """Append `note` to a text, `part` to a list; `otherwise` goes where nothing is; anything else stays."""
+Change = tuple[int, int, str]
+
+
+def _note_text(holder: Obj, name: str, note: str, part: dict, text: str | None = None) -> list[Change]:
+    """Append `note` to a text (which is now `text`), `part` to a list; the note goes where nothing is; anything else stays."""
     held = holder.get(name)
-    if held is None:
-        holder[name] = otherwise
-    elif isinstance(held, str):
-        holder[name] = held + "\n\n" + note
-    elif isinstance(held, list):
-        held.append(part)
+    if held is None:  # a name with null is given once more, as the last one counts
+        return [added_name(holder, name, note)]
+    if isinstance(held, Text):
+        return [(held.start, held.end, literal((held if text is None else text) + "\n\n" + note))]
+    return [added_item(held, part)] if isinstance(held, Arr) else []
 
 
-def add_directive(shape: str, body: dict, note: str) -> None:
-    """Tell the model, where its format has such a text, to repeat stand-ins as they are."""
+def directive_changes(shape: str, body: Obj, note: str, new: dict[int, str]) -> list[Change]:
+    """What tells the model, where its format has such a text, to repeat stand-ins as they are.
+
+    `new` has the changed texts by the places where they start, as a change of the same text must hold both.
+    """
+    part = {"type": "text", "text": note}
+    known = lambda x: new.get(x.start) if isinstance(x, Text) else None
     if shape == "anthropic":
-        _note_text(body, "system", note, {"type": "text", "text": note}, note)
-    elif shape == "responses":
-        if not isinstance(body.get("instructions"), list):
-            _note_text(body, "instructions", note, {}, note)
-    elif shape == "openai" and isinstance(body.get("messages"), list):
+        return _note_text(body, "system", note, part, known(body.get("system")))
+    if shape == "responses":
+        held = body.get("instructions")
+        return [] if isinstance(held, list) else _note_text(body, "instructions", note, {}, known(held))
+    if shape == "openai" and isinstance(body.get("messages"), Arr):
         first = next((m for _, m in _each(body["messages"]) if m.get("role") in ("system", "developer")), None)
         if first is None:
-            body["messages"].insert(0, {"role": "system", "content": note})
-        else:
-            _note_text(first, "content", note, {"type": "text", "text": note}, note)
-    elif shape == "gemini":
+            return [added_item(body["messages"], {"role": "system", "content": note}, first=True)]
+        return _note_text(first, "content", note, part, known(first.get("content")))
+    if shape == "gemini":
         name = "system_instruction" if "system_instruction" in body and "systemInstruction" not in body else "systemInstruction"
-        if not isinstance(body.get(name), dict):
-            body[name] = {}
-        if isinstance(body[name].get("parts"), list):
-            body[name]["parts"].append({"text": note})
-        else:
-            body[name]["parts"] = [{"text": note}]
+        held = body.get(name)
+        if not isinstance(held, Obj):
+            return [added_name(body, name, {"parts": [{"text": note}]})]
+        if isinstance(held.get("parts"), Arr):
+            return [added_item(held["parts"], {"text": note})]
+        return [added_name(held, "parts", [{"text": note}])]
+    return []
 
 
-def _object(body: str | None) -> dict | None:
+def _object(body: str | None) -> Obj | None:
     try:
-        value = json.loads(body or "null")
+        value = read_json(body or "null")
     except ValueError:
         return None
-    return value if isinstance(value, dict) else None
+    return value if isinstance(value, Obj) else None
 
 
 def pointer(number: int, path: tuple) -> str:
@@ -160,7 +171,7 @@ def request_texts(df: DataFrame, key: str, body: str, shape: str) -> DataFrame:
             for i, raw in enumerate(batch.column(1).to_pylist()):
                 for number, (kind, path, text) in enumerate(find(_object(raw) or {})):
                     take.append(i)
-                    found.append((pointer(number, path), kind, text))
+                    found.append((pointer(number, path), kind, readable(text)))
             columns = list(zip(*found)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], ["id", "path", "kind", "text"])
 
@@ -168,27 +179,33 @@ def request_texts(df: DataFrame, key: str, body: str, shape: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.col(body).alias("body")).mapInArrow(read, f"id {kind}, path string, kind string, text string")
 
 
+def rewritten(shape: str, raw: str, body: Obj, wanted: dict[str, str], directive: str | None = None) -> str:
+    """`raw`, read as `body`, with the texts at the pointers of `wanted`, and the `directive` where one of them is new."""
+    new = {}
+    for number, (_, path, text) in enumerate(FORMATS[shape](body)):
+        to = wanted.get(pointer(number, path))
+        if to is not None and to != readable(text):
+            new[text.start] = (text.start, text.end, to)
+    if not new:
+        return raw
+    noted = directive_changes(shape, body, directive, {at: to for at, (_, _, to) in new.items()}) if directive else []
+    both = {start: (start, end, literal(to)) for start, end, to in new.values()}
+    for change in noted:  # a note on a text that is new replaces it with both
+        if change[0] != change[1]:
+            both.pop(change[0], None)
+    return spliced(raw, [*both.values(), *noted])
+
+
 def written_back(df: DataFrame, key: str, body: str, shape: str, texts: DataFrame, directive: str | None = None) -> DataFrame:
     """(id, body) with the changed texts of `texts` (id, path, text), and the `directive` where one has changed; `key` is unique."""
-    find = FORMATS[shape]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for raw, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 value = _object(raw) if changes else None
-                new, changed = {c["path"]: c["text"] for c in changes or []}, False
-                for number, (_, path, text) in enumerate(list(find(value or {}))):
-                    wanted = new.get(pointer(number, path))
-                    if wanted is not None and wanted != text:
-                        holder = value
-                        for step in path[:-1]:
-                            holder = holder[step]
-                        holder[path[-1]] = wanted
-                        changed = True
-                if changed and directive:
-                    add_directive(shape, value, directive)
-                out.append(json.dumps(value, ensure_ascii=False, separators=(",", ":")) if changed else raw)
+                wanted = {c["path"]: c["text"] for c in changes or []}
+                out.append(raw if value is None else rewritten(shape, raw, value, wanted, directive))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "body"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -7,6 +7,7 @@ once.  As a stateful streaming query the state is the held text and a few charac
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.functions.needles import Needles
+
 LEFT = 16
 # Two places where a stand-in is a name in code and not a value.
 _NAME_INDEX = re.compile(r"(?:environ|getenv|process\.env|env)\s*[\[.]\s*['\"]?$")
@@ -22,46 +25,48 @@ _ACCESS = re.compile(r"[.\[]\s*$")
 
 
 class Mocks:
-    """A channel's stand-ins, made ready once: one pattern, and the beginnings that a chunk may end with."""
+    """A channel's stand-ins, made ready once: looked up by their first characters, so a text costs the same with many or few."""
 
     def __init__(self, mocks: dict[str, str], marker: str = ""):
         self.real = {m: r for m, r in mocks.items() if m}
-        self.sizes = sorted({len(m) for m in self.real})
-        self.begins = {w[:n] for w in [*self.real, marker] for n in range(1, len(w))}
-        self.longest = max([*self.sizes, len(marker), 0])
-        self.pattern = re.compile("|".join(re.escape(m) for m in sorted(self.real, key=lambda m: (-len(m), m)))) if self.real else None
+        self.words = sorted({*self.real, marker} - {""})
+        self.longest = max(map(len, self.words), default=0)
+        self.first = re.compile("[" + re.escape("".join(sorted({w[0] for w in self.words}))) + "]") if self.words else None
+        self.known = Needles(self.real) if self.real else None
+
+    def _begins(self, tail: str) -> bool:
+        """Whether `tail` is the beginning of a longer word."""
+        at = bisect_left(self.words, tail)
+        return any(w.startswith(tail) and w != tail for w in self.words[at : at + 2])
 
     def hold_from(self, text: str) -> int:
-        """From where `text` could still become a stand-in: the longest tail that begins one, never inside a whole one."""
-        hold = len(text)
-        for size in range(min(self.longest - 1, len(text)), 0, -1):
-            if text[-size:] in self.begins:
-                hold = len(text) - size
-                break
-        at = max(0, hold - self.longest + 1)
-        while at < hold:
-            for size in self.sizes:
-                if at + size > hold and text[at : at + size] in self.real:
-                    hold = at + size
-            at += 1
-        return hold
-
-    def ends_with(self, text: str) -> int:
-        """The length of the longest stand-in that `text` ends with."""
-        return next((n for n in reversed(self.sizes) if text[-n:] in self.real), 0)
+        """From where `text` must wait: the longest tail that could still become a stand-in and isn't inside one that is taken,
+        or else a stand-in at the very end, as what follows it decides whether it is a name."""
+        if self.first is None:
+            return len(text)
+        taken = list(self.known.longest(text)) if self.known else []
+        n = 0
+        for m in self.first.finditer(text, max(0, len(text) - self.longest + 1)):
+            at = m.start()
+            while n < len(taken) and taken[n][1] <= at:
+                n += 1
+            if not (n < len(taken) and taken[n][0] < at) and self._begins(text[at:]):
+                return at
+        return taken[-1][0] if taken and taken[-1][1] == len(text) else len(text)
 
     def put_back(self, left: str, text: str, right: str = "") -> str:
         """`text` with stand-ins as real values, except at names; `left` and `right` are only looked at."""
-        if self.pattern is None:
+        if self.known is None:
             return text
-        whole = left + text
-
-        def real(m: re.Match) -> str:
-            before, after = whole[max(0, len(left) + m.start() - LEFT) : len(left) + m.start()], (text + right)[m.end() : m.end() + 1]
+        out, at = [], 0
+        for start, end in self.known.longest(text):
+            before = (left[max(0, len(left) - LEFT) :] + text[max(0, start - LEFT) : start])[-LEFT:]
+            after = text[end] if end < len(text) else right[:1]
             named = _NAME_INDEX.search(before) or _NAME_FIELD.search(before) or (_ACCESS.search(before) and after not in ("'", '"'))
-            return m.group() if named else self.real[m.group()]
-
-        return self.pattern.sub(real, text)
+            if not named:
+                out += [text[at:start], self.real[text[start:end]]]
+                at = end
+        return "".join([*out, text[at:]]) if out else text
 
 
 def put_back(left: str, text: str, mocks: dict[str, str], right: str = "") -> str:
@@ -77,10 +82,7 @@ class Rehydrator:
 
     def push(self, chunk: str, final: bool = False) -> str:
         held = self.pending + chunk
-        # one more character than a stand-in is held, as what follows decides whether it is a name
         cut = len(held) if final else self.mocks.hold_from(held)
-        if not final and cut == len(held):
-            cut -= self.mocks.ends_with(held)
         out = self.mocks.put_back(self.left, held[:cut], held[cut:])
         self.left, self.pending = (self.left + held[:cut])[-LEFT:], held[cut:]
         return out
