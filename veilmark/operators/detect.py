@@ -12,9 +12,10 @@ import re._parser as sre_parse
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.functions.needles import Needles
 from veilmark.functions.text import entropy, has_any, has_char_mix, is_hash_or_uuid, is_identifier
 from veilmark.operators.config import CONTEXT_WORDS, DEV_WORDS, PROD_WORDS, ScanConfig
 
@@ -95,6 +96,7 @@ class Matcher:
             self.always += [] if held else [at]
             for needle in held:
                 (self.lower if lower else self.exact).setdefault(needle, []).append(at)
+        self.exact_needles, self.lower_needles = Needles(self.exact), Needles(self.lower)
         self.assignment, self.token = python_regex(ASSIGNMENT), re.compile(r"[A-Za-z0-9\-_+/=.]{%d,}" % config.entropy_min_length)
         self.radius, self.context = config.context_window, config.require_context_for_entropy
 
@@ -107,10 +109,9 @@ class Matcher:
             out.append((len(out), kind, rule, start, start + len(value), value, key, around, *about))
 
         tried = set(self.always)
-        for where, known in ((text, self.exact), (low, self.lower)):
-            for needle in known:
-                if needle in where:
-                    tried.update(known[needle])
+        for where, known, needles_of in ((text, self.exact, self.exact_needles), (low, self.lower, self.lower_needles)):
+            for needle in needles_of.present(where):
+                tried.update(known[needle])
         for at in sorted(tried):
             rule_id, pattern, group, about = self.rules[at]
             for m in pattern.finditer(text):
@@ -237,9 +238,16 @@ def specificity(layer: Column, confidence: Column) -> Column:
 
 def without_overlaps(found: DataFrame) -> DataFrame:
     """(id, findings): each text's findings in order.  A later one that clashes with the last kept takes its place only if it
-    is more specific; as starts rise and kept spans don't touch, no other can clash."""
+    is more specific; as starts rise and kept spans don't touch, no other can clash.
+
+    A finding that starts where all before it have ended can't clash with them, so each run of findings that touch is folded by
+    itself and a text with very many findings costs no more for each of them."""
+    order = Window.partitionBy("id").orderBy("start", F.col("end").desc(), "seq")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
+    runs = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     packed = F.struct("start", (-F.col("end")).alias("back"), "seq", specificity(F.col("layer"), F.col("confidence")).alias("rank"), F.struct("layer", "type", "confidence", "start", "end", "value", "environment", "reason", "rule_id", "mask_hint").alias("finding"))
-    rows = found.groupBy("id").agg(F.array_sort(F.collect_list(packed)).alias("all"))
+    rows = runs.groupBy("id", "run").agg(F.array_sort(F.collect_list(packed)).alias("all"))
 
     def step(kept: Column, f: Column) -> Column:
         last = F.try_element_at(kept, F.lit(-1))
@@ -248,7 +256,10 @@ def without_overlaps(found: DataFrame) -> DataFrame:
         return F.when(clash, swapped).otherwise(F.concat(kept, F.array(f)))
 
     empty = F.filter("all", lambda f: F.lit(False))
-    return rows.select("id", F.transform(F.aggregate("all", empty, step), lambda f: f["finding"]).alias("findings"))
+    kept = F.when(F.size("all") == 1, F.col("all")).otherwise(F.aggregate("all", empty, step))
+    folded = rows.select("id", "run", F.transform(kept, lambda f: f["finding"]).alias("findings"))
+    whole = folded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", "findings"))).alias("runs"))
+    return whole.select("id", F.flatten(F.transform("runs", lambda r: r["findings"])).alias("findings"))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", config: ScanConfig | None = None) -> DataFrame:

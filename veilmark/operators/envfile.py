@@ -26,37 +26,68 @@ def looks_like_env(text: Column) -> Column:
     return F.coalesce((n >= 2) & (F.size(code) == 0) & (F.size(closed) < n * 0.5) & (n >= F.size(lines) * 0.7), F.lit(False))
 
 
-# Fixed value: a fenced block; the group is what stands between the fences.
-FENCE = r"```[^\n]*\n([\s\S]*?)```"
+# Fixed value: a fenced block; the group is what stands between the fences.  An opening fence that nothing closes takes all that
+# follows it, as no later one can be closed either; else each of very many would look through the rest of the text.
+FENCE = r"```[^\n]*+(?:\n([\s\S]*?)```|[\s\S]*+)"
 
-# An assignment with a value, on a line of its own: its head, then a quoted value (over lines if need be) and the rest of the
-# line, or a bare value up to a comment or the line's end.
+
+def is_block(fence: Column) -> Column:
+    """Whether what FENCE took is closed."""
+    return F.contains(F.regexp_extract(fence, r"^[^\n]*\n([\s\S]*)", 1), F.lit("```"))
+
+
+# An assignment with a value, on a line of its own: its head, then a quoted value (over lines if need be; it ends at a quote with
+# an even number of backslashes before it) and the rest of the line, or a bare value and the rest of the line, comment included.
+# No group is repeated that has no fixed length, so neither time nor stack grows with a long value.
 VALUE = (
-    r"(?<![^\n])([^\S\n]*(?:export[^\S\n]+)?[A-Za-z_][A-Za-z0-9_]*[^\S\n]*=[ \t]*)"
-    r"(?:\"(?!\")([^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+)\"([^\n]*)|'([^']+)'([^\n]*)|([^\s'\"](?:[^\n]*?))(?=\s#|\s*(?:\n|(?![\s\S]))))"
+    r"(?<![^\n])([^\S\n]*+(?:export[^\S\n]+)?[A-Za-z_][A-Za-z0-9_]*[^\S\n]*+=[ \t]*+)"
+    r"(?:\"(?!\")([\s\S]*?(?<!\\)(?:\\\\)*+)\"([^\n]*)|'([^']+)'([^\n]*)|([^\s'\"][^\n]*))"
 )
+# A comment begins after one white space; without a comment, white space at the end isn't part of a value.
+COMMENT, TRAILING = r"\s#", r"\s+\z"
+
+
+def bare_value(rest: Column) -> Column:
+    """Of a bare value and the rest of its line, the value."""
+    commented = F.regexp_instr(rest, F.lit(COMMENT))
+    return F.when(commented > 0, F.substring(rest, F.lit(1), commented - 1)).otherwise(_trimmed(rest))
+
+
+def _trimmed(s: Column) -> Column:
+    return F.rtrim(s, F.lit(" \t\x0b\f\r"))
 
 
 def value_spans(text: str) -> list[tuple[int, int]]:
     """Places of the values in one text, without their quotes."""
-    return [next(m.span(g) for g in (2, 4, 6) if m[g]) for m in re.finditer(VALUE, text, re.ASCII)]
+
+    def span(m: re.Match) -> tuple[int, int]:
+        if m[6] is None:
+            return m.span(2 if m[2] else 4)
+        comment = re.search(COMMENT, m[6], re.ASCII)
+        return m.start(6), m.start(6) + (comment.start() if comment else len(m[6].rstrip(" \t\x0b\f\r")))
+
+    return [span(m) for m in re.finditer(VALUE, text, re.ASCII)]
 
 
 def _masked(text: Column, salt: str, config: ScanConfig) -> Column:
     """Of a text that looks like an environment file: masked, mocks.  Each value is replaced where it stands."""
     part = lambda m, n: F.regexp_extract(m, VALUE, n)
-    value = lambda m: F.coalesce(*[F.nullif(part(m, n), F.lit("")) for n in (2, 4, 6)])
 
     def piece(m: Column) -> Column:
-        mock = mock_for(value(m), F.lit("custom"), F.lit("env"), salt, config)
-        return F.struct(m.alias("line"), mock.alias("mock"), value(m).alias("real"))
+        parts = F.struct(part(m, 1).alias("head"), part(m, 2).alias("twice"), part(m, 3).alias("rest2"), part(m, 4).alias("once"), part(m, 5).alias("rest1"), part(m, 6).alias("bare"))
+        return bound(parts, told)
+
+    def told(p: Column) -> Column:
+        value = F.when(p["twice"] != "", p["twice"]).when(p["once"] != "", p["once"]).otherwise(bare_value(p["bare"]))
+        return bound(value, lambda v: written(p, v, mock_for(v, F.lit("custom"), F.lit("env"), salt, config)))
 
-    def written(p: Column) -> Column:
-        quote = F.when(part(p["line"], 2) != "", '"').when(part(p["line"], 4) != "", "'").otherwise("")
-        return F.concat(part(p["line"], 1), quote, p["mock"], quote, part(p["line"], 3), part(p["line"], 5))
+    def written(p: Column, value: Column, mock: Column) -> Column:
+        quote = F.when(p["twice"] != "", '"').when(p["once"] != "", "'").otherwise("")
+        rest = F.when(p["bare"] != "", F.substring(p["bare"], F.length(value) + 1, F.length(p["bare"]))).otherwise(F.concat(p["rest2"], p["rest1"]))
+        return bound(mock, lambda m: F.struct(F.concat(p["head"], quote, m, quote, rest).alias("line"), m.alias("mock"), value.alias("real")))
 
     def parts(pieces: Column) -> Column:
-        lines = F.zip_with(F.split(text, VALUE, -1), F.transform(pieces, written), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+        lines = F.zip_with(F.split(text, VALUE, -1), pieces, lambda gap, p: F.concat(gap, F.coalesce(p["line"], F.lit(""))))
         mocks = F.array_distinct(F.transform(pieces, lambda p: F.struct(p["mock"].alias("mock"), p["real"].alias("real"))))
         return F.struct(F.when(F.size(pieces) > 0, F.array_join(lines, "")).otherwise(text).alias("masked"), mocks.alias("mocks"))
 
@@ -84,7 +115,9 @@ def env_blocks_masked(text: Column, salt: str, config: ScanConfig | None = None)
     def block(fence: Column) -> Column:
         head = F.regexp_extract(fence, "^[^\n]*\n", 0)
         put = lambda e: F.struct(counted(e).alias("n"), F.when(F.size(e["mocks"]) > 0, F.concat(head, e["masked"], F.lit("```"))).otherwise(fence).alias("masked"), e["mocks"].alias("mocks"))
-        return bound(env_masked(F.regexp_extract(fence, FENCE, 1), salt, config), put)
+        closed = bound(env_masked(F.regexp_extract(fence, FENCE, 1), salt, config), put)
+        none = F.array().cast("array<struct<mock:string,real:string>>")
+        return F.when(is_block(fence), closed).otherwise(F.struct(F.lit(0).alias("n"), fence.alias("masked"), none.alias("mocks")))
 
     def joined(done: Column) -> Column:
         parts = F.zip_with(F.split(text, FENCE, -1), done, lambda gap, b: F.concat(gap, F.coalesce(b["masked"], F.lit(""))))
@@ -92,7 +125,7 @@ def env_blocks_masked(text: Column, salt: str, config: ScanConfig | None = None)
         return F.struct(blocks.alias("blocks"), F.array_join(parts, "").alias("masked"), F.array_distinct(F.flatten(F.transform(done, lambda b: b["mocks"]))).alias("mocks"))
 
     whole = bound(env_masked(text, salt, config), lambda e: F.struct(counted(e).alias("blocks"), e["masked"].alias("masked"), e["mocks"].alias("mocks")))
-    return F.when(text.rlike(FENCE), bound(F.transform(fences, block), joined)).otherwise(whole)
+    return F.when(F.exists(fences, is_block), bound(F.transform(fences, block), joined)).otherwise(whole)
 
 
 def mask_env(df: DataFrame, key: str, text: str, salt: str, config: ScanConfig | None = None) -> DataFrame:

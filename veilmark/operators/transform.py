@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.functions.text import base36_tag
+from veilmark.functions.text import base36_tag, bound
 from veilmark.operators.config import ScanConfig
 
 # Fixed value: the parts of a database address that a stand-in keeps or replaces.
 _DATABASE = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^:@/]+)(?::([^@/]+))?@)?([^:/?#]+)(?::(\d+))?(/[^?#]*)?"
 
 
+MANY = 64  # from so many pieces on, a text is taken apart into characters once instead of being searched for each piece
+
+
 def splice(text: Column, pieces: Column) -> Column:
-    """`text` with each (start, end, new) of `pieces`, which must not overlap, put in place from the right."""
-    ordered = F.reverse(F.array_sort(pieces))
-    return F.aggregate(ordered, text, lambda t, p: F.concat(F.substring(t, F.lit(1), p["start"]), p["new"], F.substring(t, p["end"] + 1, F.length(t))))
+    """`text` with each (start, end, new) of `pieces`, which must not overlap, put in place: gaps and pieces are joined once."""
+
+    def joined(parts: Column, between: Callable[[Column, Column], Column]) -> Column:
+        gap = lambda p, i: between(F.when(i == 0, F.lit(0)).otherwise(F.get(parts, i - 1)["end"]), p["start"])
+        last = F.get(parts, F.size(parts) - 1)["end"]
+        return F.concat(F.array_join(F.transform(parts, lambda p, i: F.concat(gap(p, i), p["new"])), ""), between(last, F.length(text)))
+
+    cut = lambda a, b: F.substring(text, a + 1, b - a)
+    taken = lambda parts: bound(F.split(text, ""), lambda letters: joined(parts, lambda a, b: F.array_join(F.slice(letters, a + 1, b - a), "")))
+    put = lambda parts: F.when(F.size(parts) == 0, text).when(F.size(parts) < MANY, joined(parts, cut)).otherwise(taken(parts))
+    return bound(F.array_sort(pieces), put)
 
 
 def redact(text: Column, findings: Column) -> Column:

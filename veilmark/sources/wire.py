@@ -147,7 +147,8 @@ def directive_changes(shape: str, body: Obj, note: str, new: dict[int, str]) ->
     return []
 
 
-def _object(body: str | None) -> Obj | None:
+def body_object(body: str | None) -> Obj | None:
+    """A body that is a JSON object."""
     try:
         value = read_json(body or "null")
     except ValueError:
@@ -169,7 +170,7 @@ def request_texts(df: DataFrame, key: str, body: str, shape: str) -> DataFrame:
             take: list[int] = []
             found: list[tuple[str, str, str]] = []
             for i, raw in enumerate(batch.column(1).to_pylist()):
-                for number, (kind, path, text) in enumerate(find(_object(raw) or {})):
+                for number, (kind, path, text) in enumerate(find(body_object(raw) or {})):
                     take.append(i)
                     found.append((pointer(number, path), kind, readable(text)))
             columns = list(zip(*found)) or [[]] * 3
@@ -203,7 +204,7 @@ def written_back(df: DataFrame, key: str, body: str, shape: str, texts: DataFram
         for batch in batches:
             out = []
             for raw, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                value = _object(raw) if changes else None
+                value = body_object(raw) if changes else None
                 wanted = {c["path"]: c["text"] for c in changes or []}
                 out.append(raw if value is None else rewritten(shape, raw, value, wanted, directive))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "body"])
