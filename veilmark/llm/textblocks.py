@@ -12,7 +12,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES, READ_ROWS = 1_000_000, 100
+BLOCK_BYTES, READ_ROWS = 250_000, 100
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
