@@ -10,6 +10,10 @@ import ahocorasick
 FEW = 8  # up to so many, a pattern or a plain search each costs less than the automaton
 
 
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 class Needles:
     """Fixed strings, none of them empty.  Beyond FEW they make one automaton, so a text costs the same for ten and ten thousand."""
 
@@ -30,6 +34,17 @@ class Needles:
             return {w for w in self.words if w in text}
         return {word for _, word in self.automaton.iter(text)}
 
+    def places(self, text: str) -> Iterator[tuple[int, str]]:
+        """(start, word) of every place, overlapping ones too."""
+        if self.automaton is not None:
+            yield from ((end + 1 - len(word), word) for end, word in self.automaton.iter(text))
+            return
+        for word in self.words:
+            at = text.find(word)
+            while at >= 0:
+                yield at, word
+                at = text.find(word, at + 1)
+
     def longest(self, text: str) -> Iterator[tuple[int, int]]:
         """(start, end) of the leftmost ones that don't overlap, the longest at each place."""
         if self.automaton is None:
@@ -42,3 +57,26 @@ class Needles:
             if start >= at:
                 at = -back
                 yield start, at
+
+
+class Terms:
+    """A list of terms as a rule has it: of those at one place the first listed; letters A to Z in either case if that is wanted."""
+
+    def __init__(self, terms: Iterable[str], whole_word: bool, ignore_case: bool):
+        self.whole_word, self.ignore_case = whole_word, ignore_case
+        self.rank: dict[str, int] = {}
+        for n, term in enumerate(terms):
+            self.rank.setdefault(term.translate(_LOWER) if ignore_case else term, n)
+        self.needles = Needles(self.rank)
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        seen = text.translate(_LOWER) if self.ignore_case else text
+        found, at = [], 0
+        for start, word in self.needles.places(seen):
+            end = start + len(word)
+            if not self.whole_word or not (text[start - 1 : start] in LETTERS or text[end : end + 1] in LETTERS):
+                found.append((start, self.rank[word], end))
+        for start, _, end in sorted(found):
+            if start >= at:
+                at = end
+                yield start, end

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.functions.needles import Needles
+from veilmark.functions.needles import Needles, Terms
 from veilmark.functions.text import entropy, has_any, has_char_mix, is_hash_or_uuid, is_identifier
 from veilmark.operators.config import CONTEXT_WORDS, DEV_WORDS, PROD_WORDS, ScanConfig
 
@@ -84,10 +84,14 @@ class Matcher:
 
     def __init__(self, config: ScanConfig):
         self.rules, self.always = [], []
+        self.lists: list[tuple[str, Terms, tuple]] = []
         self.exact: dict[str, list[int]] = {}  # needles in the text, and in the lower-cased text, with the rules that need them
         self.lower: dict[str, list[int]] = {}
         for r in config.every_rule():
             about = (r.tier, r.type, r.confidence, r.validator, float(r.entropy), [w.lower() for w in r.context], r.mask_hint)
+            if r.terms:
+                self.lists.append((r.id, Terms(r.terms, r.whole_word, r.ignore_case), about))
+                continue
             held, at = needles(r.regex, r.ignore_case), len(self.rules)
             lower = r.ignore_case
             if not held and r.tier == 3 and not r.context_regex:
@@ -120,6 +124,9 @@ class Matcher:
                     start, value = m.start(group), m.group(group)
                 if value:
                     add("rule", rule_id, start, value, "", about)
+        for rule_id, terms, about in self.lists:
+            for start, end in terms.spans(text):
+                add("rule", rule_id, start, text[start:end], "", about)
         if not self.context or any(w in low for w in CONTEXT_WORDS):
             for m in self.token.finditer(text):
                 add("entropy", "entropy.high_entropy_string", m.start(), m.group(), "", NO_RULE)

@@ -12,6 +12,7 @@ import re._constants as kinds
 import re._parser as sre_parse
 from dataclasses import dataclass, field
 
+from veilmark.functions.ambiguity import ambiguity
 from veilmark.operators.config import ScanConfig
 from veilmark.operators.infra import INTERNAL_LABELS, InfraConfig
 from veilmark.sources.rules import Rule
@@ -62,6 +63,29 @@ def number(x, low: int, high: int) -> bool:
     return isinstance(x, int) and not isinstance(x, bool) and low <= x <= high
 
 
+HINTED = 3  # letters that may differ for a name to be taken for another
+
+
+def distance(a: str, b: str, most: int) -> int:
+    """Letters to insert, delete or change to make `b` of `a`; most + 1 if they are more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        if min(row) > most:
+            return most + 1
+    return min(row[-1], most + 1)
+
+
+def meant(name: str, names: list[str]) -> str:
+    """A hint at the known name that is nearest, if one is near."""
+    near = min(((distance(name, n, HINTED), n) for n in names), default=(HINTED + 1, ""))
+    return f" (is {near[1]!r} meant?)" if near[0] <= HINTED else ""
+
+
 class _Reader:
     """Gathers what is wrong while it reads."""
 
@@ -75,7 +99,7 @@ class _Reader:
 
     def only(self, x: dict, names: list[str], where: str) -> None:
         for name in x:
-            self.need(name in names, where, f"unknown field {name!r}")
+            self.need(name in names, where, f"unknown field {name!r}{meant(name, names)}")
 
     def format(self, x, where: str) -> str:
         if not self.need(isinstance(x, dict), where, "must be an object with kind and length, or min and max"):
@@ -147,7 +171,9 @@ class _Reader:
         for text in shown.get("noMatch", []):
             self.need(made.search(text) is None, where, f"matches {text!r}, which it should not")
         name = re.sub("^_+|_+$", "", re.sub("[^a-z0-9]+", "_", p["name"].lower())) or "custom"
-        return Rule(p.get("id", f"policy.{name}"), "custom", tier, "high", p.get("action") == "block", regex, ignore_case, group, mask_hint=p["name"])
+        listed = p["match"] if p["match"]["type"] == "list" else {}
+        own = {"terms": tuple(listed.get("terms", ())), "whole_word": bool(listed.get("wholeWord"))}
+        return Rule(p.get("id", f"policy.{name}"), "custom", tier, "high", p.get("action") == "block", regex, ignore_case, group, mask_hint=p["name"], **own)
 
     def flags(self, x, names: list[str], where: str, allowed: list) -> dict:
         if not self.need(isinstance(x, dict), where, "must be an object"):
@@ -163,7 +189,8 @@ def _listed(terms: str, whole_word: bool) -> str:
 
 
 def regex_risk(source: str) -> str:
-    """Why a regex may take exponential time: something repeated that itself repeats; empty if nothing is seen."""
+    """Why a regex may take more than linear time: something repeated that itself repeats, or texts that it can match in very
+    many ways; empty if nothing is seen."""
 
     def repeats(parts, inside: bool) -> bool:
         for kind, value in parts:
@@ -181,7 +208,10 @@ def regex_risk(source: str) -> str:
         return False
 
     try:
-        return "a repetition within a repetition may take exponential time" if repeats(sre_parse.parse(source), False) else ""
+        if repeats(sre_parse.parse(source), False):
+            return "a repetition within a repetition may take exponential time"
+        told = ambiguity(source)
+        return "too long to be checked" if told == "too long" else f"it can match one text in so many ways that it may take {told} time" if told else ""
     except re.error as e:
         return f"the regex can't be read: {e}"
 
@@ -204,7 +234,7 @@ def load_policy(document: str) -> Policy:
     domains = [*held["internalDomains"], *held["internalHosts"]]
     for listed, own, label, whole_word in ((domains, "policy.internal_host", "internal host", False), (held["blocklist"], "policy.blocklist", "blocklisted term", True)):
         if terms := [t for t in listed if t]:
-            rules.append(Rule(own, "custom", 1, "high", False, _listed("|".join(map(re.escape, terms)), whole_word), True, mask_hint=label))
+            rules.append(Rule(own, "custom", 1, "high", False, _listed("|".join(map(re.escape, terms)), whole_word), True, mask_hint=label, terms=tuple(terms), whole_word=whole_word))
     seen: set[str] = set()
     for rule in filter(None, rules):
         r.need(rule.id not in seen, rule.id, "there twice")

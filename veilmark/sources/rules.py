@@ -25,6 +25,9 @@ class Rule:
     context: tuple[str, ...] = ()
     context_regex: str = ""
     mask_hint: str = ""
+    #: For a rule that is a list of fixed terms: they are looked for all at once, and `regex` only says the same.
+    terms: tuple[str, ...] = ()
+    whole_word: bool = False
 
 
 def check_rules(rules: list[Rule]) -> list[Rule]:
