@@ -10,6 +10,8 @@ import json
 import re
 import re._constants as kinds
 import re._parser as sre_parse
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from veilmark.functions.ambiguity import ambiguity
@@ -259,3 +261,39 @@ def load_policy(document: str) -> Policy:
         raise ValueError("; ".join(r.wrong))
     off = (["pii.credit_card"] if pii.get("creditCard") is False else []) + (["pii.ssn_context", "pii.ssn_dashed"] if pii.get("ssn") is False else [])
     return Policy(tuple(filter(None, rules)), tuple(off), tuple(domains), tuple(held["internalTlds"]), switches, logging, None if languages is None else tuple(languages), prefixes, tuple(x.removesuffix("*") for x in held["internalScopes"]))
+
+
+class PolicyStore:
+    """A policy from elsewhere with the last good copy: snapshots in a folder, promoted only after they were checked.
+
+    `fetch` brings the document's text and may raise OSError.  `load` gives the policy and where it came from: `fetched` or `kept`.
+    """
+
+    def __init__(self, spark, folder: str, fetch: Callable[[], str]):
+        self.spark, self.folder, self.fetch = spark, folder.rstrip("/"), fetch
+
+    def kept(self) -> str | None:
+        """The last good document."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        store = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(top):
+            return None
+        done = [s.getPath() for s in store.listStatus(top) if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        if not done:
+            return None
+        return self.spark.read.text(max(done, key=lambda p: p.getName()).toString(), wholetext=True).first()[0]
+
+    def load(self) -> tuple[Policy, str]:
+        """A document that is brought and holds is kept; one that doesn't hold is an error and leaves the kept one as it is; where none
+        is brought, the kept one is checked again and used, and without one that is an error."""
+        try:
+            document = self.fetch()
+        except OSError as e:
+            document = self.kept()
+            if document is None:
+                raise ValueError(f"the policy can't be fetched ({e}) and none is kept") from e
+            return load_policy(document), "kept"
+        policy = load_policy(document)
+        if document != self.kept():
+            self.spark.createDataFrame([(document,)], "value string").coalesce(1).write.option("lineSep", "").text(f"{self.folder}/{time.time_ns():020d}")
+        return policy, "fetched"
