@@ -26,7 +26,7 @@ FILES = {
     "py/pyproject.toml": '[project]\nname = "acme-tools"\n',
     "rs/Cargo.toml": "[package]\nname = 'acme-engine'\n",
     "bad/go.mod": "no module line",
-    "bad/pyproject.toml": "",
+    "bad/pyproject.toml": "\n",
     "src/main.py": "name = 'x'",
 }
 

@@ -22,7 +22,7 @@ EXTENSION = r"(?i)\.(m?[jt]sx?|json|css)$"
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, content) of whole files."""
+    """(path, content) of whole files; Spark passes over files without a byte."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     return files.select("path", F.col("content").cast("string").alias("content"))
 

@@ -281,7 +281,7 @@ class PolicyStore:
         done = [s.getPath() for s in store.listStatus(top) if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
         if not done:
             return None
-        return self.spark.read.text(max(done, key=lambda p: p.getName()).toString(), wholetext=True).first()[0]
+        return self.spark.read.parquet(max(done, key=lambda p: p.getName()).toString()).first()[0]
 
     def load(self) -> tuple[Policy, str]:
         """A document that is brought and holds is kept; one that doesn't hold is an error and leaves the kept one as it is; where none
@@ -295,5 +295,5 @@ class PolicyStore:
             return load_policy(document), "kept"
         policy = load_policy(document)
         if document != self.kept():
-            self.spark.createDataFrame([(document,)], "value string").coalesce(1).write.option("lineSep", "").text(f"{self.folder}/{time.time_ns():020d}")
+            self.spark.createDataFrame([(document,)], "value string").coalesce(1).write.parquet(f"{self.folder}/{time.time_ns():020d}")
         return policy, "fetched"
