@@ -18,7 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.functions.text import bound
 from veilmark.llm.components import components
+from veilmark.llm.stages import cut
+
 
 @dataclass(frozen=True)
 class UrlRule:
@@ -37,18 +40,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def host_and_path(url: Column) -> tuple[Column, Column]:
-    rest = F.when(F.locate("://", url) > 0, url.substr(F.locate("://", url) + 3, F.length(url))).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
-    host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
-    return lower_ascii(host), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-
+def url_parts(url: Column) -> Column:
+    """host, path and alias of a url; the alias is its name among its aliases, null where there is no host.
 
-def alias_key(url: Column) -> Column:
-    """The name that a url has among its aliases; null where there is no host."""
-    host, path = host_and_path(url)
+    Each part is worked out once, however often it is used, so plans stay small.
+    """
+    rest = F.when(F.locate("://", url) > 0, url.substr(F.locate("://", url) + 3, F.length(url))).otherwise(F.lit(""))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^#]*?(\?[^#]*)", 1)
-    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path), query))
+    split = lambda r: F.struct(lower_ascii(F.regexp_extract(r, r"^([^/?#]*)", 1)).alias("host"), F.regexp_extract(r, r"^[^/?#]*([^?#]*)", 1).alias("path"))
+    alias = lambda p: F.when(p["host"] != "", F.concat(p["host"], F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]), query))
+    named = lambda p: F.struct(p["host"].alias("host"), p["path"].alias("path"), alias(p).alias("alias"))
+    return bound(F.coalesce(rest, F.lit("")), lambda r: bound(split(r), named))
 
 
 def resolved(target: Column, url: Column) -> Column:
@@ -56,23 +58,34 @@ def resolved(target: Column, url: Column) -> Column:
     scheme = F.concat(F.regexp_extract(url, r"^([^:/?#]+)://", 1), F.lit(":"))
     rest = F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)
     folder = F.regexp_extract(F.regexp_extract(url, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), r"^(.*/)", 1)
-    home = F.concat(scheme, F.lit("//"), rest)
-    return (
-        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when((target == "") | target.startswith("#") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (rest == ""), F.lit(None).cast("string"))
-        .when(target.startswith("//"), F.concat(scheme, target))
-        .when(target.startswith("/"), F.concat(home, target))
-        .otherwise(F.concat(home, F.when(folder == "", F.lit("/")).otherwise(folder), target))
-    )
 
+    def whole(p: Column) -> Column:
+        home, x = F.concat(p["scheme"], F.lit("//"), p["rest"]), p["target"]
+        return (
+            F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), x)
+            .when((x == "") | x.startswith("#") | x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (p["rest"] == ""), F.lit(None).cast("string"))
+            .when(x.startswith("//"), F.concat(p["scheme"], x))
+            .when(x.startswith("/"), F.concat(home, x))
+            .otherwise(F.concat(home, F.when(p["folder"] == "", F.lit("/")).otherwise(p["folder"]), x))
+        )
+
+    return bound(F.struct(scheme.alias("scheme"), rest.alias("rest"), folder.alias("folder"), target.alias("target")), whole)
 
-def matched_rule(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Column, Column]:
-    """Name and verdict of the longest rule that fits, null if none does."""
-    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.name)):  # later ones win
-        fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
-        name, verdict = F.when(fits, F.lit(rule.name)).otherwise(name), F.when(fits, F.lit(rule.verdict)).otherwise(verdict)
-    return name, verdict
+
+def matched_rule(parts: Column, rules: list[UrlRule]) -> Column:
+    """verdict and name of the longest rule that fits, of equally long ones the last; null if none does."""
+    ordered = sorted(rules, key=lambda r: len(r.name))[::-1]
+    if not ordered:
+        return F.lit(None).cast("struct<verdict:string,host:string,path:string,name:string>")
+    known = F.array(*[F.struct(*[F.lit(getattr(r, x)).alias(x) for x in ("verdict", "host", "path", "name")]) for r in ordered])
+    fits = lambda r: ((parts["host"] == r["host"]) | parts["host"].endswith(F.concat(F.lit("."), r["host"]))) & parts["path"].startswith(r["path"])
+    return F.get(F.filter(known, fits), F.lit(0))
+
+
+def judged_url(url: Column, rules: list[UrlRule]) -> Column:
+    """host, path, alias and, of the rule that fits, rule and ruled."""
+    told = lambda p, r: F.struct(p["host"].alias("host"), p["path"].alias("path"), p["alias"].alias("alias"), r["name"].alias("rule"), r["verdict"].alias("ruled"))
+    return bound(url_parts(url), lambda p: bound(matched_rule(p, rules), lambda r: told(p, r)))
 
 
 # How canonical links and refreshes look; the target is the first group.
@@ -92,17 +105,14 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """Of `pages` (page_id, url, html): page_id, host, path, rule, verdict.  `redirects` has (url, target)."""
-    host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), alias_key(F.col("url")).alias("alias"))
-    name, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": name, "ruled": verdict}).drop("url")
+    rows = pages.select("page_id", judged_url(F.col("url"), rules).alias("u")).select("page_id", "u.host", "u.path", "u.alias", "u.rule", "u.ruled")
     links = page_links(pages.select("url", "html"))
     if redirects is not None:
         links = links.unionByName(redirects.select("url", "target"))
-    edges = links.select(alias_key(F.col("url")).alias("a"), alias_key(F.col("target")).alias("b"))
-    member = components(edges)
+    ties = cut(links.select(url_parts(F.col("url"))["alias"].alias("a"), judged_url(F.col("target"), rules).alias("t")).select("a", F.col("t.alias").alias("b"), "t.ruled"))
+    member = components(ties.select("a", "b"))
     # what rules say of each alias, of the targets of links too
-    said = rows.select("alias", "ruled").unionByName(_ruled_targets(links, rules)).where("alias is not null and ruled is not null").groupBy("alias").agg(F.min("ruled").alias("ruled"))  # 'allow' < 'block'
+    said = rows.select("alias", "ruled").unionByName(ties.select(F.col("b").alias("alias"), "ruled")).where("alias is not null and ruled is not null").groupBy("alias").agg(F.min("ruled").alias("ruled"))  # 'allow' < 'block'
     placed = said.join(member, said["alias"] == member["node"], "left").select("alias", F.coalesce("component", "alias").alias("component"), "ruled")
     spread = placed.groupBy("component").agg(F.min("ruled").alias("inherited"))
     # only urls that an edge ties need the answer; they and no others are joined, by the page's own name
@@ -112,9 +122,3 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], redirects: DataFrame | No
     asks = F.when(F.col("ruled").isNull(), F.coalesce("alias", F.concat(F.lit("#"), F.xxhash64("page_id", "host").cast("string"))))  # a null alias finds nothing and is dealt by its page
     judged = rows.withColumn("asks", asks).join(told, F.col("asks") == F.col("of"), "left")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", "inherited", F.lit(default)).alias("verdict"))
-
-
-def _ruled_targets(links: DataFrame, rules: list[UrlRule]) -> DataFrame:
-    host, path = host_and_path(F.col("target"))
-    _, verdict = matched_rule(host, path, rules)
-    return links.select(alias_key(F.col("target")).alias("alias"), verdict.alias("ruled"))
