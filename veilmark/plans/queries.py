@@ -16,7 +16,7 @@ from veilmark.operators.envfile import looks_like_env, mask_env
 from veilmark.operators.infra import InfraConfig, mask_infra
 from veilmark.operators.policy import decide, incident_report, incidents, retain_last
 from veilmark.operators.transform import mock_for, redact, rehydrate, swap_table, swapped
-from veilmark.plans import names, projects, protect, requests, sse
+from veilmark.plans import names, policies, projects, protect, requests, sse
 from veilmark.plans.derived import derived, table
 from veilmark.plans.examples import cases, cases_sql, judged_sql
 from veilmark.sources.policyfile import load_policy
@@ -240,7 +240,7 @@ def stream_rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = [findings_credit_card, rules_judged, scan_documents, scan_counts_cards, decide_key_texts, redact_key_texts, incident_counts, incidents_retained, swap_round_trip, mock_database_urls, token_entropy, env_sniff, env_masked, policy_findings, infra_masked, sse_framed, headers_kept, stream_rehydrated]
     wire = {f"wire_{n}": _wire(n) for n in FORMATS} | {f"wire_{n}_written": _written(n) for n in FORMATS}
-    return {f.__name__: f for f in own} | wire | names.queries() | protect.queries() | sse.queries() | requests.queries() | projects.queries()
+    return {f.__name__: f for f in own} | wire | names.queries() | protect.queries() | sse.queries() | requests.queries() | projects.queries() | policies.queries()
 
 
 _STARS = "left({0}, 4) || repeat('*', least(length({0}) - 4, 24))"
@@ -319,4 +319,4 @@ def oracle_sql() -> dict[str, str]:
         "wire_gemini": wire,
         "wire_anthropic": brief,
         "wire_responses": brief,
-    } | names.oracle_sql() | protect.oracle_sql() | sse.oracle_sql() | requests.oracle_sql() | projects.oracle_sql()
+    } | names.oracle_sql() | protect.oracle_sql() | sse.oracle_sql() | requests.oracle_sql() | projects.oracle_sql() | policies.oracle_sql()
