@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilmark.operators.config import ScanConfig
 from veilmark.operators.detect import scan
 from veilmark.operators.envfile import env_blocks_masked
+from veilmark.operators.shared import written
 from veilmark.operators.transform import swap_table, swapped
 
 
@@ -37,7 +38,8 @@ def protect(df: DataFrame, key: str, text: str, salt: str, config: ScanConfig |
 
     def work(texts: DataFrame) -> DataFrame:
         env = texts.withColumn("e", env_blocks_masked(F.col("text"), salt, config)).select("content", F.col("e.blocks").alias("env_blocks"), F.col("e.masked").alias("text"), F.col("e.mocks").alias("env_mocks"))
-        found = scan(env, "content", "text", config)
+        env = written(env)
+        found = written(scan(env, "content", "text", config))
         out = swapped(env, "content", "text", found, swap_table(found, salt, config)).select(F.col("id").alias("content"), F.col("swapped").alias("masked"), F.col("mocks").alias("own"))
         done = env.select("content", "env_blocks", "env_mocks").join(out, "content").withColumn("mocks", F.array_distinct(F.concat("env_mocks", "own")))
         # short settings (`1`, `a`) turn up by chance

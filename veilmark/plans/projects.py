@@ -10,7 +10,7 @@ from veilmark.operators.names import name_masks
 from veilmark.operators.sqltext import mask_sql
 from veilmark.plans import names
 from veilmark.plans.derived import derived, table
-from veilmark.plans.requests import _folder
+from veilmark.plans.requests import new_folder
 from veilmark.sources.manifests import ImportConfig, imports_masked, manifests
 
 _TABLE, _SCHEMA, _COLUMN, _SECRET, _ALIAS = (names._NAMES[kind][n] for kind, n in (("table", 0), ("schema", 0), ("column", 0), ("column", 4), ("alias", 0)))
@@ -50,7 +50,7 @@ def imports_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incidents_sunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as incidents of their type's site, in four batches of which two come twice."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("event_type").alias("site_id"))
-    sink = IncidentSink(spark, _folder(spark), 50)
+    sink = IncidentSink(spark, new_folder(spark), 50)
     for batch in (0, 1, 1, 2, 0, 3):
         sink.add(rows.where(F.pmod("id", F.lit(4)) == batch), batch)
     return sink.incidents().select("id", "site_id")

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.text import entropy, has_char_mix, mask_value, match_starts, window, has_any
 from veilmark.operators.config import CONTEXT_WORDS, DEV_WORDS, PROD_WORDS, ScanConfig
-from veilmark.operators.detect import candidates, judged, scan, valid_card
+from veilmark.operators.detect import candidates, judged, scan, spread, valid_card
 from veilmark.operators.envfile import looks_like_env, mask_env
 from veilmark.operators.infra import InfraConfig, mask_infra
 from veilmark.operators.policy import decide, incident_report, incidents, retain_last
+from veilmark.operators.shared import written
 from veilmark.operators.transform import mock_for, redact, rehydrate, swap_table, swapped
 from veilmark.plans import names, policies, projects, protect, requests, sse
 from veilmark.plans.derived import derived, table
@@ -40,7 +41,7 @@ CARD = r"(?<![A-Za-z0-9_])[2-6](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_])"
 def findings_credit_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One rule without any Python: places of matches from the gaps between them."""
     found, starts = match_starts(F.col("text"), CARD)
-    rows = documents(spark, sf_dir).where(F.col("text").rlike(CARD)).select("doc_id", "text", F.explode(F.arrays_zip(found.alias("value"), starts.alias("start"))).alias("m"))
+    rows = spread(documents(spark, sf_dir)).where(F.col("text").rlike(CARD)).select("doc_id", "text", F.explode(F.arrays_zip(found.alias("value"), starts.alias("start"))).alias("m"))
     rows = rows.select("doc_id", "text", F.col("m.value").alias("value"), F.col("m.start").alias("start")).withColumn("end", F.col("start") + F.length("value"))
     rows = rows.where(valid_card(F.col("value")) & ~has_any(window(F.col("text"), F.col("start"), F.col("end"), 12), ScanConfig().allowed()))
     return rows.select("doc_id", "start", "end", mask_value(F.col("value")).alias("masked"))
@@ -95,7 +96,7 @@ def incidents_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def swap_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that come back other than they were, values that are still there, and stand-ins that two values share: all 0."""
     texts = derived(spark, sf_dir, "orders", KEY_TEXTS)
-    found = scan(texts, "id", "text")
+    found = written(scan(texts, "id", "text"))
     pairs = swap_table(found, "salt")
     out = swapped(texts, "id", "text", found, pairs)
     broken = F.count_if(rehydrate(F.col("swapped"), F.col("mocks")) != F.col("text"))
@@ -229,7 +230,7 @@ def headers_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rehydrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-ins cut anywhere come back whole: the chunks' outputs, joined, are the original texts."""
     texts = derived(spark, sf_dir, "orders", KEY_TEXTS)
-    found = scan(texts, "id", "text")
+    found = written(scan(texts, "id", "text"))
     out = swapped(texts, "id", "text", found, swap_table(found, "salt")).withColumn("size", F.pmod("id", F.lit(7)) + 1)
     chunks = cut_into_chunks(out, "id", "swapped", "size")
     mapping = out.select(F.col("id").cast("string").alias("stream_id"), F.explode("mocks").alias("m")).select("stream_id", "m.mock", "m.real")

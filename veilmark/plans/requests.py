@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilmark.operators.registry import SessionRegistry
 from veilmark.operators.requests import protect_requests
+from veilmark.operators.shared import shared_folder
 from veilmark.plans.derived import derived, table
 from veilmark.sources.wire import FORMATS, request_texts
 
@@ -45,14 +45,9 @@ def _protected(shape: str):
     return query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share; a temporary one only for sessions on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="shared-")
-    return f"{named.rstrip('/')}/registry-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession) -> str:
+    """A new folder within the shared one."""
+    return f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
 
 
 PAIRS = """SELECT concat('c', cast(o_custkey % 20 AS varchar(20))) AS session, concat('m', cast(o_orderkey % 997 AS varchar(20))) AS mock, md5(cast(o_orderkey AS varchar(20))) AS real, concat('b', cast(o_orderkey % 4 AS varchar(20))) AS batch FROM orders"""
@@ -61,7 +56,7 @@ PAIRS = """SELECT concat('c', cast(o_custkey % 20 AS varchar(20))) AS session, c
 def session_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four batches in another order than their names', two of them twice, with a compaction between."""
     pairs = derived(spark, sf_dir, "orders", PAIRS)
-    registry = SessionRegistry(spark, _folder(spark))
+    registry = SessionRegistry(spark, new_folder(spark))
     for name in ("b2", "b0", "b0", "", "b3", "b1", "b2"):
         if name:
             registry.add_pairs(name, pairs.where(F.col("batch") == name))
