@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilmark.operators.protect import protect
 from veilmark.operators.transform import rehydrate
-from veilmark.plans.derived import derived
+from veilmark.plans.derived import derived, tag_sql
 
 _KEY = "'AKIA' || upper(substr(md5(cast(c_custkey % 97 AS varchar(20))), 1, 16))"
 _TEXTS = """SELECT c_custkey AS id, c_custkey % 5 AS kind, CASE c_custkey % 5
@@ -17,18 +17,18 @@ TEXTS = _TEXTS.replace("{s}", "' || c_mktsegment || '").replace("{k}", f"' || {_
 
 
 def texts_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of stand-ins give way to TAG; the tests hold them."""
     rows = derived(spark, sf_dir, "customer", TEXTS)
     out = protect(rows, "id", "text", "salt").join(rows, "id")
-    shape = F.regexp_replace("masked", "VEILMARK_MOCK_([A-Z_]+)_[0-9A-Z]+", "$1_TAG")
-    return out.select("id", shape.alias("shape"), "env_blocks", "n_secrets", "leaked", (rehydrate(F.col("masked"), F.col("mocks")) == F.col("text")).alias("comes_back"))
+    return out.select("id", "masked", "env_blocks", "n_secrets", "leaked", (rehydrate(F.col("masked"), F.col("mocks")) == F.col("text")).alias("comes_back"))
 
 
 def oracle_sql() -> dict[str, str]:
-    fenced = "'My settings:' || chr(10) || '```env' || chr(10) || 'CITY=ENV_TAG' || chr(10) || 'SEGMENT=\"ENV_TAG\"' || chr(10) || '```' || chr(10) || 'and AWS_ACCESS_KEY_TAG too' || chr(10) || '```' || chr(10) || 'plain words' || chr(10) || '```'"
+    env = lambda x: f"'VEILMARK_MOCK_ENV_' || upper({tag_sql(x, 6)})"
+    mocked = f"SELECT *, {env('city')} AS city_mock, {env('segment')} AS segment_mock, 'VEILMARK_MOCK_AWS_ACCESS_KEY_' || upper({tag_sql('key', 12)}) AS key_mock FROM t JOIN (SELECT c_custkey AS id, 'value' || cast(c_custkey % 97 AS varchar(20)) AS city, c_mktsegment AS segment, {_KEY} AS key FROM customer) USING (id)"
+    fenced = "'My settings:' || chr(10) || '```env' || chr(10) || 'CITY=' || city_mock || chr(10) || 'SEGMENT=\"' || segment_mock || '\"' || chr(10) || '```' || chr(10) || 'and ' || key_mock || ' too' || chr(10) || '```' || chr(10) || 'plain words' || chr(10) || '```'"
     return {
-        "texts_protected": f"""WITH t AS ({TEXTS}) SELECT id, CASE kind WHEN 0 THEN {fenced} WHEN 1 THEN 'CITY=ENV_TAG' || chr(10) || 'SEGMENT=ENV_TAG' WHEN 2 THEN 'use AWS_ACCESS_KEY_TAG or AWS_ACCESS_KEY_TAG now' ELSE text END AS shape,
-          CAST(kind < 2 AS INTEGER) AS env_blocks, CAST(kind IN (0, 2) AS INTEGER) AS n_secrets, false AS leaked, true AS comes_back FROM t WHERE text IS NOT NULL"""
+        "texts_protected": f"""WITH t AS ({TEXTS}), m AS ({mocked}) SELECT id, CASE kind WHEN 0 THEN {fenced} WHEN 1 THEN 'CITY=' || city_mock || chr(10) || 'SEGMENT=' || segment_mock WHEN 2 THEN 'use ' || key_mock || ' or ' || key_mock || ' now' ELSE text END AS masked,
+          CAST(kind < 2 AS INTEGER) AS env_blocks, CAST(kind IN (0, 2) AS INTEGER) AS n_secrets, false AS leaked, true AS comes_back FROM m WHERE text IS NOT NULL"""
     }
 
 

@@ -18,7 +18,7 @@ from veilmark.operators.policy import decide, incident_report, incidents, retain
 from veilmark.operators.shared import written
 from veilmark.operators.transform import mock_for, redact, rehydrate, swap_table, swapped
 from veilmark.plans import names, policies, projects, protect, requests, sse
-from veilmark.plans.derived import derived, table
+from veilmark.plans.derived import derived, table, tag_sql
 from veilmark.plans.examples import cases, cases_sql, judged_sql
 from veilmark.sources.policyfile import load_policy
 from veilmark.sources.rules import builtin_rules
@@ -108,7 +108,7 @@ def swap_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mock_database_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived(spark, sf_dir, "supplier", URL_TEXTS)
     mock = mock_for(F.col("text"), F.lit("database_url"), F.lit(None).cast("string"), "salt", ScanConfig())
-    return rows.select("id", F.regexp_replace(mock, ":mock_[0-9a-z]{6}@", ":mock_TAG@").alias("mock"))
+    return rows.select("id", mock.alias("mock"))
 
 
 def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ def env_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def env_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mask_env(derived(spark, sf_dir, "customer", ENV_TEXTS), "id", "text", "salt")
-    return out.select("id", "is_env", F.regexp_replace("masked", "VEILMARK_MOCK_ENV_[0-9A-Z]{6}", "MOCK").alias("masked"), (rehydrate(F.col("masked"), F.col("mocks")) == F.col("text")).alias("comes_back"))
+    return out.select("id", "is_env", "masked", (rehydrate(F.col("masked"), F.col("mocks")) == F.col("text")).alias("comes_back"))
 
 
 POLICY = """{"version": 1, "patterns": [{"name": "Employee ID", "action": "block", "match": {"type": "prefix", "prefix": "EMP-", "format": {"kind": "digits", "length": 6}}, "examples": {"match": ["EMP-000123"], "noMatch": ["EMP-12"]}},
@@ -285,6 +285,7 @@ def oracle_sql() -> dict[str, str]:
     wire = "SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'text' AS kind, coalesce(text, '') AS text FROM conversations"
     brief = wire + " UNION ALL SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, 'text' AS kind, 'be brief' AS text FROM conversations"
     listed, joined = _written_sql(True), _written_sql(False)
+    env = lambda x: f"'VEILMARK_MOCK_ENV_' || upper({tag_sql(x, 6)})"
     return {
         "findings_credit_card": _CARD_SQL,
         "scan_counts_cards": _CARD_SQL,
@@ -296,11 +297,11 @@ def oracle_sql() -> dict[str, str]:
         "incident_counts": f"{_KEYS} SELECT 'aws_access_key' AS secret_type, count(*) AS n, count(*) FILTER (WHERE id % 4 <> 1) AS blocked FROM t WHERE {_FOUND}",
         "incidents_retained": "SELECT event_id AS id, event_type AS site_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500",
         "swap_round_trip": "SELECT count(*) AS n_texts, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS survivors, CAST(0 AS BIGINT) AS clashes FROM orders",
-        "mock_database_urls": f"WITH t AS ({URL_TEXTS}) SELECT id, 'postgres://user:mock_TAG@mock-host.example:5432/mock_db' AS mock FROM t",
+        "mock_database_urls": f"WITH t AS ({URL_TEXTS}) SELECT id, 'postgres://user:mock_' || {tag_sql('text', 6)} || '@mock-host.example:5432/mock_db' AS mock FROM t",
         "token_entropy": f"""WITH t AS (SELECT id, regexp_extract(text, 'AKIA[A-Z0-9]{{16}}') AS token FROM ({KEY_TEXTS}))
           SELECT id, round(list_aggregate(string_split(token, ''), 'entropy'), 6) AS bits, regexp_matches(token, '[0-9]') AS mixed, {_STARS.format('token')} AS masked FROM t""",
         "env_sniff": f"{_ENV} SELECT id, id % 3 <> 0 AS is_env FROM t",
-        "env_masked": f"""{_ENV} SELECT id, id % 3 <> 0 AS is_env, CASE WHEN id % 3 = 0 THEN text ELSE 'NAME=MOCK' || chr(10) || 'SEGMENT="MOCK"' || chr(10) || 'NATION=MOCK' END AS masked, true AS comes_back FROM t""",
+        "env_masked": f"""{_ENV} SELECT id, id % 3 <> 0 AS is_env, CASE WHEN id % 3 = 0 THEN text ELSE 'NAME=' || {env("regexp_extract(text, 'NAME=([^ ]*)', 1)".replace('[^ ]*', '.*'))} || chr(10) || 'SEGMENT="' || {env("regexp_extract(text, 'SEGMENT=.([A-Z]*)', 1)")} || '"' || chr(10) || 'NATION=' || {env("regexp_extract(text, 'NATION=([0-9]*)', 1)")} END AS masked, true AS comes_back FROM t""",
         "policy_findings": f"""WITH t AS (SELECT *, CASE WHEN id % 5 <> 0 THEN 'block' ELSE 'warn' END AS action FROM ({STAFF_TEXTS})),
           v AS (SELECT id, text, action, 'policy.employee_id' AS rule_id, 'Employee ID' AS mask_hint, regexp_extract(text, 'EMP-[0-9]{{6}}') AS value FROM t WHERE id % 5 <> 0
             UNION ALL SELECT id, text, action, 'policy.mail', 'Mail', regexp_extract(text, 'c[0-9]+@post[.]acme[.]io') FROM t

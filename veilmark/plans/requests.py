@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilmark.operators.registry import SessionRegistry
 from veilmark.operators.requests import protect_requests
 from veilmark.operators.shared import shared_folder
-from veilmark.plans.derived import derived, table
+from veilmark.plans.derived import derived, table, tag_sql
 from veilmark.sources.wire import FORMATS, request_texts
 
 _ID = "concat(cast(conv_id AS varchar(20)), '-', cast(turn AS varchar(20)))"
@@ -78,20 +78,9 @@ def queries() -> dict:
     return {f"requests_protected_{shape}": _protected(shape) for shape in FORMATS} | {"session_registry": session_registry, "bodies_routed": bodies_routed}
 
 
-def fnv1a_sql(x: str) -> str:
-    return f"list_reduce(list_prepend(2166136261, list_transform(string_split({x}, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
-
-
-def tag_sql(x: str, length: int) -> str:
-    """The base-36 digits of a stand-in for the value `x` with the salt of the queries; at most 14."""
-    first = f"lower(to_base({fnv1a_sql(f'({x} || $$::salt$$)')}, 36, 7))"
-    second = f"lower(to_base({fnv1a_sql(f'({first} || {x} || $$::salt$$)')}, 36, 7))"
-    return f"upper(left({first}{f' || {second}' if length > 7 else ''}, {length}))"
-
-
 def oracle_sql() -> dict[str, str]:
-    env = lambda x: f"'VEILMARK_MOCK_ENV_' || {tag_sql(x, 6)}"
-    protected = f"""WITH t AS ({TEXTS}), m AS (SELECT *, 'VEILMARK_MOCK_AWS_ACCESS_KEY_' || {tag_sql('key', 12)} AS mock, {env('key')} AS env_key, {env('city')} AS env_city FROM t)
+    env = lambda x: f"'VEILMARK_MOCK_ENV_' || upper({tag_sql(x, 6)})"
+    protected = f"""WITH t AS ({TEXTS}), m AS (SELECT *, 'VEILMARK_MOCK_AWS_ACCESS_KEY_' || upper({tag_sql('key', 12)}) AS mock, {env('key')} AS env_key, {env('city')} AS env_city FROM t)
       SELECT id, CASE k WHEN 3 THEN NULL WHEN 0 THEN replace(replace(said, key, env_key), 'CITY=' || city, 'CITY=' || env_city) ELSE replace(said, key, mock) END AS said, CASE WHEN k = 3 THEN NULL ELSE replace(told, key, mock) END AS told,
         CAST(k IN (1, 3, 4) AS BIGINT) AS n_secrets, CAST(k = 0 AS BIGINT) AS env_blocks, k <> 2 AS changed, k = 3 AS leaked, k = 3 AS blocked FROM m"""
     return {f"requests_protected_{shape}": protected for shape in FORMATS} | {
