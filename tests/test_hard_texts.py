@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilmark.operators.detect import scan
 from veilmark.operators.envfile import env_blocks_masked, mask_env, value_spans
+from veilmark.operators.infra import InfraConfig, mask_infra
 from veilmark.operators.transform import redact, rehydrate, splice
 from veilmark.sources.wire import FORMATS, request_texts, written_back
 
@@ -112,6 +113,15 @@ def test_directives_where_there_is_none_yet(spark):
     assert set(bodies) == set(FORMATS)
 
 
+def test_hosts_in_sentences(spark):
+    texts = ["ssh db1.corp.internal. Then", "db1.corp.internal- up", "db1.internal-x.com", "db1.internals.example.com", "(db1.corp.internal)", "db1.corp.internal...", "a." * 300_000 + "internal", "x" * 500_000 + ".internal"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = [r["m"] for r in df.select("id", mask_infra(F.col("text"), InfraConfig("s")).alias("m")).orderBy("id").collect()]
+    shape = [re.sub(r"host-[0-9a-z]{6}", "H", x) for x in got]
+    assert shape[:6] == ["ssh H.internal. Then", "H.internal- up", texts[2], texts[3], "(H.internal)", "H.internal..."]
+    assert got[6] == texts[6] and shape[7] == "H.internal"
+
+
 def test_rehydrate_with_many_stand_ins(spark):
     df = spark.createDataFrame([("b m1 m10", [("m1", "x"), ("m10", "y")])], "text string, mocks array<struct<mock:string,real:string>>")
     assert df.select(rehydrate(F.col("text"), F.col("mocks"))).first()[0] == "b x y"

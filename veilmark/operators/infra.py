@@ -13,7 +13,8 @@ from veilmark.functions.text import short_hash
 # Labels that make a host internal, and the patterns of private addresses, hosts and home paths.
 INTERNAL_LABELS = ("internal", "corp", "local", "intranet", "lan", "vpc", "k8s")
 PRIVATE_IP = r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})\b"
-HOSTNAME = r"(?<![\w.-])(?:[a-zA-Z0-9-]+\.)+[a-zA-Z0-9-]+(?![\w.-])"
+# A host may end a sentence or stand before a dash; it has at most 127 labels, which bounds the matcher's stack.
+HOSTNAME = r"(?<![\w.-])(?:[a-zA-Z0-9-]+\.){1,126}[a-zA-Z0-9-]*[a-zA-Z0-9](?![\w]|[.-]+\w)"
 HOME_PATHS = (r"/(?:Users|home)/[^/\s\"'`]+/[^\s\"'`]+", r"[A-Za-z]:\\Users\\[^\\\s\"'`]+\\[^\s\"'`]+")
 
 
