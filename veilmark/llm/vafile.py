@@ -4,7 +4,8 @@ Each vector's components are quantised to cells of one byte, whose width follows
 cells and exact vectors are written as columns of one table, so a scan of the cells doesn't read the vectors.  A row's inner
 product with a query lies within bounds that follow from its cells alone.  Blocks of queries scan blocks of cells and keep the
 rows whose best possible score reaches the k-th sure one of the block; over all blocks, the k-th sure score of each query
-then leaves only rows that can still be among its k best, and only their exact vectors are read and multiplied.
+then leaves only rows that can still be among its k best.  Their exact vectors are read in the order of their bounds, in two
+turns: the first few of each query, and then only those whose bound reaches the k-th score found so far.
 
 Nulls: vectors that are null or hold null or non-finite components take no part, neither as queries nor as rows; vectors of
 another length than the query's take no part in its search.  Rows with one id are one candidate with the best of their
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.stages import cut, shared_folder, small_batches
 
 MOST, DIGITS = 1e150, 38
+FIRST = 2  # times k rows of a query are read exactly before its other rows
 ROW_BLOCK, QUERY_BLOCK, QUERIES_AT_ONCE = 16384, 1024, 128
 FOUND = "query_id bigint, row bigint, vec_id bigint, low double, high double"
 
@@ -128,9 +130,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     sure = found.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("low").desc(), "vec_id"))
     least = sure.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("low")).alias("least"))
-    open_ = found.join(least, "query_id").where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("query_id", "row", "vec_id")
-    exact = open_.join(table.select("row", "q"), "row").join(queries, "query_id")
-    scored = exact_products(exact).groupBy("query_id", "vec_id").agg(F.max("exact").alias("exact"))
+    open_ = cut(found.join(least, "query_id").where(F.col("least").isNull() | (F.col("high") >= F.col("least"))).select("query_id", "row", "vec_id", "high"))
+    # exact vectors in the order of their bounds: the most promising first, then only what can still pass the k-th of those
+    products = lambda pairs: exact_products(pairs.join(table.select("row", "q"), "row").join(queries, "query_id"))
+    turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("high").desc(), "vec_id", "row"))
+    early = cut(open_.withColumn("turn", turn).where(F.col("turn") <= FIRST * k).select("query_id", "row", "vec_id"))
+    known = cut(products(early).groupBy("query_id", "vec_id").agg(F.max("exact").alias("exact")))
+    kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("exact").desc(), "vec_id"))
+    sure_now = known.withColumn("place", kth).where(F.col("place") == k).select("query_id", F.col("exact").cast("double").alias("passed"))
+    late = open_.join(early.select("query_id", "row"), ["query_id", "row"], "left_anti").join(sure_now, "query_id", "left").where(F.col("passed").isNull() | (F.col("high") >= F.col("passed")))
+    scored = known.unionByName(products(late)).groupBy("query_id", "vec_id").agg(F.max("exact").alias("exact"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("exact").desc(), "vec_id"))
     score = F.greatest(F.least("exact", F.lit((1 << 63) - 1)), F.lit(-(1 << 63))).cast("bigint")
     return scored.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
