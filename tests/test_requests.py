@@ -7,7 +7,9 @@ import random
 import pytest
 
 from veilmark.operators.registry import SessionRegistry
-from veilmark.operators.requests import protect_requests, survives
+from veilmark.operators.requests import protect_requests, protect_requests_as, survives
+from veilmark.sources.policyfile import load_policy
+from veilmark.sources.settings import Settings, languages
 
 KEY = "AKIA" + "Z7Q2" * 4
 OTHER = "AKIA" + "B3C4" * 4
@@ -57,6 +59,29 @@ def test_requests(spark, shape):
     assert protect_requests(df.limit(0), "id", "body", shape, "salt").count() == 0
 
 
+def test_settings():
+    assert Settings.read({}) == Settings() and Settings.read({"VEILMARK_MASK_ENV": "", "OTHER": "x"}) == Settings()
+    made = Settings.read({"VEILMARK_ON_DETECT": "Block", "VEILMARK_MASK_ENV": "off", "VEILMARK_MASK_MEMBERS": "YES", "VEILMARK_LANGUAGES": "go, cobol", "VEILMARK_SQL_DIALECT": "mysql"}, "s")
+    assert (made.on_detect, made.mask_env, made.mask_members, made.languages, made.sql_dialect, made.infra.salt) == ("block", False, True, ("go", "cobol"), "mysql", "s")
+    with pytest.raises(ValueError, match="ON_DETECT.*SQL_DIALECT.*LANGUAGES"):
+        Settings.read({"VEILMARK_ON_DETECT": "bock", "VEILMARK_SQL_DIALECT": "x", "VEILMARK_LANGUAGES": "klingon"})
+    assert languages(["all", "none"]) == () and languages(["defaults", "cobol"]) == (*languages(["defaults"]), "cobol")
+    policy = load_policy(json.dumps({"version": 1, "languages": ["none"], "internalDomains": ["acme.io"], "internalTlds": ["zone"], "internalScopes": ["@acme/*"], "internalPackagePrefixes": {"go": ["a", "b"]}, "policy": {"sql": False, "fileReads": False, "pii": {"ssn": False}}}))
+    laid = made.under(policy).under(policy)
+    assert (laid.mask_sql, laid.mask_tool_results, laid.mask_members, laid.languages, laid.scopes) == (False, False, True, (), ("@acme/", "@acme/"))
+    assert dict(laid.prefixes) == {"go": ("a", "b")} and laid.infra.domains == ("acme.io", "acme.io") and "zone" in laid.infra.labels and "pii.ssn_dashed" in laid.scan.suppressed_rule_ids
+
+
+def test_settings_are_obeyed(spark):
+    body = json.dumps(bodies(ENV, f"got {OTHER}", "x")["openai"])
+    df = spark.createDataFrame([(1, body)], "id int, body string")
+    run = lambda s: protect_requests_as(df, "id", "body", "openai", "salt", s, "NOTE").first()
+    whole, bare = run(Settings()), run(Settings(mask_env=False, mask_tool_results=False, directive=False))
+    assert OTHER not in whole["body"] and "Oslo" not in whole["body"] and "NOTE" in whole["body"] and whole["env_blocks"] == 1
+    assert OTHER in bare["body"] and "Oslo" in bare["body"] and KEY not in bare["body"] and "NOTE" not in bare["body"] and bare["env_blocks"] == 0
+    assert run(Settings(on_detect="block"))["body"] is None
+
+
 def test_survives():
     assert survives('{"a": ["x secret-1."]}', ["secret-1"]) and survives('{"secret-1": 1}', ["secret-1"])
     assert survives('{"a": "\\u0073ecret-1"}', ["secret-1"]) and survives("no json secret-1", ["secret-1"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.operators.config import ScanConfig
@@ -25,19 +25,25 @@ def by_content(df: DataFrame, key: str, text: str, work: Callable[[DataFrame], D
     return rows.select("id", "content").join(done, "content").drop("content")
 
 
-def protect(df: DataFrame, key: str, text: str, salt: str, config: ScanConfig | None = None, on_detect: str = "mask") -> DataFrame:
+def untouched(text: Column, salt: str, config: ScanConfig) -> Column:
+    """blocks, masked, mocks of a text whose environment blocks stay."""
+    return F.struct(F.lit(0).alias("blocks"), text.alias("masked"), F.array().cast("array<struct<mock:string,real:string>>").alias("mocks"))
+
+
+def protect(df: DataFrame, key: str, text: str, salt: str, config: ScanConfig | None = None, on_detect: str = "mask", env_blocks: bool = True) -> DataFrame:
     """(id, masked, mocks, env_blocks, n_secrets, leaked, blocked), one row for each row of `df` whose text isn't null.
 
     Environment files and fenced blocks of that kind are masked first; the scan then runs over what that left, and what is a
     stand-in already stays.  `mocks` bring the text back.  `leaked` tells whether a value that has a stand-in is still there.
-    With on_detect "block" a text with a secret is `blocked` and `masked` is null.  Empty texts stay; keys may repeat.
+    Without `env_blocks` only the scan runs.  With on_detect "block" a text with a secret is `blocked` and `masked` is null.  Empty texts stay; keys may repeat.
     """
     if on_detect not in ("mask", "block"):
         raise ValueError("on_detect is mask or block")
     config = config or ScanConfig()
 
     def work(texts: DataFrame) -> DataFrame:
-        env = texts.withColumn("e", env_blocks_masked(F.col("text"), salt, config)).select("content", F.col("e.blocks").alias("env_blocks"), F.col("e.masked").alias("text"), F.col("e.mocks").alias("env_mocks"))
+        masked = env_blocks_masked if env_blocks else untouched
+        env = texts.withColumn("e", masked(F.col("text"), salt, config)).select("content", F.col("e.blocks").alias("env_blocks"), F.col("e.masked").alias("text"), F.col("e.mocks").alias("env_mocks"))
         env = written(env)
         found = written(scan(env, "content", "text", config))
         out = swapped(env, "content", "text", found, swap_table(found, salt, config)).select(F.col("id").alias("content"), F.col("swapped").alias("masked"), F.col("mocks").alias("own"))

@@ -60,10 +60,16 @@ def survives(body: str, reals: list[str]) -> bool:
     return False
 
 
-def protect_requests(df: DataFrame, key: str, body: str, shape: str, salt: str, config: ScanConfig | None = None, on_detect: str = "mask", directive: str | None = None) -> DataFrame:
+def protect_requests_as(df: DataFrame, key: str, body: str, shape: str, salt: str, settings, note: str) -> DataFrame:
+    """`protect_requests` as `settings` (of sources.settings) have it; `note` is the directive."""
+    return protect_requests(df, key, body, shape, salt, settings.scan, settings.on_detect, note if settings.directive else None, settings.mask_env, settings.mask_tool_results)
+
+
+def protect_requests(df: DataFrame, key: str, body: str, shape: str, salt: str, config: ScanConfig | None = None, on_detect: str = "mask", directive: str | None = None, env_blocks: bool = True, tool_results: bool = True) -> DataFrame:
     """(id, body, changed, n_secrets, env_blocks, leaked, blocked, mocks), one row for each of `df`; `key` is unique.
 
-    `shape` is one of FORMATS.  Bodies that aren't JSON objects, and those without anything to hide, stay the same bytes.  A body is
+    `shape` is one of FORMATS.  Without `env_blocks` environment blocks stay, without `tool_results` the results of tools do; the guard
+    then still finds in them what is hidden elsewhere.  Bodies that aren't JSON objects, and those without anything to hide, stay the same bytes.  A body is
     null where it is `blocked`: with on_detect "block" if it has a secret, and always if a value that has a stand-in is still there
     (`leaked`).  `mocks` bring the answer back.  Null bodies stay null.
     """
@@ -72,7 +78,9 @@ def protect_requests(df: DataFrame, key: str, body: str, shape: str, salt: str,
     kind = df.schema[key].dataType.simpleString()
     bodies = df.select(F.col(key).alias("id"), F.col(body).alias("body"))
     texts = request_texts(bodies, "id", "body", shape).withColumn("place", F.struct("id", "path"))
-    safe = protect(texts, "place", "text", salt, config)
+    if not tool_results:
+        texts = texts.where("kind <> 'tool_result'")
+    safe = protect(texts, "place", "text", salt, config, env_blocks=env_blocks)
     per = safe.groupBy(F.col("id.id").alias("of")).agg(
         F.collect_list(F.struct(F.col("id.path").alias("path"), F.col("masked").alias("text"))).alias("changes"),  # of one body
         F.array_distinct(F.flatten(F.collect_list("mocks"))).alias("mocks"),
