@@ -51,6 +51,13 @@ def decide(scanned: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     return rows.withColumn("summary", summary)
 
 
+def decide_all(texts: DataFrame, scanned: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+    """`decide` for every row of `texts` (id): those without findings have an empty list and are allowed."""
+    rows = texts.select("id").join(scanned.select(F.col("id").alias("of"), "findings"), F.col("id").eqNullSafe(F.col("of")), "left").drop("of")
+    none = F.array().cast(scanned.schema["findings"].dataType)
+    return decide(rows.withColumn("findings", F.coalesce("findings", none)), config)
+
+
 def already_safe(findings: Column, mocks: Column) -> Column:
     """Whether all that a text holds are stand-ins that are known, so that it may go as it is; true without findings."""
     known = F.coalesce(mocks, F.array().cast("array<string>"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilmark.operators.config import ScanConfig
 from veilmark.operators.detect import candidates, judged, scan
-from veilmark.operators.policy import already_safe, decide
+from veilmark.operators.policy import already_safe, decide, decide_all
 from veilmark.plans.derived import derived
 from veilmark.sources.policyfile import load_policy
 
@@ -38,8 +38,17 @@ def texts_already_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", already_safe(F.col("findings"), F.array("known")).alias("safe"))
 
 
+TEXTS = f"""SELECT o_orderkey AS id, concat(CASE WHEN o_orderkey % 3 = 0 THEN 'no key' ELSE {_KEY.format("'c'")} END, CASE o_orderkey % 4 WHEN 0 THEN ' in dev' ELSE ' at noon' END) AS text FROM orders"""
+
+
+def decisions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is decided about every text, those that are allowed included."""
+    rows = derived(spark, sf_dir, "orders", TEXTS)
+    return decide_all(rows, scan(rows, "id", "text")).select("id", F.size("findings").alias("n_findings"), "action", "summary")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (policy_lists_found, okta_tokens, texts_already_safe)}
+    return {f.__name__: f for f in (decisions_all, policy_lists_found, okta_tokens, texts_already_safe)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -47,6 +56,8 @@ def oracle_sql() -> dict[str, str]:
         "policy_lists_found": f"""WITH t AS ({TICKETS}), k AS (SELECT *, regexp_extract(text, 'tk-[0-9]{{3,6}}X') AS ticket FROM t), a AS (SELECT *, CASE WHEN ticket <> '' THEN 'block' ELSE 'warn' END AS action FROM k)
           SELECT id, action, 'policy.ticket' AS rule_id, CAST(position(ticket IN text) - 1 AS INTEGER) AS start, ticket AS value FROM a WHERE ticket <> ''
           UNION ALL SELECT id, action, 'policy.segment', CAST(4 AS INTEGER), regexp_extract(text, '^for ([A-Z]+)', 1) FROM a WHERE regexp_matches(text, '^for (BUILDING|MACHINERY) ')""",
+        "decisions_all": f"""WITH t AS ({TEXTS}) SELECT id, CAST(id % 3 <> 0 AS INTEGER) AS n_findings, CASE WHEN id % 3 = 0 THEN 'allow' WHEN id % 4 = 0 THEN 'warn' ELSE 'block' END AS action,
+          CASE WHEN id % 3 = 0 THEN 'No secrets detected.' WHEN id % 4 = 0 THEN 'Warning: possible AWS access key detected.' ELSE 'Blocked: AWS access key detected.' END AS summary FROM t""",
         "okta_tokens": f"WITH t AS ({OKTA}) SELECT id, token AS value, CAST(11 AS INTEGER) AS start, 'high' AS confidence FROM t WHERE id % 3 <> 0 AND list_aggregate(string_split(token, ''), 'entropy') >= 4.0",
         "texts_already_safe": f"WITH t AS ({SAFE}) SELECT id, id % 7 = 0 OR (id % 2 = 0 AND id % 5 <> 0) AS safe FROM t",
     }
