@@ -126,8 +126,8 @@ def test_registry_as_a_sink(spark, tmp_path):
         spark.createDataFrame(rows[2 * n : 2 * n + 2], "session string, mock string, real string").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
     source = spark.readStream.schema("session string, mock string, real string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     registry = SessionRegistry(spark, str(tmp_path / "registry"))
-    query = source.writeStream.foreachBatch(registry.sink()).option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
+    query = source.writeStream.foreachBatch(registry.sink()).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
     query.stop()
     got = {r["mock"]: r["real"] for r in registry.pairs().collect()}
     assert got == {"m0": "r0", "m1": "r1", "m2": "r2"}

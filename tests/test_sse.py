@@ -207,7 +207,7 @@ def test_batch_and_streaming_agree(spark, tmp_path, shape):
     for n, part in enumerate((rows[:40], rows[40:90], rows[90:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    query = rehydrate_event_stream(source, shape).writeStream.format("memory").queryName(f"sse_{shape}").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
+    query = rehydrate_event_stream(source, shape).writeStream.format("memory").queryName(f"sse_{shape}").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
     query.stop()
     assert joined(spark.table(f"sse_{shape}").collect()) == batch
