@@ -3,12 +3,13 @@
 import json
 import random
 import re
+import time
 
 import pytest
 
 from veilmark.functions.needles import Needles
 from veilmark.sources.jsonplaces import added_item, added_name, literal, read_json, spliced
-from veilmark.streaming.rehydrate import Mocks, Rehydrator
+from veilmark.streaming.rehydrate import Mocks, Rehydrator, after_mocks, rehydrate_chunks
 from veilmark.streaming.sse import EventStream, rehydrate_event_stream, rehydrate_events
 
 MOCKS = {"VEILMARK_MOCK_KEY_AB12": "real-one", "VEILMARK_MOCK_KEY_AB123": "rëal \"two\"\n", "mock-host.example": "db1.corp"}
@@ -211,3 +212,26 @@ def test_batch_and_streaming_agree(spark, tmp_path, shape):
     query.awaitTermination(120)
     query.stop()
     assert joined(spark.table(f"sse_{shape}").collect()) == batch
+
+
+def test_pieces_of_a_long_text_in_linear_time(spark):
+    """Each piece was sought from the text's start, so 100,000 pieces of one text took minutes."""
+    from pyspark.sql import functions as F
+
+    from veilmark.plans.sse import _pieces
+
+    text, began = "aü𝒳\n" * 100_000, time.monotonic()
+    pieces = spark.createDataFrame([(text, 4), (text[:10], 4), ("x", 4)], "t string, size int").select(_pieces(F.col("t"), F.col("size"))).collect()
+    assert [p[0] for p in pieces] == [["aü𝒳\n"] * 100_000, ["aü𝒳\n", "aü𝒳\n", "aü"], ["x"]]
+    assert time.monotonic() - began < 20
+
+
+def test_stand_ins_come_once_before_their_chunks(spark):
+    """They came with each chunk.  A mapping without chunks gives no row; a null stream has no stand-ins."""
+    mock, real = "VEILMARK_MOCK_KEY_AB12", "real-one"
+    chunks = spark.createDataFrame([("a", 1, 0, f"x {mock}"), ("a", 0, 0, mock[:9]), ("a", 0, 1, mock[9:] + " "), (None, 0, 0, f"{mock} "), ("b", 0, 0, mock + " "), (None, None, None, None)], "stream_id string, channel int, seq int, delta string")
+    mapping = spark.createDataFrame([("a", mock, real), (None, mock, real), ("c", mock, real)], "stream_id string, mock string, real string")
+    rows = after_mocks(chunks, mapping, "channel", "seq")
+    assert rows.where("mocks is not null").count() == 2
+    out = {(r["stream_id"], r["channel"], r["seq"]): r["out"] for r in rehydrate_chunks(chunks, mapping).collect()}
+    assert out == {("a", 1, 0): "x ", ("a", 1, 1): real, ("a", 0, 0): "", ("a", 0, 1): f"{real} ", (None, 0, 0): f"{mock} ", ("b", 0, 0): f"{mock} ", (None, None, None): ""}

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilmark.operators.detect import spread
 from veilmark.plans.derived import table
 from veilmark.sources.wire import sse_events
 from veilmark.streaming.sse import rehydrate_events
@@ -26,7 +27,8 @@ def _said(name: Callable[[str], Column]) -> Column:
 
 
 def _pieces(text: Column, size: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size)), lambda i: F.substring(text, (i * size + 1).cast("int"), size))
+    """`text`, which isn't empty, cut every `size` characters, in one pass over it."""
+    return F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), size, F.lit("}")), F.lit(0))
 
 
 def _event(body: Column, name: str | None = None, end: str = "\n") -> Column:
@@ -65,7 +67,7 @@ def _rehydrated(shape: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """(id, text, others): what the deltas (or a whole text) say after stand-ins are put back, and the other events as they are."""
         table(spark, sf_dir, "conversations").createOrReplaceTempView("veilmark_conversations")
-        rows = spark.sql(TEXTS.replace("FROM conversations", "FROM veilmark_conversations"))
+        rows = spread(spark.sql(TEXTS.replace("FROM conversations", "FROM veilmark_conversations")))
         size = (F.length("t") % 11 + 4).cast("int")
         body = _bodies(shape, _said(lambda _: F.col("mock")), size)
         cut = F.posexplode(_pieces(F.col("body"), F.col("width"))).alias("seq", "chunk")
@@ -74,14 +76,13 @@ def _rehydrated(shape: str):
         whole = out.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "out"))).alias("parts"))
         whole = whole.select("stream_id", F.array_join(F.transform("parts", lambda p: p["out"]), "").alias("body"))
         events = sse_events(whole, "stream_id", "body")
-        found = F.array(*[F.struct(F.lit(n).alias("n"), F.get_json_object("data", path).alias("text")) for n, path in enumerate(_TEXT[shape])])
-        text = F.filter(found, lambda x: x["text"].isNotNull())
-        told = events.select("id", "seq", text.alias("text"), F.when(F.size(text) == 0, F.concat_ws("|", "event", "data")).alias("other"))
-        joined = lambda n: F.array_join(F.transform(F.filter("all", lambda x: F.exists(x["text"], lambda y: y["n"] == n)), lambda x: x["text"][0]["text"]), "")
-        sorted_ = told.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "text", "other"))).alias("all"))
-        texts = [F.struct(F.lit(n).alias("place"), joined(n).alias("text")) for n in range(len(_TEXT[shape]))]
-        others = F.array_join(F.transform(F.filter("all", lambda x: x["other"].isNotNull()), lambda x: x["other"]), "\n")
-        return sorted_.select("id", others.alias("others"), F.explode(F.array(*texts)).alias("x")).select("id", "x.place", "x.text", "others")
+        places = range(len(_TEXT[shape]))
+        read = events.select("id", "seq", "event", "data", *[F.get_json_object("data", path).alias(f"text{n}") for n, path in enumerate(_TEXT[shape])])
+        other = F.when(F.coalesce(*[F.col(f"text{n}") for n in places]).isNull(), F.concat_ws("|", "event", "data"))
+        told = F.struct("seq", *[f"text{n}" for n in places], other.alias("other"))
+        all_ = read.groupBy("id").agg(F.array_sort(F.collect_list(told)).alias("all"))
+        texts = [F.struct(F.lit(n).alias("place"), F.array_join(F.col("all")[f"text{n}"], "").alias("text")) for n in places]
+        return all_.select("id", F.array_join(F.col("all")["other"], "\n").alias("others"), F.explode(F.array(*texts)).alias("x")).select("id", "x.place", "x.text", "others")
 
     return query
 

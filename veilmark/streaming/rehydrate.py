@@ -88,26 +88,34 @@ class Rehydrator:
         return out
 
 
+def after_mocks(chunks: DataFrame, mapping: DataFrame, *order: str) -> DataFrame:
+    """`chunks` with a column mocks, dealt and sorted by stream and `order`.  A stream's stand-ins come once, in a row of their own
+    before its chunks, whose mocks are null; a null stream has none."""
+    pairs = mapping.where("stream_id is not null").groupBy("stream_id").agg(F.map_from_entries(F.collect_set(F.struct("mock", "real"))).alias("mocks"))
+    rows = chunks.withColumn("mocks", F.lit(None).cast(pairs.schema["mocks"].dataType)).unionByName(pairs, allowMissingColumns=True)
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", F.col("mocks").isNull(), *order)
+
+
 def rehydrate_chunks(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
     """Batch form.  `chunks` (stream_id, channel, seq, delta), `mapping` (stream_id, mock, real): (stream_id, channel, seq, out).
 
     Streams are dealt by id and sorted within their partition, so a task holds one channel's tail at a time; what is held at a
     channel's end comes as one more row.  A channel is one task's work, as each chunk's output depends on the one before.
     """
-    pairs = mapping.groupBy("stream_id").agg(F.map_from_entries(F.collect_set(F.struct("mock", "real"))).alias("mocks"))
-    rows = chunks.select("stream_id", "channel", "seq", "delta").join(pairs, "stream_id", "left")
-    rows = rows.select("stream_id", "channel", "seq", "delta", "mocks").repartition("stream_id").sortWithinPartitions("stream_id", "channel", "seq")
+    rows = after_mocks(chunks.select("stream_id", "channel", "seq", "delta"), mapping, "channel", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, worker, last = None, Rehydrator({}), -1
+        now, worker, last, mocks = None, Rehydrator({}), -1, {}
         for batch in batches:
             out: list[tuple] = []
-            mocks = batch.column(4)
-            for i, (stream, channel, seq, delta) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(4)))):
+            for stream, channel, seq, delta, pairs in zip(*(column.to_pylist() for column in batch.columns)):
+                if pairs is not None:
+                    mocks = {stream: dict(pairs)}
+                    continue
                 if (stream, channel) != now:
                     if now is not None and worker.pending:
                         out.append((*now, last + 1, worker.push("", final=True)))
-                    now, worker = (stream, channel), Rehydrator(dict(mocks[i].as_py() or {}))
+                    now, worker = (stream, channel), Rehydrator(mocks.get(stream, {}))
                 out.append((stream, channel, seq, worker.push(delta or "")))
                 last = seq
             yield _chunk_batch(out)
