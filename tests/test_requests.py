@@ -4,12 +4,14 @@ import itertools
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from veilmark.operators.registry import SessionRegistry
 from veilmark.operators.requests import protect_requests, protect_requests_as, survives
 from veilmark.sources.policyfile import load_policy
 from veilmark.sources.settings import Settings, languages
+from veilmark.sources.wire import request_texts, written_back
 
 KEY = "AKIA" + "Z7Q2" * 4
 OTHER = "AKIA" + "B3C4" * 4
@@ -133,3 +135,19 @@ def test_registry_as_a_sink(spark, tmp_path):
     assert got == {"m0": "r0", "m1": "r1", "m2": "r2"}
     registry.sink()(spark.createDataFrame([("s", "m0", "late")], "session string, mock string, real string"), 0)  # a batch that comes again
     assert {r["mock"]: r["real"] for r in registry.pairs().collect()} == got
+
+
+def test_python_is_handed_small_batches(spark):
+    """A worker held ten thousand bodies and all their texts at once."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], "10000")
+        bodies = spark.range(3000).selectExpr("id", """'{"messages":[{"role":"user","content":"hi"}]}' AS body""")
+        texts = request_texts(bodies, "id", "body", "anthropic")
+        sizes = texts.select("id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+        assert texts.count() == 3000 and max(r["n"] for r in sizes.collect()) <= 1000
+        assert written_back(bodies, "id", "body", "anthropic", texts).where("body like '%hi%'").count() == 3000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.functions.batches import small_batches
 from veilmark.functions.needles import Needles
 from veilmark.operators.config import ScanConfig
 from veilmark.operators.protect import protect
@@ -101,7 +102,7 @@ def protect_requests(df: DataFrame, key: str, body: str, shape: str, salt: str,
                 leaked.append(bool(new and reals) and survives(new, reals))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(changed), pa.array(leaked)], ["key", "new", "changed", "leaked"])
 
-    written = rows.mapInArrow(write, f"key {kind}, new string, changed boolean, leaked boolean")
+    written = small_batches(rows).mapInArrow(write, f"key {kind}, new string, changed boolean, leaked boolean")
     told = written.join(per, F.col("key").eqNullSafe(F.col("of")), "left")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     blocked = F.col("leaked") | ((F.coalesce("n_secrets", F.lit(0)) > 0) & F.lit(on_detect == "block"))

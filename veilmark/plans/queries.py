@@ -167,7 +167,7 @@ def _wire(shape: str):
 
 def _tool_bodies(spark: SparkSession, sf_dir: str, shape: str) -> DataFrame:
     """Bodies with bracket texts, lists of parts and tool results; every third text stays as it is."""
-    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    rows = spread(table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("t")))
     t, said = F.col("t"), F.concat(F.lit("[INST] "), "t")
     lit = F.lit
     part = lambda kind, text: F.struct(lit(kind).alias("type"), text.alias("text"))

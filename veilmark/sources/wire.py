@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.functions.batches import small_batches
 from veilmark.sources.jsonplaces import Arr, Obj, Text, added_item, added_name, literal, read_json, readable, spliced
 
 # Headers that a relay must not pass on.
@@ -177,7 +178,7 @@ def request_texts(df: DataFrame, key: str, body: str, shape: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, pa.string()) for c in columns)], ["id", "path", "kind", "text"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("id"), F.col(body).alias("body")).mapInArrow(read, f"id {kind}, path string, kind string, text string")
+    return small_batches(df).select(F.col(key).alias("id"), F.col(body).alias("body")).mapInArrow(read, f"id {kind}, path string, kind string, text string")
 
 
 def rewritten(shape: str, raw: str, body: Obj, wanted: dict[str, str], directive: str | None = None) -> str:
@@ -212,7 +213,7 @@ def written_back(df: DataFrame, key: str, body: str, shape: str, texts: DataFram
     kind = df.schema[key].dataType.simpleString()
     changes = texts.groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("path", "text")).alias("changes"))  # of one body
     rows = df.select(F.col(key).alias("id"), F.col(body).alias("body")).join(changes, F.col("id") == F.col("of"), "left")
-    return rows.select("id", "body", "changes").mapInArrow(write, f"id {kind}, body string")
+    return small_batches(rows).select("id", "body", "changes").mapInArrow(write, f"id {kind}, body string")
 
 
 #: The endings of request paths and their formats.
