@@ -9,7 +9,7 @@ import pytest
 
 from veilmark.functions.needles import Needles
 from veilmark.sources.jsonplaces import added_item, added_name, literal, read_json, spliced
-from veilmark.streaming.rehydrate import Mocks, Rehydrator, after_mocks, rehydrate_chunks
+from veilmark.streaming.rehydrate import Mocks, Rehydrator, after_mocks, cut_into_chunks, rehydrate_chunks
 from veilmark.streaming.sse import EventStream, rehydrate_event_stream, rehydrate_events
 
 MOCKS = {"VEILMARK_MOCK_KEY_AB12": "real-one", "VEILMARK_MOCK_KEY_AB123": "rëal \"two\"\n", "mock-host.example": "db1.corp"}
@@ -235,3 +235,15 @@ def test_stand_ins_come_once_before_their_chunks(spark):
     assert rows.where("mocks is not null").count() == 2
     out = {(r["stream_id"], r["channel"], r["seq"]): r["out"] for r in rehydrate_chunks(chunks, mapping).collect()}
     assert out == {("a", 1, 0): "x ", ("a", 1, 1): real, ("a", 0, 0): "", ("a", 0, 1): f"{real} ", (None, 0, 0): f"{mock} ", ("b", 0, 0): f"{mock} ", (None, None, None): ""}
+
+
+def test_chunks_of_a_long_text_in_linear_time(spark):
+    """Each chunk was sought from the text's start."""
+    text, began = "aü𝒳\n" * 60_000, time.monotonic()
+    rows = spark.createDataFrame([("long", text, 2), ("empty", "", 2), ("none", None, 2), ("odd", "ab\nüc", 2)], "id string, t string, size int")
+    found = {}
+    for r in cut_into_chunks(rows, "id", "t", "size").orderBy("stream_id", "seq").collect():
+        found.setdefault(r["stream_id"], []).append((r["seq"], r["delta"]))
+    assert found.pop("long") == list(enumerate(["aü", "𝒳\n"] * 60_000))
+    assert found == {"empty": [(0, "")], "none": [(0, None)], "odd": [(0, "ab"), (1, "\nü"), (2, "c")]}
+    assert time.monotonic() - began < 20

@@ -37,7 +37,7 @@ class Mocks:
     def _begins(self, tail: str) -> bool:
         """Whether `tail` is the beginning of a longer word."""
         at = bisect_left(self.words, tail)
-        return any(w.startswith(tail) and w != tail for w in self.words[at : at + 2])
+        return any([w.startswith(tail) and w != tail for w in self.words[at : at + 2]])
 
     def hold_from(self, text: str) -> int:
         """From where `text` must wait: the longest tail that could still become a stand-in and isn't inside one that is taken,
@@ -81,8 +81,14 @@ class Rehydrator:
         self.pending, self.left = pending, left
 
     def push(self, chunk: str, final: bool = False) -> str:
-        held = self.pending + chunk
+        held, first = self.pending + chunk, self.mocks.first
+        if first is None or not first.search(held):  # no stand-in, nor the beginning of one
+            self.left, self.pending = (self.left + held)[-LEFT:], ""
+            return held
         cut = len(held) if final else self.mocks.hold_from(held)
+        if not cut:
+            self.pending = held
+            return ""
         out = self.mocks.put_back(self.left, held[:cut], held[cut:])
         self.left, self.pending = (self.left + held[:cut])[-LEFT:], held[cut:]
         return out
@@ -171,5 +177,7 @@ def rehydrate_stream(chunks: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
 
 def cut_into_chunks(df: DataFrame, key: str, text: str, size: str) -> DataFrame:
     """(stream_id, channel, seq, delta): texts cut every `size` characters, `size` being a column."""
-    pieces = F.expr(f"transform(sequence(0, greatest(int((length({text}) - 1) / {size}), 0)), i -> substring({text}, i * {size} + 1, {size}))")
+    whole = F.col(text)
+    each = F.regexp_extract_all(whole, F.concat(F.lit("(?s).{1,"), F.col(size).cast("int"), F.lit("}")), F.lit(0))  # in one pass over the text
+    pieces = F.when((F.length(whole) > 0) & (F.col(size) > 0), each).otherwise(F.array(F.substring(whole, F.lit(1), F.col(size).cast("int"))))
     return df.select(F.col(key).cast("string").alias("stream_id"), F.lit(0).alias("channel"), F.posexplode(pieces).alias("seq", "delta"))
