@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from veilmark.operators.names import NameConfig, concept_words, echoes, mask_alias, name_masks, name_words, scrub_literals
+from veilmark.operators.names import FEW, NameConfig, concept_words, echoes, mask_alias, name_masks, name_words, scrub_literals
 
 
 def short(text: str, salt: str = "") -> str:
@@ -62,3 +62,31 @@ def test_literals(spark):
     secret = got[f"{key} and {key}"]
     assert key not in secret["mask"] and [m["real"] for m in secret["mocks"]] == [key]
     assert secret["mask"] == f"{secret['mocks'][0]['mock']} and {secret['mocks'][0]['mock']}"
+
+
+def test_names_are_worked_out_once(spark):
+    """However many branches need names, their rows are read once; before, each branch read them anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    rows = [(n, kind, f"{word}{n}_x") for n in range(20) for kind, word in (("table", "ghost"), ("column", "ghost"), ("column", "novel"), ("alias", "my_ghost"))]
+    names = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(counted), "scope int, kind string, name string")
+    assert sum(r["mask"] is not None for r in name_masks(names, NameConfig()).collect()) == 60
+    assert seen.value == len(rows)
+
+
+def test_scopes_with_many_concepts(spark):
+    """Scopes on both sides of FEW find the same: here by brute force."""
+    rows = [(scope, "table", f"raw_word{n}") for scope, size in (("small", 5), ("edge", FEW), ("large", 3 * FEW)) for n in range(size)]
+    rows += [(scope, kind, f"{name}{n}") for scope in ("small", "edge", "large", "none") for kind, name in (("alias", "myWord"), ("column", "plain_WORD")) for n in (3, 40, 190, 500)]
+    got = {(r["scope"], r["kind"], r["name"]): r["mask"] for r in name_masks(spark.createDataFrame(rows, "scope string, kind string, name string"), NameConfig()).collect()}
+    assert set(got) == set(rows)
+    holds = lambda r, concepts: any(s == r[0] and c in r[2].lower() for s, c in concepts)
+    concepts = {(scope, f"word{name[8:]}") for scope, kind, name in rows if kind == "table"}
+    columns = {r for r in rows if r[1] == "column" and holds(r, concepts)}
+    concepts |= {(r[0], w) for r in columns for w in r[2].lower().split("_")}
+    assert {k for k, mask in got.items() if mask is not None} == columns | {r for r in rows if r[1] == "table" or r[1] == "alias" and holds(r, concepts)}
+    assert got["large", "alias", "myWord190"] == f"myc{short('word190')}" and got["small", "alias", "myWord40"] is not None and got["none", "alias", "myWord3"] is None

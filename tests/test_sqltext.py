@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from veilmark.operators.sqltext import DIALECTS, mask_sql, masked_sql, sql_strings, sql_tokens
+from veilmark.operators.sqltext import DIALECTS, lexer, mask_sql, masked_sql, sql_strings, sql_tokens
 
 MASKS = {("table", "job_postings"): "T1", ("table", "mart_ghost_index"): "T2", ("schema", "acme"): "S1", ("column", "ghost_probability"): "C1", ("column", "status"): "C9", ("alias", "median_ghost"): "A1", ("alias", "feed"): "A2"}
 
@@ -64,3 +64,29 @@ def test_rows(spark):
     assert sorted(map(tuple, sql_strings(df.where("id = 1"), "id", "sql").collect())) == [(1, "x")]
     with pytest.raises(ValueError):
         mask_sql(df, "id", "sql", masks, dialect="other")
+
+
+def test_runs_skip_no_string():
+    """The pattern that takes other tokens in runs finds the strings that all tokens have."""
+    draw = random.Random(6)
+    parts = ["a", "n", "e", "r'x'", "N'x'", "E'\\''", "U&'x'", '"y"', "`", "[y]", "'", "$t$", "$", "--", "-", "/*", "*/", "/", "#", "\n", " ", "_1", "٣", "é", "(", "."]
+    for dialect in DIALECTS:
+        runs = lexer(dialect, for_strings=True)
+        for _ in range(400):
+            text = "".join(draw.choice(parts) for _ in range(draw.randint(0, 12)))
+            assert [t.value for t in sql_tokens(text, dialect, runs) if t.kind == "string"] == [t.value for t in sql_tokens(text, dialect) if t.kind == "string"], text
+
+
+def test_statements_are_read_once(spark):
+    """Their numbers join two branches, so both must see the same rows; before, each branch read them anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        seen.add(1)
+        return (n, f"SELECT 'x{n}'")
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(40), 2).map(counted), "id int, sql string")
+    masks = spark.createDataFrame([], "scope int, kind string, name string, mask string")
+    literals = spark.createDataFrame([(f"x{n}", f"L{n}") for n in range(0, 80, 2)], "value string, mask string")
+    got = dict(map(tuple, mask_sql(df, "id", "sql", masks, literals).collect()))
+    assert got == {n: f"SELECT '{'x' if n % 2 else 'L'}{n}'" for n in range(40)} and seen.value == 40

@@ -2,7 +2,8 @@
 
 A scope is what shares its secrets: a statement, a project.  Words of its tables, schemas and protected columns that are no
 general vocabulary are its concepts; columns and aliases that hold a concept are masked too.  All is in column functions and
-joins: a name meets the concepts of its scope by their first letters, so neither a scope's names nor its concepts are gathered.
+joins: a name meets its scope's concepts at once where they are at most `FEW`, and else by their first letters, so neither a
+scope's names nor more of its concepts are gathered.  What several branches need is written once.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.functions.text import short_hash
+from veilmark.functions.text import bound, short_hash
 from veilmark.operators.config import ScanConfig
 from veilmark.operators.detect import scan
+from veilmark.operators.shared import written
 from veilmark.operators.transform import swap_table, swapped
 
 # Prefixes and nouns of table names, endings of column names, columns and words that say nothing of a company.
@@ -36,6 +38,8 @@ STOP_WORDS = (
     "user", "account", "order", "item", "event", "product", "customer", "company", "job", "person", "group", "role", "team", "org", "unit", "sale",
 )
 
+FEW = 64  # so many concepts of a scope at most are gathered into one row
+
 
 @dataclass(frozen=True)
 class NameConfig:
@@ -77,12 +81,13 @@ def concept_words(name: Column, config: NameConfig) -> Column:
 
 def mask_table(name: Column, config: NameConfig) -> Column:
     """A known prefix and a known last noun stay, the hash follows: mart_acme_orders gives mart_orders_HASH."""
-    words = name_words(name)
-    first, last = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(-1))
-    prefix = F.when(first.isin(*config.prefixes), first)
-    noun = F.when(last.isin(*config.nouns) & ~last.eqNullSafe(prefix), last)
-    shape = F.when(prefix.isNull() & noun.isNull(), F.lit(config.table_word)).otherwise(F.concat_ws("_", prefix, noun))
-    return F.concat_ws("_", shape, config.hashed(name))
+    def shaped(words: Column) -> Column:
+        first, last = F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(-1))
+        prefix = F.when(first.isin(*config.prefixes), first)
+        noun = F.when(last.isin(*config.nouns) & ~last.eqNullSafe(prefix), last)
+        return F.when(prefix.isNull() & noun.isNull(), F.lit(config.table_word)).otherwise(F.concat_ws("_", prefix, noun))
+
+    return F.concat_ws("_", bound(name_words(name), shaped), config.hashed(name))
 
 
 def mask_schema(name: Column, config: NameConfig) -> Column:
@@ -91,8 +96,8 @@ def mask_schema(name: Column, config: NameConfig) -> Column:
 
 def mask_column(name: Column, config: NameConfig) -> Column:
     """A known last word stays: acme_rate gives HASH_rate."""
-    last = F.try_element_at(name_words(name), F.lit(-1))
-    return F.when(last.isin(*config.suffixes), F.concat_ws("_", config.hashed(name), last)).otherwise(F.concat(F.lit("col_"), config.hashed(name)))
+    put = lambda last: F.when(last.isin(*config.suffixes), F.concat_ws("_", config.hashed(name), last)).otherwise(F.concat(F.lit("col_"), config.hashed(name)))
+    return bound(F.try_element_at(name_words(name), F.lit(-1)), put)
 
 
 def mask_alias(name: Column, concepts: Column, config: NameConfig) -> Column:
@@ -100,7 +105,7 @@ def mask_alias(name: Column, concepts: Column, config: NameConfig) -> Column:
     ordered = F.array_sort(F.transform(concepts, lambda c: F.struct((-F.length(c)).alias("n"), c.alias("word"))))
     literally = lambda w: F.concat(F.lit(r"(?iu)\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     out = F.aggregate(ordered, name, lambda s, c: F.regexp_replace(s, literally(c["word"]), F.concat(F.lit("c"), config.hashed(c["word"]))))
-    return F.when(out == name, F.concat(F.lit("alias_"), config.hashed(name))).otherwise(out)
+    return bound(out, lambda new: F.when(new == name, F.concat(F.lit("alias_"), config.hashed(name))).otherwise(new))
 
 
 def echoes(name: Column, concepts: Column) -> Column:
@@ -114,17 +119,24 @@ def is_protected(column: Column, config: NameConfig) -> Column:
 
 
 def _echoed(names: DataFrame, concepts: DataFrame, config: NameConfig) -> DataFrame:
-    """Of `names` (scope, kind, name), those that hold concepts of their scope, with the array of them.
+    """Of `names` (scope, kind, name), those that hold some of `concepts` (scope, concept) of their scope, with the array of them.
 
-    A concept's first letters are looked up among all runs of as many letters of the name, so the join's rows grow with the
-    names' lengths; what a name holds is bounded by its length.
+    Scopes with at most FEW concepts hand all of them to each of their names.  In others a concept's first letters are looked up among
+    all runs of as many letters of the name, so the join's rows grow with the names' lengths; what a name holds is bounded by its length.
     """
     low, n = F.lower("name"), config.least_word
+    sizes = concepts.groupBy("scope").agg(F.count("concept").alias("size"))
+    few = concepts.join(sizes.where(F.col("size") <= FEW), "scope").groupBy("scope").agg(F.collect_set("concept").alias("all"))
+    held = F.filter("all", lambda c: F.contains(low, c))
+    out = names.join(few, "scope").select("scope", "kind", "name", held.alias("concepts")).where(F.size("concepts") > 0)
+    many = sizes.where(F.col("size") > FEW).select("scope")
+    if many.isEmpty():
+        return out
     runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda at: F.substring(low, at, F.lit(n))))
-    cut = names.where(F.length(low) >= n).withColumn("run", F.explode(runs))
-    keyed = concepts.select("scope", "concept", F.substring("concept", 1, n).alias("run"))
+    cut = names.join(many, "scope", "left_semi").where(F.length(low) >= n).withColumn("run", F.explode(runs))
+    keyed = concepts.join(many, "scope", "left_semi").select("scope", "concept", F.substring("concept", 1, n).alias("run"))
     met = cut.join(keyed, ["scope", "run"]).where(F.contains(low, F.col("concept")))
-    return met.groupBy("scope", "kind", "name").agg(F.collect_set("concept").alias("concepts"))
+    return out.unionByName(met.groupBy("scope", "kind", "name").agg(F.collect_set("concept").alias("concepts")))
 
 
 def name_masks(names: DataFrame, config: NameConfig) -> DataFrame:
@@ -132,21 +144,23 @@ def name_masks(names: DataFrame, config: NameConfig) -> DataFrame:
     the name stays.
 
     Kinds: table, schema, column, alias (names of common table expressions too).  Rows of other kinds and null scopes or names
-    are left out.  An empty table gives no rows.
+    are left out.  An empty table gives no rows.  Names and concepts are worked out when this is called.
     """
+    name, kind = F.col("name"), F.col("kind")
     rows = names.select("scope", "kind", "name").where("scope is not null and name is not null and kind in ('table', 'schema', 'column', 'alias')").distinct()
-    name = F.col("name")
     protected = is_protected(name, config)
-    found = rows.where(F.col("kind").isin("table", "schema") | ((F.col("kind") == "column") & protected))
-    words = lambda df: df.select("scope", F.explode(concept_words(name, config)).alias("concept")).distinct()
-    concepts = words(found)
     general = name.isin(*config.generic_columns) if config.generic_columns else F.lit(False)
-    columns = _echoed(rows.where((F.col("kind") == "column") & ~protected & ~general), concepts, config).select("scope", "kind", "name")
+    rows = written(rows.withColumns({"found": kind.isin("table", "schema") | ((kind == "column") & protected), "stays": (kind == "column") & general}))
+    words = lambda df: df.select("scope", F.explode(concept_words(name, config)).alias("concept")).distinct()
+    concepts = written(words(rows.where("found")))
+    named = rows.where("not found and not stays").select("scope", "kind", "name")
+    columns = written(_echoed(named.where("kind = 'column'"), concepts, config))
     every = concepts.unionByName(words(columns)).distinct()
-    aliases = _echoed(rows.where("kind = 'alias'"), every, config).select("scope", "kind", "name", mask_alias(name, F.col("concepts"), config).alias("mask"))
-    own = F.when(F.col("kind") == "table", mask_table(name, config)).when(F.col("kind") == "schema", mask_schema(name, config)).otherwise(mask_column(name, config))
-    masks = found.unionByName(columns).select("scope", "kind", "name", own.alias("mask")).unionByName(aliases)
-    return rows.join(masks, ["scope", "kind", "name"], "left")
+    aliases = _echoed(named.where("kind = 'alias'"), written(every), config)
+    own = F.when(kind == "table", mask_table(name, config)).when(kind == "schema", mask_schema(name, config)).otherwise(mask_column(name, config))
+    hits = columns.unionByName(aliases).withColumn("mask", F.when(kind == "alias", mask_alias(name, F.col("concepts"), config)).otherwise(mask_column(name, config)))
+    rest = rows.where("not found").select("scope", "kind", "name").join(hits.drop("concepts"), ["scope", "kind", "name"], "left")
+    return rows.where("found").select("scope", "kind", "name", own.alias("mask")).unionByName(rest)
 
 
 def mask_literal(value: Column, config: NameConfig) -> Column:
