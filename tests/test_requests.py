@@ -151,3 +151,21 @@ def test_python_is_handed_small_batches(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_bodies_are_read_once(spark):
+    """Source rows go once to the texts and once to the bodies that are written; before, each branch read the bodies' texts anew."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(n):
+        seen.add(1)
+        return (n if n else None, json.dumps({"messages": [{"role": "user", "content": f"use AKIA{n:016d} here" if n % 2 else "plain"}]}) if n % 5 else None)
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(20), 2).map(counted), "id int, body string")
+    got = {r["id"]: r for r in protect_requests(df, "id", "body", "anthropic", "salt").collect()}
+    assert set(got) == {None, *range(1, 20)} and seen.value == 40
+    for n in range(1, 20):
+        row = got[n]
+        masked = n % 2 == 1 and n % 5 > 0
+        assert row["changed"] == masked and [m["real"] for m in row["mocks"]] == ([f"AKIA{n:016d}"] if masked else []) and row["n_secrets"] == masked
+        assert row["body"] is None if n % 5 == 0 else (row["mocks"][0]["mock"] in row["body"] if masked else row["body"] == json.dumps({"messages": [{"role": "user", "content": "plain"}]}))

@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.functions.batches import small_batches
+from veilmark.functions.batches import of_rows, small_batches
 from veilmark.functions.needles import Needles
 from veilmark.operators.config import ScanConfig
+from veilmark.operators.detect import spread
 from veilmark.operators.protect import protect
+from veilmark.operators.shared import written
 from veilmark.sources.jsonplaces import Obj, read_json, readable
 from veilmark.sources.wire import FORMATS, body_object, request_texts, rewritten
 
@@ -72,13 +74,13 @@ def protect_requests(df: DataFrame, key: str, body: str, shape: str, salt: str,
     `shape` is one of FORMATS.  Without `env_blocks` environment blocks stay, without `tool_results` the results of tools do; the guard
     then still finds in them what is hidden elsewhere.  Bodies that aren't JSON objects, and those without anything to hide, stay the same bytes.  A body is
     null where it is `blocked`: with on_detect "block" if it has a secret, and always if a value that has a stand-in is still there
-    (`leaked`).  `mocks` bring the answer back.  Null bodies stay null.
+    (`leaked`).  `mocks` bring the answer back.  Null bodies stay null.  Texts are read out of the bodies, and findings made, when this is called.
     """
     if shape not in FORMATS:
         raise ValueError(f"no such format: {shape}")
     kind = df.schema[key].dataType.simpleString()
     bodies = df.select(F.col(key).alias("id"), F.col(body).alias("body"))
-    texts = request_texts(bodies, "id", "body", shape).withColumn("place", F.struct("id", "path"))
+    texts = written(request_texts(spread(bodies), "id", "body", shape).select("kind", F.struct("id", "path").alias("place"), "text"))
     if not tool_results:
         texts = texts.where("kind <> 'tool_result'")
     safe = protect(texts, "place", "text", salt, config, env_blocks=env_blocks)
@@ -89,22 +91,22 @@ def protect_requests(df: DataFrame, key: str, body: str, shape: str, salt: str,
         F.sum("env_blocks").alias("env_blocks"),
     )
     both = bodies.join(per, F.col("id").eqNullSafe(F.col("of")), "left")
-    rows = both.select("id", "body", "changes", F.transform("mocks", lambda m: m["real"]).alias("reals"))
+    pairs = "array<struct<mock:string,real:string>>"
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = both.select("id", "body", "changes", F.coalesce("mocks", F.array().cast(pairs)).alias("mocks"), number("n_secrets"), number("env_blocks"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, changed, leaked = [], [], []
-            for raw, changes, reals in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for raw, changes, reals in zip(batch.column(1).to_pylist(), of_rows(batch.column(2), "path", "text"), of_rows(batch.column(3), "real")):
                 value = body_object(raw) if changes else None
-                new = raw if value is None else rewritten(shape, raw, value, {c["path"]: c["text"] for c in changes}, directive)
+                new = raw if value is None else rewritten(shape, raw, value, dict(changes), directive)
                 out.append(None if new is None else readable(new))
                 changed.append(new != raw)
-                leaked.append(bool(new and reals) and survives(new, reals))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(changed), pa.array(leaked)], ["key", "new", "changed", "leaked"])
+                leaked.append(bool(new and reals) and survives(new, [r for (r,) in reals]))
+            told = [batch.column(0), pa.array(out, pa.string()), pa.array(changed, pa.bool_()), pa.array(leaked, pa.bool_()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(told, ["id", "new", "changed", "leaked", "mocks", "n_secrets", "env_blocks"])
 
-    written = small_batches(rows).mapInArrow(write, f"key {kind}, new string, changed boolean, leaked boolean")
-    told = written.join(per, F.col("key").eqNullSafe(F.col("of")), "left")
-    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    blocked = F.col("leaked") | ((F.coalesce("n_secrets", F.lit(0)) > 0) & F.lit(on_detect == "block"))
-    none = F.array().cast("array<struct<mock:string,real:string>>")
-    return told.select(F.col("key").alias("id"), F.when(~blocked, F.col("new")).alias("body"), "changed", number("n_secrets"), number("env_blocks"), "leaked", blocked.alias("blocked"), F.coalesce("mocks", none).alias("mocks"))
+    told = small_batches(rows).mapInArrow(write, f"id {kind}, new string, changed boolean, leaked boolean, mocks {pairs}, n_secrets long, env_blocks long")
+    blocked = F.col("leaked") | ((F.col("n_secrets") > 0) & F.lit(on_detect == "block"))
+    return told.select("id", F.when(~blocked, F.col("new")).alias("body"), "changed", "n_secrets", "env_blocks", "leaked", blocked.alias("blocked"), "mocks")

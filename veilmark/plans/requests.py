@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilmark.operators.registry import SessionRegistry
 from veilmark.operators.requests import protect_requests
-from veilmark.operators.shared import shared_folder
+from veilmark.operators.shared import shared_folder, written
 from veilmark.plans.derived import derived, table, tag_sql
 from veilmark.sources.wire import FORMATS, request_texts
 
@@ -38,7 +38,7 @@ def _protected(shape: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """What a request's text and its tool's result are after it is made safe, and what was found; nulls where it may not go out."""
         rows = derived(spark, sf_dir, "conversations", TEXTS)
-        safe = protect_requests(rows.select("id", F.to_json(_body(shape)).alias("body")), "id", "body", shape, "salt")
+        safe = written(protect_requests(rows.select("id", F.to_json(_body(shape)).alias("body")), "id", "body", shape, "salt").drop("mocks"))
         texts = request_texts(safe, "id", "body", shape).groupBy(F.col("id").alias("of")).agg(F.max(F.when(F.col("kind") == "text", F.col("text"))).alias("said"), F.max(F.when(F.col("kind") == "tool_result", F.col("text"))).alias("told"))
         return safe.join(texts, F.col("id") == F.col("of"), "left").select("id", "said", "told", "n_secrets", "env_blocks", "changed", "leaked", "blocked")
 
